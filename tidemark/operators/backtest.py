@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import TRADING_DAYS, BookConfig, CostConfig
 from ..functions.numeric import MAX_SESSIONS, broadcast_if_bounded, ratio
+from ..functions.ranking import fits_window
 from ..session import stage
 from . import windows as W
 from .calendar import with_position
@@ -39,15 +40,15 @@ def target_weights(
     keys: Sequence[str] = ("strategy",),
     n_series: int | None = None,
     tie_code: Column | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """``(keys, symbol, pos, weight)`` of every session's long and short tails."""
     bound = None if n_series is None else MAX_SESSIONS * n_series
-    signal = stage(
-        with_position(panel.select(*keys, "date", "symbol", "value"), sessions).filter(
-            F.col("value").isNotNull()
-        ),
-        "signal",
+    signal = with_position(panel.select(*keys, "date", "symbol", "value"), sessions).filter(
+        F.col("value").isNotNull()
     )
+    if not fits_window(max_group):
+        signal = stage(signal, "signal")  # the bucketed selection reads it several times
     tails = tail_weights(
         signal,
         by=[*keys, "date", "pos"],
@@ -56,6 +57,7 @@ def target_weights(
         long_only=cfg.long_only,
         tie_code=tie_code,
         max_groups=bound,
+        max_group=max_group,
     )
     return tails.select(*keys, "symbol", "pos", "weight")
 

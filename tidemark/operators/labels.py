@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MAX_SESSIONS, broadcast_if_bounded, ratio
-from ..functions.ranking import average_rank_table
+from ..functions.ranking import average_rank_table, fits_window, window_average_rank
 from ..session import stage
 from .calendar import with_position
 from .windows import ahead
@@ -42,6 +42,7 @@ def rank_ic(
     series: Sequence[str] = (),
     min_names: int = 10,
     value: str = "value",
+    max_group: int | None = None,
 ) -> DataFrame:
     """Spearman correlation per date: Pearson correlation of average ranks.
 
@@ -59,10 +60,20 @@ def rank_ic(
         .filter(F.col("_y").isNotNull())
     )
     by = [*own, *shared, "date"]
+    joint = joint.select(*by, "_x", "_y")
+    if fits_window(max_group):
+        ranked = joint.select(
+            *by, window_average_rank(by, "_x").alias("_rx"), window_average_rank(by, "_y").alias("_ry")
+        )
+        return _rank_correlation(ranked, by, min_names)
     joint = stage(joint, "ic")
     ranked = joint.join(average_rank_table(joint, by, "_x", "_rx"), [*by, "_x"]).join(
         average_rank_table(joint, by, "_y", "_ry"), [*by, "_y"]
     )
+    return _rank_correlation(ranked, by, min_names)
+
+
+def _rank_correlation(ranked: DataFrame, by: Sequence[str], min_names: int) -> DataFrame:
     return (
         ranked.groupBy(*by)
         .agg(

@@ -61,13 +61,17 @@ def cap_and_redistribute(df: DataFrame, group: Sequence[str], weight: str, cap:
 
 
 def select_names(
-    signal: DataFrame, cfg: ConstructionConfig, *, tie_code: Column | None = None
+    signal: DataFrame,
+    cfg: ConstructionConfig,
+    *,
+    tie_code: Column | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """``(date, symbol, base, k, n_candidates)``: top and bottom names with equal base weight."""
     limit = F.col("group_n") if cfg.long_only else F.floor(F.col("group_n") / 2)
     picked = select_tails(
         signal, ["date"], "value", "symbol", F.least(F.lit(cfg.top_n), limit),
-        tie_code=tie_code, max_groups=MAX_SESSIONS,
+        tie_code=tie_code, max_groups=MAX_SESSIONS, max_group=max_group,
     )
     if cfg.long_only:
         picked = picked.filter("side = 1")
@@ -168,13 +172,14 @@ def build_book(
     *,
     prior: DataFrame | None = None,
     tie_code: Column | None = None,
+    max_group: int | None = None,
 ) -> Book:
     """Portfolio, trades and constraint checks for every date of ``signal``.
 
     ``prior`` holds ``(date, symbol, prev_weight)``: the book in force before each decision.
     """
     live = stage(signal.select("date", "symbol", "value").filter(F.col("value").isNotNull()), "signal")
-    capped = name_caps(select_names(live, cfg, tie_code=tie_code), adv, cfg)
+    capped = name_caps(select_names(live, cfg, tie_code=tie_code, max_group=max_group), adv, cfg)
     fresh = balance_legs(project_legs(capped, mapping, cfg), cfg)
     target = stage(
         fresh.select(

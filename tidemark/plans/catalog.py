@@ -54,7 +54,8 @@ class Inputs:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return tables.ship_sessions(self.spark, self.sf_dir)
+        """The calendar: tiny, read by almost every operator, so derived from the scan once."""
+        return stage(tables.ship_sessions(self.spark, self.sf_dir), "sessions")
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -68,6 +69,11 @@ class Inputs:
     def shares(self) -> DataFrame:
         return tables.shares(self.spark, self.sf_dir)
 
+    @cached_property
+    def names(self) -> int:
+        """Upper bound on the names of one cross-section, from the dimension's file footers."""
+        return self.table("supplier").count()
+
     @cached_property
     def library(self) -> list[fac.Factor]:
         return fac.default_library(FACTORS)
@@ -78,7 +84,7 @@ class Inputs:
 
     @cached_property
     def study(self) -> studies.Study:
-        return studies.prepare(self.px, self.sessions, self.library, FACTORS, HORIZONS)
+        return studies.prepare(self.px, self.sessions, self.library, FACTORS, HORIZONS, max_group=self.names)
 
     @cached_property
     def ic(self) -> DataFrame:

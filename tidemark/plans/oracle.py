@@ -62,11 +62,11 @@ AUTO = "floor(4.0 * pow(n / 100.0, 2.0 / 9.0))"
 part("bars", """
 SELECT date_trunc('week', l_shipdate)::DATE AS date,
        'S' || lpad(l_suppkey::VARCHAR, 12, '0') AS symbol,
-       sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (sum(l_quantity::BIGINT) * 1e2) AS close,
-       sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 1e2) AS disc,
+       sum(floor(l_extendedprice * 1e2 + 5e-1)::BIGINT)::DOUBLE / (sum(l_quantity::BIGINT) * 1e2) AS close,
+       sum(floor(l_discount * 1e2 + 5e-1)::BIGINT)::DOUBLE / (count(*) * 1e2) AS disc,
        max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
        sum(l_quantity::BIGINT)::DOUBLE AS volume,
-       sum((l_returnflag = 'N')::INT) * 1e2 / count(*) AS delivery_pct
+       (sum((l_returnflag = 'N')::INT) * 100 // count(*))::DOUBLE AS delivery_pct
 FROM lineitem GROUP BY 1, 2, l_suppkey
 """)
 part("px", """
@@ -80,9 +80,9 @@ part("pos_flows", """
 SELECT date_trunc('week', o_orderdate)::DATE AS date,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'FII' WHEN '2-HIGH' THEN 'DII' WHEN '3-MEDIUM' THEN 'Client'
             WHEN '4-NOT SPECIFIED' THEN 'Pro' ELSE 'TOTAL' END AS participant,
-       sum(CASE WHEN o_orderstatus <> 'O' THEN round(o_totalprice * 100)::BIGINT ELSE 0 END) / 1e2 AS long,
-       sum(CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 100)::BIGINT ELSE 0 END) / 1e2 AS short,
-       sum(CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE -1 END * round(o_totalprice * 100)::BIGINT) / 1e2 AS net
+       sum(CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice * 1e2 + 5e-1)::BIGINT ELSE 0 END) / 1e2 AS long,
+       sum(CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice * 1e2 + 5e-1)::BIGINT ELSE 0 END) / 1e2 AS short,
+       sum(CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE -1 END * floor(o_totalprice * 1e2 + 5e-1)::BIGINT) / 1e2 AS net
 FROM orders GROUP BY 1, 2
 """)
 part("flows", "SELECT date, participant, long, short, net AS net_futures FROM pos_flows WHERE participant <> 'TOTAL'")

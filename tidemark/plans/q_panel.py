@@ -473,7 +473,7 @@ def _(t: Inputs):
 
 @query("f8_factor_panel", "factor date symbol value:6", "panel")
 def _(t: Inputs):
-    return factors.build_panels(t.px, t.sessions, t.library, FACTORS)
+    return factors.build_panels(t.px, t.sessions, t.library, FACTORS, max_group=t.names)
 
 
 @query(
@@ -568,7 +568,7 @@ oracle.part("volt", oracle.treated("vol", "date"))
        WINDOW d AS (PARTITION BY date)""",
 )
 def _(t: Inputs):
-    return xs.treat(_volumes(t), neutral=True, mapping=t.sectors)
+    return xs.treat(_volumes(t), neutral=True, mapping=t.sectors, max_group=t.names)
 
 
 @query(

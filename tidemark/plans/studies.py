@@ -28,6 +28,7 @@ class Study:
     panel: DataFrame
     labels: DataFrame
     names: tuple[str, ...]
+    max_group: int | None = None  # bound on the names of one cross-section
 
 
 def prepare(
@@ -39,15 +40,18 @@ def prepare(
     *,
     shares: DataFrame | None = None,
     mapping: DataFrame | None = None,
+    max_group: int | None = None,
 ) -> Study:
     prices = stage(prices, "prices")
-    panel = stage(build_panels(prices, sessions, factors, cfg, shares=shares, mapping=mapping), "panel")
+    panel = stage(build_panels(prices, sessions, factors, cfg, shares=shares, mapping=mapping, max_group=max_group), "panel")
     labels = horizon_long(forward_returns(prices, sessions, horizons), horizons)
-    return Study(prices, sessions, panel, labels, tuple(f.name for f in factors))
+    return Study(prices, sessions, panel, labels, tuple(f.name for f in factors), max_group)
 
 
 def ic_series(study: Study, min_names: int) -> DataFrame:
-    return rank_ic(study.panel, study.labels, series=("factor", "horizon"), min_names=min_names)
+    return rank_ic(
+        study.panel, study.labels, series=("factor", "horizon"), min_names=min_names, max_group=study.max_group
+    )
 
 
 def ic_table(study: Study, min_names: int) -> DataFrame:
@@ -62,7 +66,12 @@ def strategy_panel(study: Study) -> DataFrame:
 
 def factor_targets(study: Study, cfg: BookConfig, tie_code: Column | None = None) -> DataFrame:
     return B.target_weights(
-        strategy_panel(study), study.sessions, cfg, n_series=len(study.names), tie_code=tie_code
+        strategy_panel(study),
+        study.sessions,
+        cfg,
+        n_series=len(study.names),
+        tie_code=tie_code,
+        max_group=study.max_group,
     )
 
 
@@ -208,4 +217,6 @@ def overlay_grid(
 def composite_ic(study: Study, cfg: CompositeConfig, min_names: int) -> DataFrame:
     """IC series of every factor at the composite's horizon."""
     labels = study.labels.filter(F.col("horizon") == cfg.horizon)
-    return rank_ic(study.panel, labels, series=("factor", "horizon"), min_names=min_names)
+    return rank_ic(
+        study.panel, labels, series=("factor", "horizon"), min_names=min_names, max_group=study.max_group
+    )

@@ -40,7 +40,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def week_of(ts: str) -> Column:
-    return F.date_trunc("week", F.col(ts)).cast("date")
+    """Monday of the week, by integer day arithmetic."""
+    day = F.col(ts).cast("date")
+    return F.date_sub(day, F.weekday(day))
 
 
 def symbol_of(key: str) -> Column:
@@ -48,7 +50,8 @@ def symbol_of(key: str) -> Column:
 
 
 def hundredths(c: str) -> Column:
-    return F.round(F.col(c) * F.lit(100.0)).cast("long")
+    """A non-negative amount as whole hundredths."""
+    return F.floor(F.col(c) * F.lit(100.0) + F.lit(0.5))
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("unit").alias("high"),
         F.min("unit").alias("low"),
         F.sum("_qty").cast("double").alias("volume"),
-        (F.sum("_kept") * F.lit(100.0) / rows).alias("delivery_pct"),
+        F.floor(F.sum("_kept") * 100 / F.count(F.lit(1))).cast("double").alias("delivery_pct"),
     )
     return bars.select(
         "date",

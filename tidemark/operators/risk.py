@@ -165,15 +165,18 @@ def overlay_summary(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def compare_variants(summary: DataFrame, base: str = "none") -> DataFrame:
-    """Per variant: strategies with a better net Sharpe or a shallower drawdown than ``base``."""
+    """Per variant: strategies with a better net Sharpe or a shallower drawdown than ``base``.
+
+    Differences below 1e-9 are summation noise between two passes, not an improvement.
+    """
     plain = summary.filter(F.col("variant") == base).select(
         "strategy",
         F.col("net_sharpe").alias("_sharpe"),
         F.col("max_drawdown").alias("_drawdown"),
         F.col("annual_turnover").alias("_turnover"),
     )
-    better = F.col("net_sharpe") > F.col("_sharpe")
-    shallower = F.col("max_drawdown") > F.col("_drawdown")
+    better = F.col("net_sharpe") > F.col("_sharpe") + 1e-9
+    shallower = F.col("max_drawdown") > F.col("_drawdown") + 1e-9
     return (
         summary.filter(F.col("variant") != base)
         .join(plain, "strategy")

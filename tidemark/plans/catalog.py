@@ -137,13 +137,14 @@ def _shape(df: DataFrame, columns: str) -> DataFrame:
 
 def _shape_sql(source: str, columns: str) -> str:
     def one(name: str, kind: str) -> str:
+        quoted = f'"{name}"'
         if kind.isdigit():
-            return f"{oracle.r(name + '::DOUBLE', int(kind))} AS {name}"
+            return f"{oracle.r(quoted + '::DOUBLE', int(kind))} AS {quoted}"
         if kind == "i":
-            return f"{name}::BIGINT AS {name}"
+            return f"{quoted}::BIGINT AS {quoted}"
         if kind == "d":
-            return f"{name}::DATE AS {name}"
-        return name
+            return f"{quoted}::DATE AS {quoted}"
+        return quoted
 
     inner = source if " " not in source.strip() else f"({source})"
     return oracle.sql(f"SELECT {', '.join(one(n, k) for n, k in _spec(columns))} FROM {inner} AS result")

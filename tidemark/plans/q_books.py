@@ -41,7 +41,7 @@ def _(t: Inputs):
     return t.daily
 
 
-@query("b4_fixed_cost", "strategy pos:i buys:9 sells:9 fixed_cost:12", "dly")
+@query("b4_fixed_cost", "strategy pos:i buys:9 sells:9 fixed_cost:14", "dly")
 def _(t: Inputs):
     return t.daily
 
@@ -119,7 +119,7 @@ def _(t: Inputs):
 oracle.part("ddn", oracle.drawdowns("dlyn", "strategy", "net_return"))
 
 
-@query("r16_equity_curve", "strategy pos:i equity:9", "ddn")
+@query("r16_equity_curve", "strategy pos:i equity:4", "ddn")
 def _(t: Inputs):
     return t.daily.withColumn("equity", windows.equity("net_return", ["strategy"]))
 
@@ -231,8 +231,8 @@ def _(t: Inputs):
 @query(
     "b13_overlay_comparison",
     "variant n_strategies:i improved_sharpe:i reduced_drawdown:i min_turnover_ratio:6 max_turnover_ratio:6",
-    """SELECT a.variant, count(*) AS n_strategies, count(*) FILTER (a.net_sharpe > b.net_sharpe) AS improved_sharpe,
-         count(*) FILTER (a.max_drawdown > b.max_drawdown) AS reduced_drawdown,
+    """SELECT a.variant, count(*) AS n_strategies, count(*) FILTER (a.net_sharpe > b.net_sharpe + 1e-9) AS improved_sharpe,
+         count(*) FILTER (a.max_drawdown > b.max_drawdown + 1e-9) AS reduced_drawdown,
          min(a.annual_turnover / b.annual_turnover) AS min_turnover_ratio, max(a.annual_turnover / b.annual_turnover) AS max_turnover_ratio
        FROM sumvar a JOIN sumvar b ON b.strategy = a.strategy AND b.variant = 'none' WHERE a.variant <> 'none' GROUP BY 1""",
 )

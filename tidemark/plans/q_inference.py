@@ -15,7 +15,6 @@ from . import oracle, studies
 from .catalog import COMPOSITE, FACTORS, HORIZONS, MIN_NAMES, REGIME, Inputs, query
 from .oracle import phi
 
-H4 = F.lit(COMPOSITE.horizon)
 
 # -- labels and ICs ----------------------------------------------------------------------
 
@@ -92,12 +91,12 @@ CONDITIONAL = """SELECT a.factor, a.regime_column, a.regime, a.n AS n_dates, a.m
 @query("i9_conditional_ic", f"factor regime {IC_TABLE}", f"SELECT * FROM ({CONDITIONAL}) WHERE regime_column = 'fii_regime'")
 def _(t: Inputs):
     one = t.labels.filter("regime_column = 'fii_regime'")
-    return regimes.conditional_ic(t.ic4, one, ["factor"], H4)
+    return regimes.conditional_ic(t.ic4, one, ["factor"], F.lit(COMPOSITE.horizon))
 
 
 @query("i10_conditional_table", f"factor regime_column regime {IC_TABLE}", CONDITIONAL)
 def _(t: Inputs):
-    return regimes.conditional_ic(t.ic4, t.labels, ["factor"], H4)
+    return regimes.conditional_ic(t.ic4, t.labels, ["factor"], F.lit(COMPOSITE.horizon))
 
 
 def _experiments(t: Inputs):

@@ -1 +1,445 @@
-"""Registered queries."""
+"""Registered queries: composite signal, gates, portfolio construction, data quality."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from ..operators import backtest as B
+from ..operators import composite as S
+from ..operators import panel, portfolio, quality, regimes, windows
+from ..session import scratch_dir, stage
+from ..sources import tables
+from . import oracle, studies
+from .catalog import BOOK, COMPOSITE, CONSTRUCTION, COSTS, FACTORS, MIN_NAMES, REGIME, Inputs, query
+
+# -- weights and composite ---------------------------------------------------------------
+
+oracle.part("wspine", """
+SELECT f.factor, s.pos, s.date, i.ic FROM (SELECT DISTINCT factor FROM ic4) f CROSS JOIN sessions s
+LEFT JOIN ic4 i ON i.factor = f.factor AND i.date = s.date
+""")
+oracle.part("wscore", """
+SELECT * FROM (SELECT factor, pos, date, count(ic) OVER w AS n, avg(ic) OVER w AS m,
+  CASE WHEN stddev_samp(ic) OVER w > 0 THEN avg(ic) OVER w / stddev_samp(ic) OVER w ELSE 0 END AS ir FROM wspine
+WINDOW w AS (PARTITION BY factor ORDER BY pos ROWS BETWEEN 51 PRECEDING AND 4 PRECEDING)) WHERE n >= 2
+""")
+
+
+def _weights(score: str, where: str = "true") -> str:
+    return f"SELECT date, factor, score / sum(abs(score)) OVER (PARTITION BY date) AS weight FROM (SELECT *, {score} AS score FROM wscore WHERE {where})"
+
+
+oracle.part("wts", _weights("ir", "ir > 0"))
+
+
+@query(
+    "s1_trailing_weights",
+    "scheme date factor weight:8",
+    f"SELECT 'ic_ir' AS scheme, * FROM wts UNION ALL SELECT 'ic_mean', * FROM ({_weights('m', 'm > 0')}) UNION ALL SELECT 'equal', * FROM ({_weights('1.0::DOUBLE')})",
+)
+def _(t: Inputs):
+    out = None
+    for scheme in ("ic_ir", "ic_mean", "equal"):
+        part = S.trailing_weights(t.ic4, t.sessions, replace(COMPOSITE, scheme=scheme)).withColumn("scheme", F.lit(scheme))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+oracle.part("mix", """
+SELECT date, symbol, sum(value * weight) / sum(abs(weight)) AS value FROM panel JOIN wts USING (date, factor)
+WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3
+""")
+oracle.part("comp", """
+SELECT date, symbol, CASE WHEN count(*) OVER d >= 2 AND stddev_samp(value) OVER d > 1e-12 * max(abs(value)) OVER d
+  THEN (value - avg(value) OVER d) / stddev_samp(value) OVER d END AS value FROM mix WINDOW d AS (PARTITION BY date)
+""")
+
+
+def _weights_frame(t: Inputs):
+    return S.trailing_weights(t.ic4, t.sessions, COMPOSITE)
+
+
+def _composite(t: Inputs):
+    return S.composite(t.study.panel, _weights_frame(t), COMPOSITE, len(t.library))
+
+
+@query("s2_composite", "date symbol value:6", "comp")
+def _(t: Inputs):
+    return _composite(t)
+
+
+@query(
+    "t7_weight_history",
+    "date reversal_4d:8 low_volatility:8 volume_trend:8",
+    """SELECT date, coalesce(max(weight) FILTER (factor = 'reversal_4d'), 0) AS reversal_4d, coalesce(max(weight) FILTER (factor = 'low_volatility'), 0) AS low_volatility,
+         coalesce(max(weight) FILTER (factor = 'volume_trend'), 0) AS volume_trend FROM wts GROUP BY 1""",
+)
+def _(t: Inputs):
+    return panel.weight_history(_weights_frame(t), ["reversal_4d", "low_volatility", "volume_trend"])
+
+
+# -- gates -------------------------------------------------------------------------------
+
+
+@query("s3_gate_map", "factor regime_column", "SELECT factor, regime_column FROM fmap")
+def _(t: Inputs):
+    return regimes.expand_map(t.ic4.select("factor").distinct(), REGIME.factor_map)
+
+
+oracle.part("gsample", """
+SELECT m.factor, m.regime_column, s.pos AS today, s.date, b.regime AS bucket, c.pos, i.ic FROM fmap m CROSS JOIN sessions s
+LEFT JOIN lbl b ON b.date = s.date AND b.regime_column = m.regime_column
+LEFT JOIN (SELECT l.regime_column, l.regime, x.pos, x.date FROM lbl l JOIN sessions x ON x.date = l.date) c
+  ON c.regime_column = m.regime_column AND c.regime = b.regime AND c.pos BETWEEN s.pos - 51 AND s.pos - 4
+LEFT JOIN ic4 i ON i.factor = m.factor AND i.date = c.date
+""")
+oracle.part("gsamp2", "SELECT factor || '|' || today AS k, pos, ic FROM gsample")
+oracle.part("gnw", oracle.newey_west("gsamp2", "k", "ic", "pos", "3"))
+oracle.part("gates", """
+SELECT *, coalesce(t_stat >= 1.5, false) AS "on" FROM (
+SELECT g.date, g.factor, g.regime_column, g.bucket, CASE WHEN w.n >= 20 AND w.se > 0 THEN w.mean / w.se END AS t_stat, coalesce(w.n, 0) AS n_obs
+FROM (SELECT DISTINCT date, factor, regime_column, bucket, today FROM gsample) g LEFT JOIN gnw w ON w.k = g.factor || '|' || g.today)
+""")
+
+
+def _gates(t: Inputs):
+    return S.regime_gates(t.ic4, t.labels, t.sessions, COMPOSITE, REGIME)
+
+
+@query("s4_regime_gates", "date factor regime_column bucket t_stat:6 n_obs:i on", "gates")
+def _(t: Inputs):
+    return _gates(t)
+
+
+@query(
+    "s5_gated_panel",
+    "factor date symbol value:6",
+    """SELECT p.factor, p.date, symbol, CASE WHEN g."on" = false THEN 0 ELSE value END AS value FROM panel p
+       LEFT JOIN gates g ON g.date = p.date AND g.factor = p.factor""",
+)
+def _(t: Inputs):
+    return S.gated_panel(t.study.panel, _gates(t), len(t.library))
+
+
+@query("s5_on_fraction", "factor on_fraction:9", 'SELECT factor, avg("on"::INT::DOUBLE) AS on_fraction FROM gates GROUP BY 1')
+def _(t: Inputs):
+    return S.on_fraction(_gates(t))
+
+
+oracle.part("wf", """
+SELECT date, symbol, volume AS mag, close / 10 AS cap, 3000.0::DOUBLE AS target FROM px WHERE symbol IN (SELECT symbol FROM sectors WHERE sector = 'ASIA')
+""")
+
+# -- portfolio ---------------------------------------------------------------------------
+# Decisions on every session from the reversal factor; yesterday's unbanded book is the prior.
+
+oracle.part("sig", "SELECT date, pos, symbol, value FROM panel WHERE factor = 'reversal_12d' AND value IS NOT NULL")
+oracle.part("sel", """
+SELECT date, pos, symbol, CASE WHEN rn > n - k THEN 0.5 / k ELSE -0.5 / k END AS base, k, n AS n_candidates FROM (
+SELECT *, least(10, n // 2)::DOUBLE AS k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value, symbol) AS rn,
+  count(*) OVER (PARTITION BY date) AS n FROM sig)) WHERE rn <= k OR rn > n - k
+""")
+oracle.part("advd", "SELECT s.date, m.symbol, m.adv FROM mkt m JOIN sessions s USING (pos)")
+oracle.part("caps", """
+SELECT x.*, a.adv, least(0.08::DOUBLE, CASE WHEN a.adv > 0 THEN 0.1::DOUBLE * a.adv / 2e5 END) AS cap,
+  coalesce(0.1::DOUBLE * a.adv / 2e5 < 0.08::DOUBLE, false) AS adv_bound, sign(base)::INT AS leg, abs(base) AS mag, coalesce(sector, 'NA') AS sector
+FROM sel x LEFT JOIN advd a ON a.date = x.date AND a.symbol = x.symbol LEFT JOIN sectors c ON c.symbol = x.symbol
+""")
+
+
+def fill(source: str, group: str, mag: str, cap: str, target: str, out: str) -> str:
+    """Water-filling as the level solving sum(min(mag * level, cap)) = target, by trying every breakpoint."""
+    on = " AND ".join(f"a.{g.strip()} = b.{g.strip()}" for g in group.split(","))
+    ag = ", ".join(f"a.{g.strip()}" for g in group.split(","))
+    return f"""
+    WITH lv AS (SELECT DISTINCT {group}, {cap} / {mag} AS lvl, {target} AS target FROM {source}),
+    cand AS (SELECT {ag}, a.lvl, a.target, sum(CASE WHEN b.{cap} / b.{mag} < a.lvl THEN b.{cap} ELSE 0 END) AS fixed,
+        sum(CASE WHEN b.{cap} / b.{mag} < a.lvl THEN 0 ELSE b.{mag} END) AS free
+      FROM lv a JOIN {source} b ON {on} GROUP BY {ag}, a.lvl, a.target),
+    lev AS (SELECT {group}, arg_min((target - fixed) / free, lvl) FILTER ((target - fixed) / free <= lvl) AS level FROM cand GROUP BY {group})
+    SELECT a.*, greatest(0, CASE WHEN b.level IS NULL THEN a.{cap} ELSE least(a.{mag} * b.level, a.{cap}) END) AS {out}
+    FROM {source} a JOIN lev b ON {on}
+    """
+
+
+oracle.part("secs", """
+SELECT *, least(s_sum, CASE WHEN count(*) OVER (PARTITION BY date, leg) > 1 THEN 0.125::DOUBLE END) AS s_cap, 0.5::DOUBLE AS s_target
+FROM (SELECT date, leg, sector, sum(mag) AS s_mag, sum(cap) AS s_sum FROM caps GROUP BY 1, 2, 3)
+""")
+oracle.part("secf", fill("secs", "date, leg", "s_mag", "s_cap", "s_target", "allot"))
+oracle.part("parts0", "SELECT c.*, f.allot, f.capacity FROM caps c JOIN (SELECT *, sum(s_cap) OVER (PARTITION BY date, leg) AS capacity FROM secf) f USING (date, leg, sector)")
+oracle.part("legs", "SELECT *, leg * fill AS weight, capacity >= 0.5::DOUBLE - 1e-9 AS feasible FROM (" + fill("parts0", "date, leg, sector", "mag", "cap", "allot", "fill") + ")")
+oracle.part("bal", """
+SELECT * REPLACE (CASE WHEN uneven AND CASE WHEN weight > 0 THEN l ELSE s END > least(l, s)
+    THEN weight * least(l, s) / CASE WHEN weight > 0 THEN l ELSE s END ELSE weight END AS weight), NOT uneven AS balanced
+FROM (SELECT *, abs(l - s) > 1e-12 AND least(l, s) > 0 AS uneven FROM (SELECT *, sum(greatest(weight, 0)) OVER (PARTITION BY date) AS l,
+  sum(greatest(-weight, 0)) OVER (PARTITION BY date) AS s FROM legs))
+""")
+oracle.part("prior", "SELECT s.date, b.symbol, b.weight AS prev_weight FROM bal b JOIN sessions s ON s.pos = b.pos + 1 WHERE abs(b.weight) > 1e-12")
+oracle.part("fin", """
+SELECT *, CASE WHEN NOT candidate THEN 0 WHEN banded THEN prev_weight ELSE w END AS weight FROM (
+SELECT *, candidate AND abs(w - prev_weight) < 0.01::DOUBLE AS banded FROM (
+SELECT coalesce(b.date, p.date) AS date, coalesce(b.symbol, p.symbol) AS symbol, coalesce(b.weight, 0) AS w, coalesce(p.prev_weight, 0) AS prev_weight,
+  b.symbol IS NOT NULL OR EXISTS (SELECT 1 FROM sig g WHERE g.date = p.date AND g.symbol = p.symbol) AS candidate,
+  coalesce((SELECT sector FROM sectors c WHERE c.symbol = coalesce(b.symbol, p.symbol)), 'NA') AS sector,
+  (SELECT adv FROM advd a WHERE a.symbol = coalesce(b.symbol, p.symbol) AND a.date = coalesce(b.date, p.date)) AS adv,
+  b.feasible, b.balanced, b.leg, b.adv_bound
+FROM bal b FULL JOIN prior p ON p.date = b.date AND p.symbol = b.symbol)) WHERE date IN (SELECT date FROM bal)
+""")
+
+
+def _signal(t: Inputs):
+    study = studies.prepare(
+        t.px, t.sessions, [f for f in t.library if f.name == "reversal_12d"], FACTORS, [1], max_group=t.names
+    )
+    return study.panel.select("date", "symbol", "value")
+
+
+def _adv(t: Inputs):
+    return windows.average_daily_value(t.px, COSTS.adv_window)
+
+
+def _selected(t: Inputs):
+    return portfolio.select_names(_signal(t), CONSTRUCTION, tie_code=tables.symbol_code(), max_group=t.names)
+
+
+def _capped(t: Inputs):
+    return portfolio.name_caps(_selected(t), _adv(t), CONSTRUCTION)
+
+
+def _balanced(t: Inputs):
+    return portfolio.balance_legs(portfolio.project_legs(_capped(t), t.sectors, CONSTRUCTION), CONSTRUCTION)
+
+
+def _book(t: Inputs) -> portfolio.Book:
+    signal = stage(_signal(t), "signal")
+    capped = portfolio.name_caps(
+        portfolio.select_names(signal, CONSTRUCTION, tie_code=tables.symbol_code(), max_group=t.names), _adv(t), CONSTRUCTION
+    )
+    fresh = portfolio.balance_legs(portfolio.project_legs(capped, t.sectors, CONSTRUCTION), CONSTRUCTION)
+    next_day = t.sessions.select((F.col("pos") - 1).alias("pos"), F.col("date").alias("_next"))
+    days = F.broadcast(t.sessions.join(next_day, "pos").select("date", "_next"))
+    prior = fresh.join(days, "date").select(F.col("_next").alias("date"), "symbol", F.col("weight").alias("prev_weight"))
+    return portfolio.build_book(
+        signal, _adv(t), t.sectors, CONSTRUCTION, COSTS, prior=prior, tie_code=tables.symbol_code(), max_group=t.names
+    )
+
+
+@query("s6_selection", "date symbol base:9 k:i n_candidates:i", "sel")
+def _(t: Inputs):
+    return _selected(t)
+
+
+@query("s7_name_caps", "date symbol cap:13 adv_bound", "caps")
+def _(t: Inputs):
+    return _capped(t)
+
+
+@query(
+    "s8_water_fill",
+    "date symbol filled:9",
+    "SELECT date, symbol, filled FROM (" + fill("wf", "date", "mag", "cap", "target", "filled") + ")",
+)
+def _(t: Inputs):
+    rows = t.px.select("date", "symbol", F.col("volume").alias("mag"), (F.col("close") / 10).alias("cap"), F.lit(3000.0).alias("target"))
+    small = rows.join(t.sectors.filter("sector = 'ASIA'").select("symbol"), "symbol", "left_semi")
+    return portfolio.water_fill(small, ["date"], "mag", "cap", "target", "filled")
+
+
+@query("s9_leg_projection", "date symbol leg:i sector weight:9 allot:9 capacity:9 feasible", "legs")
+def _(t: Inputs):
+    return portfolio.project_legs(_capped(t), t.sectors, CONSTRUCTION)
+
+
+@query(
+    "s10_cap_redistribute",
+    "strategy pos:i symbol weight:9",
+    """SELECT strategy, pos, symbol, sign(weight) * (least(abs(weight), 0.003::DOUBLE) + coalesce(least(spare, excess * spare / nullif(room, 0)), 0)) AS weight
+       FROM (SELECT *, sum(greatest(abs(weight) - 0.003::DOUBLE, 0)) OVER g AS excess, sum(spare) OVER g AS room FROM
+         (SELECT strategy, pos, symbol, book AS weight, greatest(0.003::DOUBLE - abs(book), 0) AS spare FROM bk WHERE pos < (SELECT p FROM lastpos) AND abs(book) > 1e-9)
+         WINDOW g AS (PARTITION BY strategy, pos, sign(weight)))""",
+)
+def _(t: Inputs):
+    held = B.sleeve_positions(t.targets, t.sessions, BOOK.holding).filter(F.abs("book") > 1e-9)
+    rows = held.select("strategy", "pos", "symbol", F.col("book").alias("weight"))
+    return portfolio.cap_and_redistribute(rows, ["strategy", "pos"], "weight", 0.003)
+
+
+@query("s11_leg_balance", "date symbol weight:9 balanced", "bal")
+def _(t: Inputs):
+    return _balanced(t)
+
+
+@query("s12_rebalance_band", "date symbol prev_weight:9 weight:9 candidate banded", "fin")
+def _(t: Inputs):
+    return _book(t).positions
+
+
+@query(
+    "s13_constraint_checks",
+    "date gross:8 net:8 max_abs_weight:8 n_long:i n_short:i feasible legs_balanced n_adv_bound:i n_without_adv:i n_banded:i worst_sector_share:8 n_sectors:i ok_max_weight ok_sector_cap ok_gross ok_neutral",
+    """SELECT *, max_abs_weight <= 0.08::DOUBLE + 1e-9 AS ok_max_weight, n_sectors <= 1 OR coalesce(worst_sector_share, 0) <= 0.25::DOUBLE + 1e-9 AS ok_sector_cap,
+         feasible AND legs_balanced AND abs(gross - 1) <= 1e-6 AS ok_gross, abs(net) <= 1e-6 AS ok_neutral FROM (
+       SELECT f.date, sum(abs(weight)) AS gross, sum(weight) AS net, max(abs(weight)) AS max_abs_weight, count(*) FILTER (weight > 1e-12) AS n_long,
+         count(*) FILTER (weight < -1e-12) AS n_short, bool_and(coalesce(feasible, true)) AS feasible, bool_and(coalesce(balanced, true)) AS legs_balanced,
+         count(*) FILTER (adv_bound) AS n_adv_bound, count(*) FILTER (leg IS NOT NULL AND coalesce(adv, 0) <= 0) AS n_without_adv,
+         count(*) FILTER (banded) AS n_banded FROM fin f WHERE candidate GROUP BY 1)
+       LEFT JOIN (SELECT date, CASE WHEN sum(s) > 0 THEN max(s) / sum(s) END AS worst_sector_share FROM (SELECT date, sector, sum(abs(weight)) AS s FROM fin WHERE candidate GROUP BY 1, 2) GROUP BY 1) USING (date)
+       LEFT JOIN (SELECT date, count(DISTINCT coalesce(sector, 'NA')) AS n_sectors FROM sig LEFT JOIN sectors USING (symbol) GROUP BY 1) USING (date)""",
+)
+def _(t: Inputs):
+    return _book(t).checks
+
+
+oracle.part("trd", """
+SELECT date, symbol, prev_weight, weight AS target_weight, weight - prev_weight AS delta_weight, CASE WHEN weight > prev_weight THEN 'BUY' ELSE 'SELL' END AS side,
+  CASE WHEN adv > 0 THEN adv END AS adv, CASE WHEN adv > 0 THEN abs(weight - prev_weight) * 2e5 / adv END AS participation,
+  CASE WHEN weight > prev_weight THEN 4.5::DOUBLE ELSE 13.0::DOUBLE END + CASE WHEN adv > 0 THEN 1e3 * sqrt(abs(weight - prev_weight) * 2e5 / adv) ELSE 0 END AS cost_bps
+FROM fin WHERE abs(weight - prev_weight) > 1e-12
+""")
+
+
+@query("s14_trades", "date symbol prev_weight:9 target_weight:9 delta_weight:9 side adv:5 participation:7 cost_bps:5", "trd")
+def _(t: Inputs):
+    return _book(t).trades
+
+
+@query(
+    "s14_trade_totals",
+    "date turnover:8 total_cost_bps:5 n_trades:i",
+    "SELECT date, sum(abs(delta_weight)) AS turnover, sum(abs(delta_weight) * cost_bps) AS total_cost_bps, count(*) AS n_trades FROM trd GROUP BY 1",
+)
+def _(t: Inputs):
+    return portfolio.trade_totals(_book(t).trades)
+
+
+@query(
+    "s15_holdings_state",
+    "as_of:d symbol weight:9",
+    "SELECT (SELECT max(date) FROM bal WHERE date < DATE '2001-01-01') AS as_of, symbol, weight FROM bal WHERE abs(weight) > 1e-12 AND date = (SELECT max(date) FROM bal WHERE date < DATE '2001-01-01')",
+)
+def _(t: Inputs):
+    root = scratch_dir(t.spark, "holdings")
+    portfolio.save_holdings(_balanced(t).filter(F.abs("weight") > 1e-12), root)
+    return portfolio.load_holdings(t.spark, root, "2001-01-01")
+
+
+@query(
+    "s15_hold_unchanged",
+    "date as_of:d n_names:i",
+    """SELECT s.date, a.as_of, (SELECT count(*) FROM bal b WHERE b.date = a.as_of AND abs(b.weight) > 1e-12) AS n_names FROM sessions s
+       ASOF JOIN (SELECT DISTINCT date AS as_of FROM bal WHERE month(date) = 3 AND abs(weight) > 1e-12) a ON s.date >= a.as_of""",
+)
+def _(t: Inputs):
+    march = _balanced(t).filter((F.month("date") == 3) & (F.abs("weight") > 1e-12))
+    kept = portfolio.carry_forward(stage(march.select("date", "symbol", "weight"), "march"), t.sessions)
+    return kept.groupBy("date", "as_of").agg(F.count(F.lit(1)).alias("n_names"))
+
+
+@query(
+    "s16_factor_cards",
+    "factor horizon:i mean_ic:8 ic_ir:7 t_stat:6 hit_rate:8 n_dates:i gross_sharpe:7 net_sharpe:7 annual_turnover:7 total_cost_bps:6 n_trials:i dsr:7",
+    """SELECT i.factor, i.horizon, i.mean_ic, i.ic_ir, i.t_stat, i.hit_rate, i.n_dates, b.gross_sharpe, b.net_sharpe, b.annual_turnover,
+         b.total_cost_bps, d.n_trials, d.dsr FROM ictab i JOIN bsum b ON b.strategy = i.factor JOIN dsr d ON d.strategy = i.factor WHERE i.horizon = 4""",
+)
+def _(t: Inputs):
+    summary = B.summarize_backtest(t.daily, ["strategy"])
+    return studies.factor_cards(studies.ic_table(t.study, MIN_NAMES), summary, t.daily, 4, len(t.library))
+
+
+# -- quality -----------------------------------------------------------------------------
+
+QUALITY = "check status n_total:i n_bad:i fraction:9"
+
+
+def _verdict(name: str, limit: float, total: str, bad: str, source: str) -> str:
+    return f"""SELECT '{name}' AS "check", CASE WHEN f > {limit} THEN 'FAIL' WHEN f > {limit / 2} THEN 'WARN' ELSE 'PASS' END AS status, n_total, n_bad, f AS fraction
+      FROM (SELECT *, n_bad / n_total::DOUBLE AS f FROM (SELECT {total} AS n_total, {bad} AS n_bad FROM {source}))"""
+
+
+Q1 = _verdict("missing_trading_days", 0.02, "count(*)", "count(*) FILTER (date NOT IN (SELECT date FROM px))", "sessions")
+Q2 = _verdict("per_stock_coverage", 0.10, "count(*)", "count(*) FILTER (gap > 0.05)", "gaps")
+Q3 = _verdict("return_outliers", 0.01, "count(*)", "count(*) FILTER (abs(ret) > 0.4)", "rowret")
+Q4 = _verdict("flows_daily_gaps", 0.05, "count(*)", "count(*) FILTER (date NOT IN (SELECT date FROM flows))", "sessions")
+Q6 = """SELECT 'adjustment_sanity' AS "check", CASE WHEN n_bad > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n_total, n_bad, n_bad / n_total::DOUBLE AS fraction
+  FROM (SELECT count(*) AS n_total, count(*) FILTER (NOT coalesce(adj_factor > 0, false) OR adj_close IS NULL) AS n_bad FROM px)"""
+oracle.part("gaps", """
+SELECT symbol, max(pos) - min(pos) + 1 AS span_sessions, count(*) AS n_rows,
+  greatest(0, max(pos) - min(pos) + 1 - count(*)) / (max(pos) - min(pos) + 1)::DOUBLE AS gap FROM px JOIN sessions USING (date) GROUP BY 1
+""")
+oracle.part("rowret", "SELECT * FROM (SELECT date, symbol, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM px) WHERE ret IS NOT NULL")
+oracle.part("card", """
+SELECT d AS rebalance_date, least(500, (SELECT count(*) FROM (SELECT symbol FROM px WHERE date <= d GROUP BY 1 HAVING count(*) >= 26))) AS n_members
+FROM (SELECT max(date) AS d FROM sessions GROUP BY date_trunc('quarter', date))
+""")
+Q5 = """SELECT 'universe_cardinality' AS "check", CASE WHEN md NOT BETWEEN 80 AND 120 THEN 'FAIL' WHEN f < 80 OR l > 120 THEN 'WARN' ELSE 'PASS' END AS status,
+  n_total, n_bad, n_bad / n_total::DOUBLE AS fraction FROM (SELECT count(*) AS n_total, count(*) FILTER (n_members NOT BETWEEN 80 AND 120) AS n_bad,
+  quantile_cont(n_members, 0.5::DOUBLE) AS md, arg_min(n_members, rebalance_date) AS f, arg_max(n_members, rebalance_date) AS l FROM card)"""
+
+
+@query("q1_missing_sessions", QUALITY, Q1)
+def _(t: Inputs):
+    return quality.check_missing_sessions(t.px, t.sessions)
+
+
+@query("q2_name_coverage", QUALITY, Q2)
+def _(t: Inputs):
+    return quality.check_name_coverage(t.px, t.sessions)
+
+
+@query(
+    "q2_worst_names",
+    "symbol span_sessions:i n_rows:i gap_fraction:9",
+    "SELECT *, gap AS gap_fraction FROM gaps WHERE gap > 0.05 ORDER BY gap DESC, symbol LIMIT 10",
+)
+def _(t: Inputs):
+    return quality.worst_names(t.px, t.sessions)
+
+
+@query("q3_return_outliers", QUALITY, Q3)
+def _(t: Inputs):
+    return quality.check_return_outliers(t.px)
+
+
+@query("q3_worst_returns", "date symbol ret:9", "SELECT * FROM rowret WHERE abs(ret) > 0.4 ORDER BY abs(ret) DESC, date, symbol LIMIT 10")
+def _(t: Inputs):
+    return quality.worst_returns(t.px)
+
+
+@query("q4_series_gaps", QUALITY, Q4)
+def _(t: Inputs):
+    return quality.check_series_gaps(t.flows, t.sessions)
+
+
+@query("q5_universe_cardinality", "rebalance_date:d n_members:i", "card")
+def _(t: Inputs):
+    return quality.universe_cardinality(t.px, t.sessions, min_history=26)
+
+
+@query("q5_universe_check", QUALITY, Q5)
+def _(t: Inputs):
+    return quality.check_universe(t.px, t.sessions, (80, 120), min_history=26)
+
+
+@query("q6_adjustment_sanity", QUALITY, Q6)
+def _(t: Inputs):
+    return quality.check_adjustment(t.px)
+
+
+EVERY = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (Q1, Q2, Q3, Q4, Q5, Q6))
+
+
+@query("q7_all_checks", QUALITY, EVERY)
+def _(t: Inputs):
+    return quality.run_checks(t.px, t.sessions, flows=t.flows, band=(80, 120), min_history=26)
+
+
+@query(
+    "q7_overall",
+    "status n_checks:i",
+    f"SELECT CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n_checks FROM ({EVERY})",
+)
+def _(t: Inputs):
+    return quality.overall_status(quality.run_checks(t.px, t.sessions, flows=t.flows, band=(80, 120), min_history=26))

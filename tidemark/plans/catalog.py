@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import BookConfig, CompositeConfig, ConstructionConfig, CostConfig, FactorConfig, RegimeConfig
 from ..operators import factors as fac
 from ..operators import flowfeatures as ff
+from ..operators.labels import forward_returns, horizon_long
 from ..operators.panel import canonical_prices
 from ..session import release_staged, stage
 from ..sources import tables
@@ -32,7 +33,7 @@ REGIME = RegimeConfig(window=8, min_obs=52)
 COSTS = CostConfig(adv_window=8)
 BOOK = BookConfig(holding=4, leverage=0.05, notional=1e5, costs=COSTS)
 COMPOSITE = CompositeConfig("ic_ir", window=52, horizon=4, min_coverage=3)
-CONSTRUCTION = ConstructionConfig(top_n=10, max_weight=0.08, sector_cap=0.25, band=0.01, notional=2e5)
+CONSTRUCTION = ConstructionConfig(top_n=10, max_weight=0.08, sector_cap=0.25, band=0.01, notional=196_613.0)
 
 
 class Inputs:
@@ -86,6 +87,10 @@ class Inputs:
     def study(self) -> studies.Study:
         return studies.prepare(self.px, self.sessions, self.library, FACTORS, HORIZONS, max_group=self.names)
 
+    @cached_property
+    def study_labels(self) -> DataFrame:
+        return horizon_long(forward_returns(self.px, self.sessions, HORIZONS), HORIZONS)
+
     @cached_property
     def ic(self) -> DataFrame:
         return stage(studies.ic_series(self.study, MIN_NAMES), "ic")

@@ -143,8 +143,8 @@ SELECT *, least(10, n // 2)::DOUBLE AS k FROM (SELECT *, row_number() OVER (PART
 """)
 oracle.part("advd", "SELECT s.date, m.symbol, m.adv FROM mkt m JOIN sessions s USING (pos)")
 oracle.part("caps", """
-SELECT x.*, a.adv, least(0.08::DOUBLE, CASE WHEN a.adv > 0 THEN 0.1::DOUBLE * a.adv / 2e5 END) AS cap,
-  coalesce(0.1::DOUBLE * a.adv / 2e5 < 0.08::DOUBLE, false) AS adv_bound, sign(base)::INT AS leg, abs(base) AS mag, coalesce(sector, 'NA') AS sector
+SELECT x.*, a.adv, least(0.08::DOUBLE, CASE WHEN a.adv > 0 THEN 0.1::DOUBLE * a.adv / 196613.0::DOUBLE END) AS cap,
+  coalesce(0.1::DOUBLE * a.adv / 196613.0::DOUBLE < 0.08::DOUBLE, false) AS adv_bound, sign(base)::INT AS leg, abs(base) AS mag, coalesce(sector, 'NA') AS sector
 FROM sel x LEFT JOIN advd a ON a.date = x.date AND a.symbol = x.symbol LEFT JOIN sectors c ON c.symbol = x.symbol
 """)
 
@@ -232,7 +232,7 @@ def _(t: Inputs):
     return _selected(t)
 
 
-@query("s7_name_caps", "date symbol cap:13 adv_bound", "caps")
+@query("s7_name_caps", "date symbol cap:9 adv_bound", "caps")
 def _(t: Inputs):
     return _capped(t)
 
@@ -295,8 +295,8 @@ def _(t: Inputs):
 
 oracle.part("trd", """
 SELECT date, symbol, prev_weight, weight AS target_weight, weight - prev_weight AS delta_weight, CASE WHEN weight > prev_weight THEN 'BUY' ELSE 'SELL' END AS side,
-  CASE WHEN adv > 0 THEN adv END AS adv, CASE WHEN adv > 0 THEN abs(weight - prev_weight) * 2e5 / adv END AS participation,
-  CASE WHEN weight > prev_weight THEN 4.5::DOUBLE ELSE 13.0::DOUBLE END + CASE WHEN adv > 0 THEN 1e3 * sqrt(abs(weight - prev_weight) * 2e5 / adv) ELSE 0 END AS cost_bps
+  CASE WHEN adv > 0 THEN adv END AS adv, CASE WHEN adv > 0 THEN abs(weight - prev_weight) * 196613.0::DOUBLE / adv END AS participation,
+  CASE WHEN weight > prev_weight THEN 4.5::DOUBLE ELSE 13.0::DOUBLE END + CASE WHEN adv > 0 THEN 1e3 * sqrt(abs(weight - prev_weight) * 196613.0::DOUBLE / adv) ELSE 0 END AS cost_bps
 FROM fin WHERE abs(weight - prev_weight) > 1e-12
 """)
 

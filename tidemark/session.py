@@ -26,13 +26,18 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return spark
 
 
+def shared_root(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, or None on a single machine."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables and stream state.
 
     Lives under ``spark.checkpoint.dir``, which a cluster points at shared storage. Only
     where that is unset (tests on one machine) is a temporary folder used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared_root(spark)
     if base is None:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
@@ -49,7 +54,7 @@ def stage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     frame is persisted lazily and recomputed from lineage if a block disappears.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+    if shared_root(spark) is None:
         held = df.persist(StorageLevel.MEMORY_AND_DISK)
         _STAGED.append(held)
         return held

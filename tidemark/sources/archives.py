@@ -44,7 +44,6 @@ DEAL_HEADERS = {
 CASH_DATE_FORMATS = ("dd-MMM-yyyy", "dd-MMMM-yyyy", "dd MMM yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
 DEAL_DATE_FORMATS = ("dd-MMM-yyyy", "dd-MM-yyyy", "yyyy-MM-dd")
 PLACEHOLDER_PREFIX = "DUMMY"
-MAX_FIELDS = 40
 
 
 def is_html(text: Column) -> Column:
@@ -78,17 +77,16 @@ def title_date(line: Column) -> Column:
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, text)`` of every file below a directory."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _cells(line: Column) -> Column:
-    """Fields of one CSV line, quotes respected, as an array of strings."""
-    schema = ", ".join(f"c{i} string" for i in range(MAX_FIELDS))
-    parsed = F.from_csv(line, F.lit(schema), {"mode": "PERMISSIVE"})
-    return F.array(*[parsed[f"c{i}"] for i in range(MAX_FIELDS)])
+    """Fields of one CSV line as strings; commas inside quotes do not separate."""
+    fields = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(fields, lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), '""', '"'))
 
 
 def _lines(text: Column) -> Column:

@@ -61,9 +61,8 @@ def _candidates(t: Inputs) -> DataFrame:
         LEFT JOIN (SELECT p_partkey, unnest(tokens) AS token FROM cand) USING (token) GROUP BY 1, 2""",
 )
 def _(t: Inputs):
-    words = F.array(*[F.struct(F.lit(n).alias("token"), F.lit(a).alias("arity")) for n, a in VOCABULARY.items()])
     used = _candidates(t).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    table = t.sessions.limit(1).select(F.inline(words))
+    table = t.spark.createDataFrame(list(VOCABULARY.items()), "token string, arity int")
     return table.join(used, "token", "left").withColumn("n_used", F.coalesce("n", F.lit(0)))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asof, panel, quality
+from ..operators.calendar import rebalance_dates
 from ..operators.factors import shares_usable
-from ..session import scratch_dir
+from ..session import scratch_dir, stage
 from ..sources import archives, sinks, tables
 from ..streaming import incremental
 from . import oracle
@@ -352,16 +353,17 @@ oracle.part("mom", "SELECT *, row_number() OVER (PARTITION BY date ORDER BY volu
     "st2_daily_decisions",
     "as_of:d symbol weight:6",
     """SELECT d AS as_of, symbol, 0.2 AS weight FROM mom JOIN (SELECT d, CASE WHEN month(d) % 2 = 1 THEN d ELSE lag(d) OVER (ORDER BY d) END AS src
-         FROM (SELECT max(date) AS d FROM sessions WHERE year(date) = 2000 GROUP BY month(date))) ON date = src WHERE rn <= 5""",
+         FROM (SELECT max(date) AS d FROM sessions GROUP BY date_trunc('quarter', date))) ON date = src WHERE rn <= 5""",
 )
 def _(t: Inputs):
-    """Month ends of one year arrive as a stream; even months have no signal, so the book is held."""
+    """Quarter ends arrive as a stream; even months have no signal, so the book is held."""
     root = scratch_dir(t.spark, "daily")
-    ends = t.sessions.filter(F.year("date") == 2000).groupBy(F.month("date").alias("m")).agg(F.max("date").alias("date"))
-    ends.select("date").coalesce(1).write.parquet(f"{root}/in")
+    ends = rebalance_dates(t.sessions).withColumnRenamed("rebalance_date", "date")
+    ends.coalesce(1).write.parquet(f"{root}/in")
+    prices = stage(t.px, "prices")
 
     def decide(day: str, prior: DataFrame | None) -> DataFrame:
-        today = t.px.filter((F.col("date") == F.to_date(F.lit(day))) & (F.month("date") % 2 == 1))
+        today = prices.filter((F.col("date") == F.to_date(F.lit(day))) & (F.month("date") % 2 == 1))
         top = today.orderBy(F.col("volume").desc(), "symbol").limit(5)
         return top.select("date", "symbol", F.lit(0.2).alias("weight"))
 

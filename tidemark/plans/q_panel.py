@@ -199,13 +199,11 @@ def _(t: Inputs):
 @query(
     "c6_holidays",
     "date",
-    """SELECT d::DATE AS date FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM
-         (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT'))
-       WHERE isodow(d) <= 5 AND d::DATE NOT IN (SELECT o_orderdate::DATE FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    """SELECT d::DATE AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM sessions)
+       WHERE isodow(d) <= 5 AND d::DATE NOT IN (SELECT date FROM sessions)""",
 )
 def _(t: Inputs):
-    urgent = t.table("orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    return calendar.holidays(calendar.sessions_from(urgent, "o_orderdate"))
+    return calendar.holidays(t.sessions)
 
 
 @query(

@@ -128,10 +128,6 @@ def _(t: Inputs):
     return S.on_fraction(_gates(t))
 
 
-oracle.part("wf", """
-SELECT date, symbol, volume AS mag, close / 10 AS cap, 3000.0::DOUBLE AS target FROM px WHERE symbol IN (SELECT symbol FROM sectors WHERE sector = 'ASIA')
-""")
-
 # -- portfolio ---------------------------------------------------------------------------
 # Decisions on every session from the reversal factor; yesterday's unbanded book is the prior.
 
@@ -237,15 +233,20 @@ def _(t: Inputs):
     return _capped(t)
 
 
+oracle.part("wf", "SELECT date, leg, symbol, mag, cap, 0.5::DOUBLE AS target FROM caps")
+
+
 @query(
     "s8_water_fill",
-    "date symbol filled:9",
-    "SELECT date, symbol, filled FROM (" + fill("wf", "date", "mag", "cap", "target", "filled") + ")",
+    "date leg:i symbol filled:9",
+    "SELECT date, leg, symbol, filled FROM (" + fill("wf", "date, leg", "mag", "cap", "target", "filled") + ")",
 )
 def _(t: Inputs):
-    rows = t.px.select("date", "symbol", F.col("volume").alias("mag"), (F.col("close") / 10).alias("cap"), F.lit(3000.0).alias("target"))
-    small = rows.join(t.sectors.filter("sector = 'ASIA'").select("symbol"), "symbol", "left_semi")
-    return portfolio.water_fill(small, ["date"], "mag", "cap", "target", "filled")
+    """Both legs of every date; a group holds at most ``top_n`` selected names."""
+    rows = _capped(t).withColumns(
+        {"leg": F.signum("base").cast("int"), "mag": F.abs("base"), "target": F.lit(0.5)}
+    )
+    return portfolio.water_fill(rows, ["date", "leg"], "mag", "cap", "target", "filled")
 
 
 @query("s9_leg_projection", "date symbol leg:i sector weight:9 allot:9 capacity:9 feasible", "legs")

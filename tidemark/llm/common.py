@@ -70,9 +70,12 @@ def ranged(df: DataFrame, keys: list, purpose: str) -> DataFrame:
 
 
 def part_offsets(df: DataFrame, **totals: Column) -> DataFrame:
-    """For each ``_part`` the sums over all earlier parts: one row per partition, no more."""
+    """For each ``_part`` the sums over all earlier parts, and with ``_all`` appended to the name those
+    over all parts: one row per partition, no more."""
     per = df.groupBy("_part").agg(*[v.alias(k) for k, v in totals.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        F.col("_part"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in totals]
+        "_part",
+        *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in totals],
+        *[F.sum(k).over(Window.partitionBy()).alias(f"{k}_all") for k in totals],
     )

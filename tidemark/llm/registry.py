@@ -29,4 +29,5 @@ def load_all() -> None:
     from tidemark.llm import (  # noqa: F401
         curve,
         mixing,
+        rules,
     )

@@ -30,4 +30,5 @@ def load_all() -> None:
         curve,
         mixing,
         rules,
+        simhash,
     )

@@ -16,17 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, stage
+from tidemark.llm.common import SPACE, bind, stage, tasks
 from tidemark.llm.registry import query, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Words of a block. Short blocks keep the drawn totals near their targets.
-BLOCK = 32
-#: Slots of an output shard.
-SHARD_SLOTS = 128
+#: Words of a block.
+BLOCK = 128
+#: Slots of an output shard; many small shards keep the drawn totals near their targets.
+SHARD_SLOTS = 32
 #: Shards whose slots are numbered together.
-SHARD_GROUP = 512
+SHARD_GROUP = 2048
 #: A source's stream is ordered by hash bucket first, so that a hot source spreads over tasks.
 BUCKETS = 4096
 ROUNDS = 12
@@ -115,20 +115,27 @@ def slots(spark: SparkSession, goals: DataFrame, block: int = BLOCK, shard_slots
         F.struct(F.ceil(F.col("_hi") / F.col("_all") * DRAW).cast("long").alias("hi"), "place", "blocks").alias("b"), "_all"
     )
     # One row: the sources' cumulated weights as an array (its length is the number of sources).
-    wheel = bounds.agg(F.array_sort(F.collect_list("b")).alias("wheel"), F.max("_all").alias("_all"))
+    draws = F.array(*[draw(F.lit(i)) for i in range(shard_slots)])
+    wheel = bounds.agg(F.array_sort(F.collect_list("b")).alias("wheel"), F.max("_all").alias("_all")).withColumn("draws", draws)
     slots_all, last = F.ceil(F.col("_all") / block).cast("long"), F.ceil(F.col("_all") / (block * shard_slots)).cast("long")
-    shards = wheel.where("_all > 0").select("wheel", slots_all.alias("_slots"), last.alias("_shards"), F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("shard"))
+    shards = wheel.where("_all > 0").select(
+        "wheel", "draws", slots_all.alias("_slots"), last.alias("_shards"), F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("shard")
+    )
     turn = permuted(F.col("shard"), F.col("_shards"), F.lit(5).cast("long")) * F.lit(DRAW)
-    drawn = (
-        shards.repartition("shard")
+
+    def pick(u: Column) -> Column:
+        return F.element_at(F.filter("wheel", lambda b: u < b["hi"]), 1)
+
+    # The wheel stays in the row of a shard; the rows of its slots hold what they picked only.
+    picked = (
+        shards.repartition(tasks(spark), "shard")
         .withColumn("_turn", F.floor(turn / F.col("_shards")).cast("long"))
-        .select("wheel", "shard", "_slots", "_turn", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot"))
+        .select("shard", "_slots", F.transform("draws", lambda d: bind((d + F.col("_turn")) % DRAW, pick)).alias("_picks"))
+        .select("shard", "_slots", F.posexplode("_picks").alias("slot", "_pick"))
         .where(F.col("shard") * shard_slots + F.col("slot") < F.col("_slots"))
-        .withColumn("_u", (draw(F.col("slot")) + F.col("_turn")) % DRAW)
-        .withColumn("_pick", F.element_at(F.filter("wheel", lambda b: F.col("_u") < b["hi"]), 1))
         .select("shard", "slot", F.col("_pick.place").alias("place"), F.col("_pick.blocks").alias("blocks"))
-        .withColumn("_g", F.floor(F.col("shard") / SHARD_GROUP))
     )
+    drawn = stage(picked.withColumn("_g", F.floor(F.col("shard") / SHARD_GROUP)), "mix-slots")
     counts = drawn.groupBy("place", "_g").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("place").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("place", "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))

@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from tidemark.llm import (  # noqa: F401
         curve,
+        dac,
         mixing,
         rules,
         simhash,

@@ -79,3 +79,18 @@ def part_offsets(df: DataFrame, **totals: Column) -> DataFrame:
         *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in totals],
         *[F.sum(k).over(Window.partitionBy()).alias(f"{k}_all") for k in totals],
     )
+
+
+def ranked(df: DataFrame, group: str, keys: list[str], name: str, buckets: int = 1024) -> DataFrame:
+    """``df`` with a gapless number from 0 inside each ``group``, in an order that a hash of ``keys`` gives.
+
+    A group is numbered bucket by bucket, so that one holding a third of all rows spreads over tasks.
+    """
+    rows = df.withColumn("_h", F.xxhash64(*keys)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    base = per.select(F.col(group).alias("_g"), F.col("_b").alias("_gb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(group, "_b").orderBy("_h", *keys)
+    numbered = rows.withColumn("_in", F.row_number().over(inside) - 1)
+    joined = numbered.join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    return joined.select(*df.columns, (F.col("_base") + F.col("_in")).cast("long").alias(name))

@@ -30,6 +30,7 @@ def load_all() -> None:
         curve,
         dac,
         mixing,
+        packing,
         rules,
         simhash,
     )

@@ -33,4 +33,5 @@ def load_all() -> None:
         packing,
         rules,
         simhash,
+        warc,
     )

@@ -29,6 +29,7 @@ def load_all() -> None:
     from tidemark.llm import (  # noqa: F401
         curve,
         dac,
+        kneser,
         mixing,
         packing,
         rules,

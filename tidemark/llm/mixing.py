@@ -55,9 +55,9 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of the whole text."""
+    """doc_id, source, the number of words of the whole text, and a hash of the text."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]+"))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words.cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -94,10 +94,10 @@ def stream(sized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     per = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("source").alias("_s"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_pb")))
-    return joined.select("doc_id", "source", "size", (F.col("_base") + F.col("_in")).alias("start"))
+    return joined.select("doc_id", "source", "size", "text_hash", (F.col("_base") + F.col("_in")).alias("start"))
 
 
 def slots(spark: SparkSession, goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -154,17 +154,23 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     return stream(sized), goals, slots(docs.sparkSession, goals, block, shard_slots)
 
 
-def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words of each document in the mix."""
+def spread(docs: DataFrame, block: int, shard_slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their targets, a row per document and block that meet, slots)."""
     placed, goals, drawn = mix(docs, block, shard_slots)
     goal = goals.select(F.col("source").alias("_s"), "place", "source_size", "target")
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    spread = placed.where("size > 0").select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("index"))
+    met = placed.where("size > 0").select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("index"))
+    return placed, met, drawn
+
+
+def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: the words of each document in the mix."""
+    placed, met, drawn = spread(docs, block, shard_slots)
     overlap = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
     times = drawn.groupBy("place", "index").agg(F.count("*").alias("_times"))
     words = (
-        spread.join(times, ["place", "index"])
+        met.join(times, ["place", "index"])
         .groupBy("place", "start")
         .agg(F.sum(overlap * F.col("_times")).alias("taken"))
         .select(F.col("place").alias("_p"), F.col("start").alias("_st"), "taken")
@@ -174,6 +180,34 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: what each pass over a source takes of a document.
+
+    Neighbouring blocks of one pass stay together, so a pass over a whole source gives whole documents
+    and a partial one runs of ``block`` words; ``n_chars``, if there, counts the run. White space between
+    words is kept. Documents without words give no row.
+    """
+    _, met, drawn = spread(docs, block, shard_slots)
+    passes = met.join(drawn.select("place", "index", "epoch"), ["place", "index"])
+    doc = ["place", "start", "epoch"]
+    run = F.col("index") - F.row_number().over(Window.partitionBy(*doc).orderBy("index"))
+    runs = passes.withColumn("_run", run).groupBy(*doc, "_run", "doc_id", "text_hash", "size").agg(F.min("index").alias("_i"), F.max("index").alias("_j"))
+    begin = F.greatest(F.col("_i") * block - F.col("start"), F.lit(0))
+    end = F.least((F.col("_j") + 1) * block - F.col("start"), F.col("size"))
+    # Equal rows differ by their place in the stream; their n-th takes the n-th row's runs.
+    twin = F.dense_rank().over(Window.partitionBy("doc_id", "text_hash").orderBy("place", "start"))
+    parts = runs.select("doc_id", "text_hash", F.struct(twin.alias("twin"), begin.cast("int").alias("a"), end.cast("int").alias("b")).alias("_part"))
+    parts = parts.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list("_part").alias("_parts"))
+    rows = docs.withColumn("_h", F.xxhash64("text")).join(parts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
+    rows = rows.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.col("source").asc_nulls_last())))
+    words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), 0)
+    own = F.filter("_parts", lambda p: p["twin"] == F.col("_twin"))
+    cut = bind(words, lambda w: F.transform(own, lambda p: F.array_join(F.slice(w, p["a"] + 1, p["b"] - p["a"]), "")))
+    rows = rows.withColumn("_text", F.explode(cut))
+    fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+
+
 @query("op2_mix_to_weights")
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import the modules that register queries."""
     from tidemark.llm import (  # noqa: F401
+        ann,
         curve,
         dac,
         kneser,

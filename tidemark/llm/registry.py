@@ -31,6 +31,7 @@ def load_all() -> None:
         curve,
         dac,
         kneser,
+        licenses,
         mixing,
         packing,
         rules,

@@ -55,27 +55,27 @@ def tasks(spark: SparkSession) -> int:
 
 
 def ranged(df: DataFrame, keys: list, purpose: str) -> DataFrame:
-    """Sort a frame globally and stage it with ``_part`` (int) and ``_pos`` (long, from 0).
+    """Sort a frame globally and stage it with ``__part`` (int) and ``__pos`` (long, from 0).
 
     Range partitioning splits equal leading keys by the later ones, so that give keys whose
     tail is near unique. Only the staged table fixes the boundaries; everything later reads it.
     """
     spread = df.repartitionByRange(tasks(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    staged = stage(spread.withColumn("_ord", F.monotonically_increasing_id()), purpose)
+    staged = stage(spread.withColumn("__ord", F.monotonically_increasing_id()), purpose)
     return staged.select(
         *df.columns,
-        F.shiftright("_ord", ORDINAL_BITS).cast("int").alias("_part"),
-        F.col("_ord").bitwiseAND((1 << ORDINAL_BITS) - 1).alias("_pos"),
+        F.shiftright("__ord", ORDINAL_BITS).cast("int").alias("__part"),
+        F.col("__ord").bitwiseAND((1 << ORDINAL_BITS) - 1).alias("__pos"),
     )
 
 
 def part_offsets(df: DataFrame, **totals: Column) -> DataFrame:
-    """For each ``_part`` the sums over all earlier parts, and with ``_all`` appended to the name those
+    """For each ``__part`` the sums over all earlier parts, and with ``_all`` appended to the name those
     over all parts: one row per partition, no more."""
-    per = df.groupBy("_part").agg(*[v.alias(k) for k, v in totals.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy("__part").agg(*[v.alias(k) for k, v in totals.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        "_part",
+        "__part",
         *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in totals],
         *[F.sum(k).over(Window.partitionBy()).alias(f"{k}_all") for k in totals],
     )

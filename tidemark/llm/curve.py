@@ -9,7 +9,9 @@ Order: curve, text hash, document hash, doc_id. Equal texts of one cell are adja
 larger than a shard is cut by the later keys. Identical rows are interchangeable.
 
 Nulls and odd input: a null dimension falls in the lowest cell, a null text counts as empty (16 bytes of
-size, CRC 0), an empty table gives no rows, other columns pass through untouched.
+size, CRC 0), an empty table gives no rows, other columns pass
+through untouched, the added ones replace those of the same names, and names that begin with two
+underscores are reserved.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def cuts(df: DataFrame, dims: tuple[str, ...], bits: int) -> list[list[float]]:
 
 
 def curve_index(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """``df`` with ``_curve``; the table of 2^(bits * dimensions) cells is made by rule and broadcast."""
+    """``df`` with ``__curve``; the table of 2^(bits * dimensions) cells is made by rule and broadcast."""
     edges = cuts(df, dims, bits)
     cell = F.lit(0)
     for d, own in zip(dims, edges, strict=True):
@@ -84,24 +86,25 @@ def curve_index(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, bits: int = B
     side = 1 << bits
     points = [[c // side**i % side for i in range(len(dims) - 1, -1, -1)] for c in range(side ** len(dims))]
     places = df.sparkSession.createDataFrame(
-        [(c, hilbert(tuple(p), bits)) for c, p in enumerate(points)], "_cell int, _curve int"
+        [(c, hilbert(tuple(p), bits)) for c, p in enumerate(points)], "__cell int, __curve int"
     )
-    return df.withColumn("_cell", cell).join(F.broadcast(places), "_cell").drop("_cell")
+    return df.withColumn("__cell", cell).join(F.broadcast(places), "__cell").drop("__cell")
 
 
 def shard(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` as a table sorted along the curve, with ``shard`` and the gapless ``slot`` in it."""
+    df = df.drop("curve_index", "shard", "slot")
     keyed = curve_index(df, dims, bits).withColumns(
-        {"_text": F.xxhash64("text"), "_doc": F.xxhash64("doc_id")}
+        {"__text": F.xxhash64("text"), "__doc": F.xxhash64("doc_id")}
     )
-    runs = ranged(keyed, ["_curve", "_text", "_doc", "doc_id"], "curve")
+    runs = ranged(keyed, ["__curve", "__text", "__doc", "doc_id"], "curve")
     # One row per range partition; their number is set by the session, not by the data.
-    before = F.broadcast(part_offsets(runs, _before=F.count("*")))
-    placed = runs.join(before, "_part").withColumn("_rank", F.col("_before") + F.col("_pos"))
-    own = F.floor(F.col("_rank") * shards / F.col("_before_all"))
-    first = F.ceil(own * F.col("_before_all") / shards)
+    before = F.broadcast(part_offsets(runs, **{"__before": F.count("*")}))
+    placed = runs.join(before, "__part").withColumn("__rank", F.col("__before") + F.col("__pos"))
+    own = F.floor(F.col("__rank") * shards / F.col("__before_all"))
+    first = F.ceil(own * F.col("__before_all") / shards)
     return placed.select(
-        *df.columns, F.col("_curve").alias("curve_index"), own.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot")
+        *df.columns, F.col("__curve").alias("curve_index"), own.cast("int").alias("shard"), (F.col("__rank") - first).cast("long").alias("slot")
     )
 
 

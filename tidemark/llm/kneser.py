@@ -172,7 +172,7 @@ def score_block(docs: pa.Table, answers: pa.Table, labels: pa.Table | None) -> p
             mean[i] = total / len(g)
     return pa.table({
         "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()),
-        "perplexity": pa.array(np.exp(-mean), from_pandas=True), "held": pa.array([i in held for i in ids]),
+        "perplexity": pa.array(np.exp(-mean), from_pandas=True), "held": pa.array([i in held for i in ids], pa.bool_()),
     })
 
 
@@ -300,8 +300,8 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps; a doc_id goes if any of its rows is rejected."""
-    gone = judge(docs, trusted).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = judge(docs, trusted).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 @query("op10_kneser_ney_quality")

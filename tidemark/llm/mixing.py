@@ -90,11 +90,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> Da
 
 def stream(sized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The words' places: ``start`` of every document in its source's stream."""
-    rows = sized.withColumn("_h", draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("_b", F.col("_h") % buckets)
+    rows = sized.withColumn("__h", draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("_b", F.col("__h") % buckets)
     per = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("source").alias("_s"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_b").orderBy("__h", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_pb")))
     return joined.select("doc_id", "source", "size", "text_hash", (F.col("_base") + F.col("_in")).alias("start"))
@@ -196,15 +196,15 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     end = F.least((F.col("_j") + 1) * block - F.col("start"), F.col("size"))
     # Equal rows differ by their place in the stream; their n-th takes the n-th row's runs.
     twin = F.dense_rank().over(Window.partitionBy("doc_id", "text_hash").orderBy("place", "start"))
-    parts = runs.select("doc_id", "text_hash", F.struct(twin.alias("twin"), begin.cast("int").alias("a"), end.cast("int").alias("b")).alias("_part"))
-    parts = parts.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list("_part").alias("_parts"))
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(parts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    rows = rows.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.col("source").asc_nulls_last())))
+    parts = runs.select("doc_id", "text_hash", F.struct(twin.alias("twin"), begin.cast("int").alias("a"), end.cast("int").alias("b")).alias("__part"))
+    parts = parts.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.collect_list("__part").alias("__parts"))
+    rows = docs.withColumn("__h", F.xxhash64("text")).join(parts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
+    rows = rows.withColumn("__twin", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.col("source").asc_nulls_last())))
     words = F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), 0)
-    own = F.filter("_parts", lambda p: p["twin"] == F.col("_twin"))
+    own = F.filter("__parts", lambda p: p["twin"] == F.col("__twin"))
     cut = bind(words, lambda w: F.transform(own, lambda p: F.array_join(F.slice(w, p["a"] + 1, p["b"] - p["a"]), "")))
-    rows = rows.withColumn("_text", F.explode(cut))
-    fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    rows = rows.withColumn("__text", F.explode(cut))
+    fresh = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return rows.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
 
 

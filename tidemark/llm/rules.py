@@ -153,11 +153,11 @@ def measurements(text: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``fail_bits``."""
-    own = docs.withColumn("_m", measurements(F.col(text)))
-    found = {m: F.col(f"_m.{m}") for m in ("word_chars", "n_symbols")}
-    found |= {m: F.col(f"_m.l.{m}") for m in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
-    found |= {m: F.col(f"_m.w.{m}") for m in ("n_words", "n_repeat_words", "n_shouted", "n_exclaimed", "n_letter_words", "n_stuttered")}
-    measured = own.withColumns({m: found[m] for m in MEASURES}).drop("_m")
+    own = docs.withColumn("__m", measurements(F.col(text)))
+    found = {m: F.col(f"__m.{m}") for m in ("word_chars", "n_symbols")}
+    found |= {m: F.col(f"__m.l.{m}") for m in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
+    found |= {m: F.col(f"__m.w.{m}") for m in ("n_words", "n_repeat_words", "n_shouted", "n_exclaimed", "n_letter_words", "n_stuttered")}
+    measured = own.withColumns({m: found[m] for m in MEASURES}).drop("__m")
     bits = F.lit(0).cast("long")
     for i, (_, failed) in enumerate(rules()):
         bits = bits + F.when(failed, F.lit(1 << i)).otherwise(F.lit(0))

@@ -102,11 +102,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay: nothing can name them.
     """
-    first = near_duplicates(docs).where("component_id IS NOT NULL").select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi")
+    first = near_duplicates(docs).where("component_id IS NOT NULL").select(F.col("component_id").alias("__keep")).distinct()
+    named = docs.join(first, F.col("doc_id") == F.col("__keep"), "left_semi")
     order = [c for c in docs.columns if c != "doc_id"]
     one = Window.partitionBy("doc_id").orderBy(*order)
-    named = named.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    named = named.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -9,10 +9,6 @@ so a value shared by a third of a group costs one row.
 
 The code depends on the value alone, never on samples, so a recomputed task after an
 executor loss lands every row in the same bucket.
-
-Buckets cost extra passes. When the caller can bound the largest group (``max_group``) below
-``WINDOW_GROUP_LIMIT`` the same result comes from one window per group instead. The bound
-only picks the strategy; both give identical results whatever the data.
 """
 
 from __future__ import annotations
@@ -24,20 +20,14 @@ from pyspark.sql import functions as F
 
 from .numeric import broadcast_if_bounded
 
-#: Buckets per factor of e in magnitude: neighbours differ by about 0.4 percent.
-RESOLUTION = 256
-
-#: Largest group a single task may sort; beyond it (or without a bound) buckets are used.
-WINDOW_GROUP_LIMIT = 1_000_000
+#: Buckets per factor of e in magnitude: neighbours differ by about 0.05 percent, so that even a
+#: cross-section within a few percent fills hundreds of buckets.
+RESOLUTION = 2048
 
 #: ``ln`` of the smallest positive double is about -744.4.
 _LN_FLOOR = 746
 
 
-def fits_window(max_group: int | None) -> bool:
-    return max_group is not None and max_group <= WINDOW_GROUP_LIMIT
-
-
 def value_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
     """Order-preserving BIGINT code of a finite double (log-spaced, signed)."""
     size = (F.floor(F.ln(F.abs(value)) * resolution) + _LN_FLOOR * resolution).cast("long")
@@ -90,20 +80,11 @@ def bucket_heads(tied: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def window_average_rank(by: Sequence[str], value: str) -> Column:
-    """Average rank over a group window: mean of the first and last position of the peers."""
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return ((F.rank().over(order) + upto) / F.lit(2.0)).cast("double")
-
-
 def average_rank(
-    df: DataFrame, by: Sequence[str], value: str, out: str, *, max_group: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Add the 1-based rank with ties sharing their mean position; NULL values are dropped."""
     present = df.filter(F.col(value).isNotNull())
-    if fits_window(max_group):
-        return present.withColumn(out, window_average_rank(by, value))
     return present.join(average_rank_table(present, by, value, out), [*by, value])
 
 
@@ -122,19 +103,12 @@ def ordinal_rank(
     *,
     n_out: str | None = None,
     tie_code: Column | None = None,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position ordered by ``(value, tie)``; NULL values are dropped.
 
     ``tie_code`` is an order-preserving coarse code of ``tie`` (for instance a fixed-length
     prefix). It spreads one heavily repeated value over several tasks.
     """
-    if fits_window(max_group):
-        group = Window.partitionBy(*by)
-        placed = df.filter(F.col(value).isNotNull()).withColumn(
-            out, F.row_number().over(group.orderBy(value, tie)).cast("long")
-        )
-        return placed.withColumn(n_out, F.count(F.lit(1)).over(group)) if n_out else placed
     present = df.filter(F.col(value).isNotNull()).withColumn(
         "_tc", tie_code if tie_code is not None else F.lit(0)
     )
@@ -234,7 +208,6 @@ def select_tails(
     *,
     tie_code: Column | None = None,
     max_groups: int | None = None,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Rows among the ``size`` lowest (``side`` = -1) or highest (``side`` = +1) of a group.
 
@@ -243,12 +216,6 @@ def select_tails(
     a cut-off are ranked exactly.
     """
     present = df.filter(F.col(value).isNotNull())
-    if fits_window(max_group):
-        ranked = ordinal_rank(present, by, value, tie, "_place", n_out="group_n", max_group=max_group)
-        sized = ranked.withColumn("tail_n", size.cast("long"))
-        low = F.col("_place") <= F.col("tail_n")
-        high = F.col("_place") > F.col("group_n") - F.col("tail_n")
-        return sized.withColumn("side", F.when(low, -1).when(high, 1)).filter("side IS NOT NULL").drop("_place")
     table = bucket_table(present, by, value).withColumn("group_n", F.col("_n"))
     table = table.withColumn("_k", size.cast("long"))
     after = F.col("_before") + F.col("_size")

@@ -28,12 +28,13 @@ def water_fill(df: DataFrame, group: Sequence[str], mag: str, cap: str, target:
     Sorted by ``cap / mag``, the common level is the first one that saturates nobody further
     down the order. When the caps cannot hold the target every item sits at its cap.
     """
-    share = F.col(cap) / F.col(mag)
+    share = F.try_divide(F.col(cap), F.col(mag))
     order = Window.partitionBy(*group).orderBy(share, mag)
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    left_mag = F.sum(mag).over(whole) - F.coalesce(F.sum(mag).over(ahead), F.lit(0.0))
-    level = (F.col(target) - F.coalesce(F.sum(cap).over(ahead), F.lit(0.0))) / left_mag
+    # Summed from the row on: a total less a prefix would lose small magnitudes next to large ones.
+    left_mag = F.sum(mag).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.try_divide(F.col(target) - F.coalesce(F.sum(cap).over(ahead), F.lit(0.0)), left_mag)
     levels = df.withColumns({"_level": level, "_i": F.row_number().over(order)})
     first = F.min_by(F.when(F.col("_level") <= share, F.col("_level")), F.when(F.col("_level") <= share, F.col("_i")))
     common = levels.withColumn("_common", first.over(whole))
@@ -65,13 +66,12 @@ def select_names(
     cfg: ConstructionConfig,
     *,
     tie_code: Column | None = None,
-    max_group: int | None = None,
 ) -> DataFrame:
     """``(date, symbol, base, k, n_candidates)``: top and bottom names with equal base weight."""
     limit = F.col("group_n") if cfg.long_only else F.floor(F.col("group_n") / 2)
     picked = select_tails(
         signal, ["date"], "value", "symbol", F.least(F.lit(cfg.top_n), limit),
-        tie_code=tie_code, max_groups=MAX_SESSIONS, max_group=max_group,
+        tie_code=tie_code, max_groups=MAX_SESSIONS,
     )
     if cfg.long_only:
         picked = picked.filter("side = 1")
@@ -172,14 +172,13 @@ def build_book(
     *,
     prior: DataFrame | None = None,
     tie_code: Column | None = None,
-    max_group: int | None = None,
 ) -> Book:
     """Portfolio, trades and constraint checks for every date of ``signal``.
 
     ``prior`` holds ``(date, symbol, prev_weight)``: the book in force before each decision.
     """
     live = stage(signal.select("date", "symbol", "value").filter(F.col("value").isNotNull()), "signal")
-    capped = name_caps(select_names(live, cfg, tie_code=tie_code, max_group=max_group), adv, cfg)
+    capped = name_caps(select_names(live, cfg, tie_code=tie_code), adv, cfg)
     fresh = balance_legs(project_legs(capped, mapping, cfg), cfg)
     target = stage(
         fresh.select(

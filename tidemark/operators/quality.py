@@ -105,10 +105,12 @@ def worst_returns(prices: DataFrame, k: int = 10) -> DataFrame:
 
 
 def universe_cardinality(
-    prices: DataFrame, sessions: DataFrame, *, min_history: int = 60, size: int = 500, freq: str = "quarterly"
+    prices: DataFrame, sessions: DataFrame, *, min_history: int = 60, size: int | None = None, freq: str = "quarterly"
 ) -> DataFrame:
     """``(rebalance_date, n_members)``: names with enough history as of each rebalance.
 
+    ``size`` caps the count where a universe is declared to hold so many names; by default none is.
+
     A name becomes eligible on its ``min_history``-th row and stays eligible, so one date
     per name and a running count over the sessions replace a rescan per rebalance. The
     reference rule also asks for a last close, which the canonical panel guarantees.
@@ -126,7 +128,7 @@ def universe_cardinality(
         Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     )
     grown = sessions.join(broadcast_if_bounded(starts, MAX_SESSIONS), "date", "left").select(
-        F.col("date").alias("rebalance_date"), F.least(running, F.lit(size)).cast("long").alias("n_members")
+        F.col("date").alias("rebalance_date"), (running if size is None else F.least(running, F.lit(size))).cast("long").alias("n_members")
     )
     return grown.join(broadcast_if_bounded(rebalance_dates(sessions, freq), MAX_SESSIONS), "rebalance_date", "left_semi")
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,29 +120,17 @@ def right_align(returns: DataFrame, config: str, ret: str) -> DataFrame:
     )
 
 
-def _spaced_masks(size: int, cap: int) -> list[int]:
-    """Evenly spaced balanced splits in lexicographic order, as block bitmasks."""
-    step = math.comb(size, size // 2) / cap
-    wanted = iter(int(i * step) for i in range(cap))
-    target, out = next(wanted), []
-    for index, combo in enumerate(itertools.combinations(range(size), size // 2)):
-        while target is not None and index == target:
-            out.append(sum(1 << b for b in combo))
-            target = next(wanted, None)
-        if target is None:
-            break
-    return out
+def balanced_splits(spark, n_partitions: int, n_blocks: Column | None = None) -> DataFrame:
+    """``(mask, n_blocks)``: all bitmasks choosing half of the blocks as in-sample.
 
-
-def balanced_splits(spark, n_partitions: int, max_splits: int | None = 20_000) -> DataFrame:
-    """Bitmasks choosing half of the blocks as in-sample."""
+    ``n_blocks`` (at most ``n_partitions``) is the number of blocks the returns allow.
+    """
     if n_partitions % 2:
         raise ValueError("n_partitions must be even")
-    total = math.comb(n_partitions, n_partitions // 2)
-    if max_splits is not None and total > max_splits:
-        return spark.createDataFrame([(m,) for m in _spaced_masks(n_partitions, max_splits)], "mask long")
     every = spark.range(1 << n_partitions).select(F.col("id").alias("mask"))
-    return every.filter(F.bit_count("mask") == n_partitions // 2)
+    every = every.withColumn("n_blocks", F.lit(n_partitions) if n_blocks is None else n_blocks)
+    fits = F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n_blocks").cast("int"))
+    return every.filter(fits & (F.bit_count("mask") * 2 == F.col("n_blocks")))
 
 
 def block_statistics(returns: DataFrame, config: str, n_partitions: int) -> DataFrame:
@@ -177,18 +164,14 @@ def split_logits(
     *,
     config: str = "strategy",
     n_partitions: int = 16,
-    max_splits: int | None = 20_000,
+    score: Callable[[Column, Column, Column, Column], Column] = sharpe_from,
 ) -> DataFrame:
-    """Per split: in-sample winner, its relative out-of-sample rank and the logit."""
+    """Per split: in-sample winner, its relative out-of-sample rank and the logit.
+
+    ``score`` makes the ranked metric of (mean, deviation, largest magnitude, count).
+    """
     stats = block_statistics(returns, config, n_partitions)
-    masks = balanced_splits(returns.sparkSession, n_partitions, max_splits)
-    if n_partitions > 2:
-        smaller = [balanced_splits(returns.sparkSession, s, max_splits) for s in range(2, n_partitions, 2)]
-        by_size = masks.withColumn("n_blocks", F.lit(n_partitions))
-        for size, part in zip(range(2, n_partitions, 2), smaller):
-            by_size = by_size.unionByName(part.withColumn("n_blocks", F.lit(size)))
-    else:
-        by_size = masks.withColumn("n_blocks", F.lit(n_partitions))
+    by_size = balanced_splits(returns.sparkSession, n_partitions, stats.agg(F.max("n_blocks")).scalar())
     members = by_size.select(
         "mask", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
     ).withColumn("inside", F.expr("(shiftright(mask, block) & 1) = 1"))
@@ -206,7 +189,7 @@ def split_logits(
     n = F.col("n").cast("double")
     mean = F.col("centre") + F.col("s1") / n
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / F.when(n > 1, n - 1)))
-    scored = sums.withColumn("score", sharpe_from(mean, sd, F.col("top"), F.col("n")))
+    scored = sums.withColumn("score", score(mean, sd, F.col("top"), F.col("n")))
     sides = scored.groupBy("mask", config).agg(
         F.max(F.when(F.col("inside"), F.col("score"))).alias("is_score"),
         F.max(F.when(~F.col("inside"), F.col("score"))).alias("oos_score"),

@@ -42,7 +42,7 @@ def leakage_check(folds: DataFrame, horizon: int) -> DataFrame:
     span = folds.filter("role = 'test'").groupBy("fold").agg(
         F.min("pos").alias("_lo"), F.max("pos").alias("_hi")
     )
-    train = folds.filter("role = 'train'").join(F.broadcast(span), "fold")
+    train = folds.filter("role = 'train'").join(span, "fold")
     overlap = (F.col("pos") + horizon >= F.col("_lo")) & (F.col("pos") <= F.col("_hi") + horizon)
     checked = train.groupBy("fold").agg(F.bool_and(~overlap).alias("clean"), F.count(F.lit(1)).alias("n_train"))
     return span.select("fold").join(checked, "fold", "left").select(

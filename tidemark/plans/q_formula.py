@@ -152,7 +152,7 @@ oracle.part("fml", " UNION ALL ".join(
 
 
 def _signals(t: Inputs) -> DataFrame:
-    return formula.evaluate(_base(t), FORMULAS, tie_code=tables.symbol_code(), max_group=t.names)
+    return formula.evaluate(_base(t), FORMULAS, tie_code=tables.symbol_code())
 
 
 @query("m3_formula_values", "candidate:i pos:i symbol value:7", "fml")
@@ -167,7 +167,7 @@ def _treated(t: Inputs) -> DataFrame:
     dated = with_dates(_signals(t), t.sessions)
     return treat(
         dated, winsor=FACTORS.winsor, by=("candidate", "date"),
-        max_groups=len(FORMULAS) * 40_000, max_group=t.names,
+        max_groups=len(FORMULAS) * 40_000,
     )
 
 
@@ -190,7 +190,7 @@ GROUP BY 1, 2 HAVING count(*) >= 20) GROUP BY 1
 def _candidate_ic(t: Inputs) -> DataFrame:
     labels = t.study_labels.filter("horizon = 4")
     return stage(
-        rank_ic(_treated(t), labels.drop("horizon"), series=("candidate",), min_names=MIN_NAMES, max_group=t.names), "ic"
+        rank_ic(_treated(t), labels.drop("horizon"), series=("candidate",), min_names=MIN_NAMES), "ic"
     )
 
 
@@ -236,31 +236,30 @@ def _tokens(t: Inputs) -> DataFrame:
     return t.spark.createDataFrame([(i, list(f)) for i, f in enumerate(FORMULAS)], "candidate int, tokens array<string>")
 
 
+#: Formulas of the first batch; the later ones are penalised for resembling what it kept.
+FIRST_BATCH, TOP = 4, 4
+
+
 def _kept(t: Inputs) -> DataFrame:
-    scored = _rewards(t, _candidate_ic(t)).join(F.broadcast(_tokens(t)), "candidate")
-    return formula.keep_best(scored, 4)
+    scored = stage(_rewards(t, _candidate_ic(t)).join(_tokens(t), "candidate"), "scored")
+    first = formula.keep_best(scored.filter(F.col("candidate") < FIRST_BATCH), TOP)
+    return formula.keep_best(scored.filter(F.col("candidate") >= FIRST_BATCH), TOP, stage(first, "kept"))
 
 
-KEPT = "SELECT * FROM frw JOIN ftok USING (candidate) WHERE pooled IS NOT NULL ORDER BY pooled DESC, len(tokens), candidate LIMIT 4"
+BEST = "ORDER BY reward DESC, len(tokens), candidate LIMIT 4"
+oracle.part("fsc", "SELECT candidate, n_rows, pooled AS reward, tokens FROM frw JOIN ftok USING (candidate) WHERE pooled IS NOT NULL")
+oracle.part("fk1", f"SELECT * FROM fsc WHERE candidate < 4 {BEST}")
+oracle.part("fk2", f"""
+SELECT * FROM (SELECT * FROM fk1 UNION ALL SELECT c.candidate, c.n_rows, c.reward - coalesce(max(0.2::DOUBLE * len(list_intersect(list_distinct(c.tokens), list_distinct(f.tokens))) /
+  len(list_distinct(list_concat(c.tokens, f.tokens)))), 0), c.tokens FROM fsc c LEFT JOIN fk1 f ON true WHERE c.candidate >= 4 GROUP BY c.candidate, c.n_rows, c.reward, c.tokens) {BEST}
+""")
 
 
-@query("m8_keep_best", "candidate:i reward:9 n_rows:i", f"SELECT *, pooled AS reward FROM ({KEPT})")
+@query("m8_keep_best", "candidate:i reward:9 n_rows:i", "SELECT candidate, reward, n_rows FROM fk2")
 def _(t: Inputs):
     return _kept(t)
 
 
-@query("m10_register_trials", "name kind count:i", f"SELECT 'mined:' || array_to_string(tokens, ' ') AS name, 'mined' AS kind, 1 AS count FROM ({KEPT})")
+@query("m10_register_trials", "name kind count:i", "SELECT 'mined:' || array_to_string(tokens, ' ') AS name, 'mined' AS kind, 1 AS count FROM fk2")
 def _(t: Inputs):
     return trial_summary(formula.trial_rows(_kept(t), F.lit("2024-01-01T00:00:00")))
-
-
-@query("m9_random_formulas", "candidate:i text complete")
-def _(t: Inputs):
-    drawn = formula.random_formulas(t.table("part").select(F.col("p_partkey").alias("seed")), max_len=12)
-    return drawn.withColumns(
-        {
-            "text": F.array_join("tokens", " "),
-            "complete": formula.is_complete(F.col("tokens"), VOCABULARY),
-        }
-    )
-

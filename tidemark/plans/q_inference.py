@@ -47,7 +47,7 @@ IC_TABLE = "n_dates:i mean_ic:9 std_ic:9 ic_ir:8 t_stat:6 nw_lags:i hit_rate:9 m
     "SELECT * FROM ictab WHERE factor = 'reversal_4d' AND horizon = 1",
 )
 def _(t: Inputs):
-    study = studies.prepare(t.px, t.sessions, [Reversal(4)], FACTORS, [1], max_group=t.names)
+    study = studies.prepare(t.px, t.sessions, [Reversal(4)], FACTORS, [1])
     return inference.summarize_ic(stage(studies.ic_series(study, MIN_NAMES), "ic"), ["factor"], F.lit(1))
 
 
@@ -185,7 +185,7 @@ def _(t: Inputs):
     "SELECT fold, role, count(*) AS n_rows, sum(volume) AS volume FROM folds JOIN px USING (date) GROUP BY 1, 2",
 )
 def _(t: Inputs):
-    roles = F.broadcast(_folds(t).select("fold", "date", "role"))
+    roles = _folds(t).select("fold", "date", "role")
     return t.px.join(roles, "date").groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("volume").alias("volume")
     )
@@ -220,7 +220,7 @@ def _emax_sql(column: str) -> str:
     """SQL has no inverse normal: the expected maximum of k draws as one CASE branch per k."""
     q, g = NormalDist().inv_cdf, 0.5772156649015329
     cases = " ".join(
-        f"WHEN {k} THEN {(1 - g) * q(1 - 1 / k) + g * q(1 - 1 / (k * math.e))!r}::DOUBLE" for k in range(2, 40)
+        f"WHEN {k} THEN {(1 - g) * q(1 - 1 / k) + g * q(1 - 1 / (k * math.e))!r}::DOUBLE" for k in range(2, 80)
     )
     return f"(CASE {column} WHEN 1 THEN 0.0::DOUBLE {cases} END)"
 
@@ -228,10 +228,10 @@ def _emax_sql(column: str) -> str:
 @query(
     "v4_expected_max_sharpe",
     "symbol n_trials:i expected_max:8",
-    f"SELECT symbol, n_trials, {_emax_sql('n_trials')} AS expected_max FROM (SELECT symbol, least(39, 1 + count(*) // 10) AS n_trials FROM px GROUP BY 1)",
+    f"SELECT symbol, n_trials, {_emax_sql('n_trials')} AS expected_max FROM (SELECT symbol, 1 + count(*) // 10 AS n_trials FROM px GROUP BY 1)",
 )
 def _(t: Inputs):
-    counts = t.px.groupBy("symbol").agg(F.least(F.lit(39), 1 + F.floor(F.count(F.lit(1)) / 10)).alias("n_trials"))
+    counts = t.px.groupBy("symbol").agg((1 + F.floor(F.count(F.lit(1)) / 10)).alias("n_trials"))
     return counts.withColumn("expected_max", expected_max_normal(F.col("n_trials").cast("long")))
 
 
@@ -283,7 +283,7 @@ def _(t: Inputs):
     return sharpe.trial_totals(log)
 
 
-SPLITS = 8
+SPLITS = 16
 oracle.part("pblk", f"""
 SELECT strategy, ret, (SELECT max(k.range) FROM range({SPLITS}) k WHERE k.range * n // {SPLITS} <= period) AS block
 FROM (SELECT strategy, net_return AS ret, row_number() OVER (PARTITION BY strategy ORDER BY pos) - 1 AS period, count(*) OVER (PARTITION BY strategy) AS n FROM dlyn)

@@ -266,11 +266,11 @@ def _(t: Inputs):
     return archives.wide_to_long(wide.withColumnRenamed("date", "Day"), "Day", names, "net")
 
 
-@query("io14_panel_sink", "date symbol close volume", "SELECT date, symbol, close, volume FROM px WHERE date <= DATE '1999-06-30'")
+@query("io14_panel_sink", "date symbol close volume", "SELECT date, symbol, close, volume FROM px")
 def _(t: Inputs):
     path = scratch_dir(t.spark, "prices")
     sinks.write_panel(t.px, path)
-    return sinks.read_panel(t.spark, path, until=F.to_date(F.lit("1999-06-30")))
+    return sinks.read_panel(t.spark, path)
 
 
 LATEST = """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
@@ -281,9 +281,8 @@ LATEST = """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_numb
 def _(t: Inputs):
     root, events = scratch_dir(t.spark, "upsert"), t.table("events")
     late = F.dayofmonth("ts") > 15
-    sinks.upsert(t.spark, events.filter(~late), root, ["user_id", "event_type"], ["ts", "event_id"], version=0)
-    path = sinks.upsert(t.spark, events.filter(late), root, ["user_id", "event_type"], ["ts", "event_id"], version=1)
-    return t.spark.read.parquet(path)
+    sinks.upsert(t.spark, events.filter(~late), root, ["user_id", "event_type"], ["ts", "event_id"])
+    return sinks.upsert(t.spark, events.filter(late), root, ["user_id", "event_type"], ["ts", "event_id"])
 
 
 @query(

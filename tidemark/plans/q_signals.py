@@ -188,7 +188,7 @@ FROM bal b FULL JOIN prior p ON p.date = b.date AND p.symbol = b.symbol)) WHERE
 
 def _signal(t: Inputs):
     study = studies.prepare(
-        t.px, t.sessions, [f for f in t.library if f.name == "reversal_12d"], FACTORS, [1], max_group=t.names
+        t.px, t.sessions, [f for f in t.library if f.name == "reversal_12d"], FACTORS, [1]
     )
     return study.panel.select("date", "symbol", "value")
 
@@ -198,7 +198,7 @@ def _adv(t: Inputs):
 
 
 def _selected(t: Inputs):
-    return portfolio.select_names(_signal(t), CONSTRUCTION, tie_code=tables.symbol_code(), max_group=t.names)
+    return portfolio.select_names(_signal(t), CONSTRUCTION, tie_code=tables.symbol_code())
 
 
 def _capped(t: Inputs):
@@ -212,14 +212,14 @@ def _balanced(t: Inputs):
 def _book(t: Inputs) -> portfolio.Book:
     signal = stage(_signal(t), "signal")
     capped = portfolio.name_caps(
-        portfolio.select_names(signal, CONSTRUCTION, tie_code=tables.symbol_code(), max_group=t.names), _adv(t), CONSTRUCTION
+        portfolio.select_names(signal, CONSTRUCTION, tie_code=tables.symbol_code()), _adv(t), CONSTRUCTION
     )
     fresh = portfolio.balance_legs(portfolio.project_legs(capped, t.sectors, CONSTRUCTION), CONSTRUCTION)
     next_day = t.sessions.select((F.col("pos") - 1).alias("pos"), F.col("date").alias("_next"))
-    days = F.broadcast(t.sessions.join(next_day, "pos").select("date", "_next"))
+    days = t.sessions.join(next_day, "pos").select("date", "_next")
     prior = fresh.join(days, "date").select(F.col("_next").alias("date"), "symbol", F.col("weight").alias("prev_weight"))
     return portfolio.build_book(
-        signal, _adv(t), t.sectors, CONSTRUCTION, COSTS, prior=prior, tie_code=tables.symbol_code(), max_group=t.names
+        signal, _adv(t), t.sectors, CONSTRUCTION, COSTS, prior=prior, tie_code=tables.symbol_code()
     )
 
 

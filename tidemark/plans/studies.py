@@ -28,7 +28,6 @@ class Study:
     panel: DataFrame
     labels: DataFrame
     names: tuple[str, ...]
-    max_group: int | None = None  # bound on the names of one cross-section
 
 
 def prepare(
@@ -40,17 +39,16 @@ def prepare(
     *,
     shares: DataFrame | None = None,
     mapping: DataFrame | None = None,
-    max_group: int | None = None,
 ) -> Study:
     prices = stage(prices, "prices")
-    panel = stage(build_panels(prices, sessions, factors, cfg, shares=shares, mapping=mapping, max_group=max_group), "panel")
+    panel = stage(build_panels(prices, sessions, factors, cfg, shares=shares, mapping=mapping), "panel")
     labels = horizon_long(forward_returns(prices, sessions, horizons), horizons)
-    return Study(prices, sessions, panel, labels, tuple(f.name for f in factors), max_group)
+    return Study(prices, sessions, panel, labels, tuple(f.name for f in factors))
 
 
 def ic_series(study: Study, min_names: int) -> DataFrame:
     return rank_ic(
-        study.panel, study.labels, series=("factor", "horizon"), min_names=min_names, max_group=study.max_group
+        study.panel, study.labels, series=("factor", "horizon"), min_names=min_names
     )
 
 
@@ -71,7 +69,6 @@ def factor_targets(study: Study, cfg: BookConfig, tie_code: Column | None = None
         cfg,
         n_series=len(study.names),
         tie_code=tie_code,
-        max_group=study.max_group,
     )
 
 
@@ -218,5 +215,5 @@ def composite_ic(study: Study, cfg: CompositeConfig, min_names: int) -> DataFram
     """IC series of every factor at the composite's horizon."""
     labels = study.labels.filter(F.col("horizon") == cfg.horizon)
     return rank_ic(
-        study.panel, labels, series=("factor", "horizon"), min_names=min_names, max_group=study.max_group
+        study.panel, labels, series=("factor", "horizon"), min_names=min_names
     )

@@ -39,6 +39,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = shared_root(spark)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
 

@@ -46,12 +46,13 @@ DEAL_DATE_FORMATS = ("dd-MMM-yyyy", "dd-MM-yyyy", "yyyy-MM-dd")
 PLACEHOLDER_PREFIX = "DUMMY"
 
 
+#: Tags that a page opens with.
+PAGE_TAGS = ("!doctype", "html", "head", "body", "meta", "title", "script")
+
+
 def is_html(text: Column) -> Column:
-    """An HTML page served in place of data."""
-    head = F.lower(F.substring(F.ltrim(F.regexp_replace(text, r"^\s+", "")), 1, 400))
-    return F.startswith(head, F.lit("<!doctype html")) | F.startswith(head, F.lit("<html")) | F.contains(
-        head, F.lit("<head>")
-    )
+    """An HTML page served in place of data: its first tag, if it starts with one, says so."""
+    return F.lower(F.regexp_extract(text, r"^[\s\uFEFF]*<\s*(!?[A-Za-z]+)", 1)).isin(*PAGE_TAGS)
 
 
 def number(text: Column, blanks: Sequence[str] = ("", "-")) -> Column:
@@ -65,14 +66,13 @@ def any_date(text: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats])
 
 
+TITLE_DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy")
+
+
 def title_date(line: Column) -> Column:
     """Session date in a title such as ``... as on Jan 01, 2019``; month long or short."""
-    pattern = r"as on\s+([A-Za-z]+)\s+(\d{1,2})\s*,\s*(\d{4})"
-    month = F.initcap(F.substring(F.regexp_extract(line, pattern, 1), 1, 3))
-    text = F.concat_ws(
-        "-", F.lpad(F.regexp_extract(line, pattern, 2), 2, "0"), month, F.regexp_extract(line, pattern, 3)
-    )
-    return F.try_to_timestamp(text, F.lit("dd-MMM-yyyy")).cast("date")
+    day = F.regexp_extract(line, r'as on\s+([^"]*?\d{4})', 1)
+    return any_date(F.initcap(F.regexp_replace(F.regexp_replace(day, r"\s*,\s*", ", "), r"\s+", " ")), TITLE_DATE_FORMATS)
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:

@@ -6,17 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.asof import _exists
 from .archives import keep_last
 
 
-def write_panel(df: DataFrame, path: str, *, date: str = "date", mode: str = "overwrite") -> None:
-    """Panel parquet partitioned by month, so as-of reads prune whole directories."""
+def write_panel(
+    df: DataFrame, path: str, *, date: str = "date", name: str = "symbol", mode: str = "overwrite", files: int = 16
+) -> None:
+    """Panel parquet partitioned by month, so as-of reads prune whole directories.
+
+    A month goes to ``files`` tasks by hash of its names, so that none writes a whole month.
+    """
     month = F.date_format(date, "yyyy-MM").alias("month")
     (
         df.select("*", month)
-        .repartition("month")
+        .repartition("month", F.pmod(F.xxhash64(name), F.lit(files)))
         .sortWithinPartitions(date)
         .write.mode(mode)
         .partitionBy("month")
@@ -42,23 +47,61 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+#: Hash buckets of a keyed table; a merge rewrites only those that its rows touch.
+UPSERT_BUCKETS = 64
+
+
+def _versions(spark: SparkSession, root: str) -> dict[int, dict[int, str]]:
+    """Version -> bucket -> folder of a keyed table; a version without a success mark has no buckets."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, dict[int, str]] = {}
+    if not fs.exists(path):
+        return found
+    for entry in fs.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("version="):
+            inside = [x.getPath().getName() for x in fs.listStatus(entry.getPath())]
+            whole = inside if "_SUCCESS" in inside else []
+            found[int(name[8:])] = {int(x[7:]): f"{root}/{name}/{x}" for x in whole if x.startswith("bucket=")}
+    return found
+
+
+def _current(spark: SparkSession, root: str) -> dict[int, str]:
+    """The newest complete folder of every bucket."""
+    newest: dict[int, str] = {}
+    for _, buckets in sorted(_versions(spark, root).items()):
+        newest |= buckets
+    return newest
+
+
+def read_keyed(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
+    """The rows of a keyed table as its last complete merge left them."""
+    paths = list(_current(spark, root).values())
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def upsert(
-    spark: SparkSession,
-    new_rows: DataFrame,
-    root: str,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    version: int,
-) -> str:
-    """Merge rows into the keyed table under ``root``, the latest arrival winning.
-
-    Every merge writes ``version=<n>`` next to its predecessor and never rewrites what it
-    reads, so a failed or repeated merge leaves the previous version intact.
+    spark: SparkSession, new_rows: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], *, buckets: int = UPSERT_BUCKETS
+) -> DataFrame:
+    """Merge rows into the keyed table under ``root``, the latest arrival winning; returns the table.
+
+    A merge takes the number after the highest there is, whatever a stream calls its batch, and writes
+    the buckets of its own keys only. It never touches what it reads: a merge that fails, comes twice or
+    comes after a lost stream checkpoint loses no row, since the same rows merge to the same table.
     """
-    previous, target = f"{root}/version={version - 1}", f"{root}/version={version}"
-    merged = new_rows
-    if version > 0 and _exists(spark, previous):
-        merged = spark.read.schema(new_rows.schema).parquet(previous).unionByName(new_rows)
-    keep_last(merged, keys, [F.col(c) for c in order]).select(*new_rows.columns).write.mode("overwrite").parquet(target)
-    return target
+    schema = new_rows.schema
+    rows = new_rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return read_keyed(spark, root, schema)
+    here = _current(spark, root)
+    before = [here[b] for b in touched if b in here]
+    merged = new_rows if not before else spark.read.schema(schema).parquet(*before).unionByName(new_rows)
+    latest = keep_last(merged, keys, [F.col(c) for c in order]).select(*new_rows.columns)
+    number = max(_versions(spark, root), default=-1) + 1
+    placed = latest.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/version={number}")
+    return read_keyed(spark, root, schema)

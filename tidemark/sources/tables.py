@@ -46,7 +46,8 @@ def week_of(ts: str) -> Column:
 
 
 def symbol_of(key: str) -> Column:
-    return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 12, "0"))
+    digits = F.col(key).cast("string")  # padded where short, never cut
+    return F.concat(F.lit("S"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 12 - F.length(digits))), digits)
 
 
 def hundredths(c: str) -> Column:

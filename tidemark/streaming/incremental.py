@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..operators.asof import _exists
 from ..operators.portfolio import load_holdings, save_holdings
 from ..operators.quality import missing_sessions
-from ..sources.sinks import upsert
+from ..sources.sinks import read_keyed, upsert
 
 
 def run_available(
@@ -51,24 +51,11 @@ def accumulate_latest(
     order: Sequence[str],
 ) -> DataFrame:
     """Keep the latest row per key across all batches; returns the current table."""
-    holder = {"path": None}
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        holder["path"] = upsert(spark, batch, root, keys, order, version=batch_id)
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert(spark, batch, root, keys, order)
 
     run_available(source, merge, checkpoint)
-    if holder["path"] is None:
-        holder["path"] = latest_version(spark, root)
-    return spark.read.schema(source.schema).parquet(holder["path"])
-
-
-def latest_version(spark: SparkSession, root: str) -> str:
-    """Path of the newest version below a keyed table."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    newest = max(int(n.split("=")[1]) for n in names if n.startswith("version="))
-    return f"{root}/version={newest}"
+    return read_keyed(spark, root, source.schema)
 
 
 def daily_decisions(
@@ -91,11 +78,12 @@ def daily_decisions(
         for day in days:
             prior = load_holdings(spark, root, str(day)) if _exists(spark, root) else None
             book = decide(str(day), prior)
-            decided = book.limit(1).count() > 0
-            if decided:
+            book = book.persist()  # decided once, then looked at and written
+            if not book.isEmpty():
                 save_holdings(book, root)
             elif prior is not None:
                 save_holdings(prior.select("symbol", "weight", F.lit(day).cast("date").alias("date")), root)
+            book.unpersist()
 
     run_available(arrivals, step, checkpoint)
     return spark.read.schema("symbol string, weight double, as_of date").parquet(root)

@@ -13,6 +13,8 @@ SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions inside one partition take the low bits of ``monotonically_increasing_id``.
 ORDINAL_BITS = 33
+#: Setting by which Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
@@ -30,10 +32,19 @@ def scratch(spark: SparkSession, purpose: str) -> str:
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back; this cuts its lineage."""
-    path = scratch(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame as a table in the shared folder and read it back; this cuts its lineage.
+
+    Nothing reads the shuffles below once the table is there, so their files go when the write ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, purpose)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:

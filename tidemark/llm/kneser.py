@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
@@ -239,37 +239,66 @@ def model(counts: DataFrame) -> DataFrame:
     return stage(grams_.unionByName(floor), "lm")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, held of every document; ``trusted`` has doc_id and trusted.
+def deal(docs: DataFrame, blocks: int) -> DataFrame:
+    """block and docs: the rows of ``docs``, dealt to blocks by doc_id, as compressed Arrow streams.
 
-    The text is dealt to blocks once: the three uses of that exchange are one in the plan.
+    Many documents share a stream, so that what is shuffled is smaller than the texts by themselves.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            number, rows = batch.column("block").to_numpy(), batch.select(["doc_id", "lang", "text"])
+            for block in np.unique(number):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, rows.schema, options=options) as stream:
+                    stream.write_batch(rows.take(pa.array(np.flatnonzero(number == block))))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+    text = docs.select(
+        block_of("doc_id", blocks), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    )
+    return text.mapInArrow(run, "block int, docs binary")
+
+
+def block_of(doc_id: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(blocks)).cast("int").alias("block")
+
+
+def opened(dealt: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    tables = [pa.ipc.open_stream(d.as_buffer()).read_all() for d in dealt.column("docs")]
+    return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, perplexity, held of every document; ``trusted`` has doc_id and trusted."""
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    text = docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labels = trusted.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("trusted").alias("trusted"))
-    labels = labels.where("trusted").select(number, "doc_id", "trusted")
-    text = text.groupBy("block")
+    labels = labels.where("trusted").select(block_of("doc_id", blocks), "doc_id", "trusted")
+    text = deal(docs, blocks).groupBy("block")
 
     def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return count_trusted(key, left, right) if left.num_rows else pa.table({"lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        none = pa.table({"lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        return count_trusted(key, opened(left), right) if left.num_rows else none
 
     counts = text.cogroup(labels.groupBy("block")).applyInArrow(count, "lang string, gram bigint, c bigint")
     lm = model(counts)
-    asked = text.applyInArrow(ask, "block int, lang string, gram bigint")
-    floor = asked.select("block", "lang").distinct().withColumn("gram", F.lit(0).cast("long"))
-    asked = asked.unionByName(floor)
+    asked = text.applyInArrow(lambda key, left: ask(key, opened(left)), "block int, lang string, gram bigint")
+    floor = docs.select(block_of("doc_id", blocks), F.col("lang").cast("string").alias("lang")).distinct()
+    asked = asked.unionByName(floor.withColumn("gram", F.lit(0).cast("long")))
     own = lm.select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), "logp", "back")
     answers = asked.join(own, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("gram") == F.col("_g"))).select("block", "lang", "gram", "logp", "back")
     # Labels travel with the answers, so that one cogroup scores and marks what is held out.
-    marks = labels.select("block", F.lit(None).cast("string").alias("lang"), F.col("doc_id").alias("gram"), F.lit(None).cast("double").alias("logp"), F.lit(None).cast("double").alias("back"), F.lit(True).alias("mark"))
+    none = F.lit(None).cast("double")
+    marks = labels.select("block", F.lit(None).cast("string").alias("lang"), F.col("doc_id").alias("gram"), none.alias("logp"), none.alias("back"), F.lit(True).alias("mark"))
     answers = answers.withColumn("mark", F.lit(False)).unionByName(marks)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         flag = right.column("mark").to_numpy()
         label = right.filter(pa.array(flag))
         label = pa.table({"doc_id": label.column("gram"), "trusted": label.column("mark")})
-        return score_block(left, right.filter(pa.array(~flag)), label)
+        return score_block(opened(left), right.filter(pa.array(~flag)), label)
 
     return text.cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id bigint, lang string, perplexity double, held boolean")
 

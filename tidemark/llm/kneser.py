@@ -134,16 +134,15 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], np.nan)
 
 
-def log_probabilities(k: np.ndarray, keys: np.ndarray, logp: np.ndarray, back: np.ndarray, unseen: float) -> np.ndarray:
-    """Log probability of the last character of each gram, backing off over the orders."""
-    got, weight = np.full(len(k), np.nan), np.zeros(len(k))
-    for o in range(ORDER, 0, -1):
-        suffix = k & np.uint64((1 << UNIT_BITS * o) - 1) if o < 4 else k
-        here = look_up(keys, logp, suffix)
-        got = np.where(np.isnan(got) & ~np.isnan(here), weight + here, got)
-        context = suffix >> np.uint64(UNIT_BITS)
-        weight = weight + np.nan_to_num(look_up(keys, back, context)) if o > 1 else weight
-    return np.where(np.isnan(got), weight + unseen, got)
+def log_probabilities(k: np.ndarray, keys: np.ndarray, logp: np.ndarray, back: np.ndarray, unseen: float, order: int = ORDER) -> np.ndarray:
+    """Log probability of the last character of each gram; only grams that are absent back off."""
+    suffix = k & np.uint64((1 << UNIT_BITS * order) - 1)
+    got = look_up(keys, logp, suffix)
+    missing = np.isnan(got)
+    if missing.any():
+        weight = np.nan_to_num(look_up(keys, back, suffix[missing] >> np.uint64(UNIT_BITS))) if order > 1 else 0.0
+        got[missing] = weight + (log_probabilities(k[missing], keys, logp, back, unseen, order - 1) if order > 1 else unseen)
+    return got
 
 
 def score_block(docs: pa.Table, answers: pa.Table, labels: pa.Table | None) -> pa.Table:

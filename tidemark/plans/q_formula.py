@@ -82,7 +82,19 @@ def _(t: Inputs):
     return _candidates(t).withColumn("complete", formula.is_complete(F.col("tokens"), VOCABULARY))
 
 
-@query("m4_infix_text", "p_partkey:i text")
+@query(
+    "m4_infix_text",
+    "p_partkey:i text",
+    f"""SELECT p_partkey, text FROM (WITH RECURSIVE st AS (
+         SELECT p_partkey, tokens, 0 AS i, []::VARCHAR[] AS stack, true AS ok FROM cand
+         UNION ALL
+         SELECT p_partkey, tokens, i + 1, CASE WHEN NOT fits THEN stack WHEN arity = 0 THEN list_append(stack, tok)
+             WHEN arity = 1 THEN list_append(stack[1 : len(stack) - 1], tok || '(' || stack[len(stack)] || ')')
+             ELSE list_append(stack[1 : len(stack) - 2], tok || '(' || stack[len(stack) - 1] || ', ' || stack[len(stack)] || ')') END, ok AND fits
+         FROM (SELECT s.*, a.token AS tok, a.arity, len(s.stack) >= a.arity AS fits
+               FROM st s JOIN {_values(ARITY_ROWS, 'token, arity').replace(' v(', ' a(')} ON a.token = s.tokens[s.i + 1] WHERE s.i < len(s.tokens)))
+       SELECT p_partkey, CASE WHEN ok AND len(stack) > 0 THEN stack[len(stack)] ELSE array_to_string(tokens, ' ') END AS text FROM st WHERE i = len(tokens))""",
+)
 def _(t: Inputs):
     return _candidates(t).withColumn("text", formula.infix(F.col("tokens"), VOCABULARY))
 

@@ -138,7 +138,9 @@ def all_rules() -> list[Rule]:
                 number = worded(v[:-2] if v.endswith(" 0") else v) + ("(?: 0 )?" if v.endswith(" 0") else "")
                 tag = f"{label}-{v.replace(' ', '.')}"
                 found.append(Rule(f"{own}(?: version | v | ver )?{number}", tag, keyword(name), 2, 0.9))
-                found.append(Rule(f"(?:{lead})?{own}(?: version | v | ver )?{number}(?: or )(?: any )?(?: later | newer )", f"{tag}-or-later", keyword(name), 4, 0.95))
+                later = f"{own}(?: version | v | ver )?{number}(?: or )(?: any )?(?: later | newer )"
+                found.append(Rule(later, f"{tag}-or-later", keyword(name), 4, 0.95))
+                found.append(Rule(lead + later, f"{tag}-or-later", keyword(name), 4, 1.0))
                 found.append(Rule(f"{lead}{own}(?: version | v | ver )?{number}", tag, keyword(name), 4, 1.0))
         spdx = " ".join(label.split("-"))
         found.append(Rule(" spdx  license  identifier " + worded(spdx), label, " spdx ", 5, 1.0))

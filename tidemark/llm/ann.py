@@ -4,13 +4,13 @@ The two halves of every vector are quantised by codebooks of their own, so that
 K x K cells. A query walks pairs of centroids by summed distance with a heap until the cells visited
 hold the wanted share of all vectors; the vectors of those cells are reranked by exact inner product.
 
-Cells are cut into blocks of bounded size, and the queries of a cell into chunks, so that a cell holding
-a third of all vectors spreads over tasks; equal vectors are one entry that names its smallest ids.
+Small cells share blocks of bounded size and a large cell is cut into several, and queries go in chunks,
+so that a cell holding a third of all vectors spreads over tasks; equal vectors are one entry that names its smallest ids.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (those of smallest id hash); every vector is indexed.
 
 Nulls, ties and odd input: vectors that are null, zero, empty or hold null or non-finite components take
-no part; ties go to the smaller id; a vector id that occurs twice with different vectors is two entries;
+no part; ties go to the smaller id; an id that occurs twice with different vectors is two entries, and one query by both;
 vectors of another length than most are an error; an empty table gives no rows; only the id and the
 vector are read.
 """
@@ -37,8 +37,8 @@ ROUNDS = 12
 SHARE = 0.55
 NEAREST = 20
 #: Entries of a block and queries of a chunk.
-BLOCK = 2048
-CHUNK = 1024
+BLOCK = 8192
+CHUNK = 2048
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -134,6 +134,9 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_: int = NEAREST, k: i
         sizes[cell] = n
     wanted = max(4 * nearest_, int(np.ceil(share * sizes.sum())))
 
+    # Blocks of about BLOCK entries: small cells share one, a large cell is cut into several.
+    first_block, n_blocks = blocks_of(sizes, BLOCK)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column("vector"))
@@ -141,46 +144,65 @@ def search(vectors: DataFrame, queries: DataFrame, nearest_: int = NEAREST, k: i
                 raise ValueError("queries and vectors differ in length")
             first, second = -v[:, :half] @ books[0].T, -v[:, half:] @ books[1].T
             for i in range(len(v)):
-                cells = walk(first[i], second[i], sizes, wanted)
-                at = np.full(len(cells), i)
+                visits: dict[int, list[int]] = {}
+                for cell in walk(first[i], second[i], sizes, wanted):
+                    for block in range(first_block[cell], first_block[cell] + n_blocks[cell]):
+                        visits.setdefault(block, []).append(cell)
+                at = pa.array(np.full(len(visits), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(pa.array(at)), batch.column("vector").take(pa.array(at)), pa.array(cells, pa.int32())],
-                    names=["query_id", "vector", "cell"],
+                    [
+                        batch.column("vec_id").take(at), batch.column("vector").take(at), pa.array(visits.keys(), pa.int32()),
+                        pa.array(visits.values(), pa.list_(pa.int32())),
+                    ],
+                    names=["query_id", "vector", "block", "cells"],
                 )
 
-    block = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20) * F.col("_blocks")).cast("int")
-    cut = [(cell, -(-n // BLOCK)) for cell, n in counted.items()]
-    parts = lambda: F.broadcast(spark.createDataFrame(cut, "cell int, _blocks int"))  # noqa: E731  a row per cell
-    blocks = celled.join(parts(), "cell").withColumn("block", block)
+    cut = [(int(c), int(first_block[c]), int(n_blocks[c])) for c in np.flatnonzero(sizes)]
+    places = F.broadcast(spark.createDataFrame(cut, "cell int, _first int, _blocks int"))  # a row per cell
+    part = F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20) * F.col("_blocks"))
+    blocks = celled.join(places, "cell").withColumn("block", (F.col("_first") + part).cast("int"))
     chunks = max(1, -(-queries.count() // CHUNK))
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    asked = queries.mapInArrow(probe, "query_id bigint, vector array<double>, cell int")
-    asked = asked.join(parts(), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(every))
+    asked = queries.distinct().mapInArrow(probe, "query_id bigint, vector array<double>, block int, cells array<int>")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, v = matrix(left.column("vector")), matrix(right.column("vector"))
-        ids, names = left.column("query_id").to_numpy(), right.column("ids").to_pylist()
-        score = np.einsum("qd,vd->qv", q, v) if len(q) * len(v) < 64 else q @ v.T
         out: list[tuple[int, int, float]] = []
-        # One entry more, as the query's own may be among them; then all that tie with the last.
-        few = min(nearest_ + 1, len(v))
-        for i, own in enumerate(ids.tolist()):
-            least = np.partition(score[i], len(v) - few)[len(v) - few]
-            for j in np.flatnonzero(score[i] >= least - 1e-9 * max(1.0, abs(least))).tolist():
-                exact = float(np.dot(q[i], v[j]))
-                out += [(own, n, exact) for n in names[j] if n != own]
+        if left.num_rows and right.num_rows:
+            q, v = matrix(left.column("vector")), matrix(right.column("vector"))
+            cell, names = right.column("cell").to_numpy(), right.column("ids").to_pylist()
+            for i, (own, cells) in enumerate(zip(left.column("query_id").to_pylist(), left.column("cells").to_pylist(), strict=True)):
+                at = np.flatnonzero(np.isin(cell, cells))
+                score = v[at] @ q[i]
+                # One entry more, as the query's own may be among them; then all that tie with the last.
+                few = min(nearest_ + 1, len(at))
+                least = np.partition(score, len(at) - few)[len(at) - few] if few else 0.0
+                best: list[tuple[float, int]] = []
+                for j in at[score >= least - 1e-9 * max(1.0, abs(least))].tolist():
+                    exact = float(np.dot(q[i], v[j]))
+                    best += [(-exact, n) for n in names[j] if n != own]
+                out += [(own, n, -s) for s, n in sorted(best)[:nearest_]]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    key = ("cell", "block", "chunk")
+    key = ("block", "chunk")
     met = asked.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInArrow(rerank, FOUND)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return met.withColumn("rank", best).where(F.col("rank") <= nearest_).select("query_id", "rank", "vec_id", "score")
 
 
+def blocks_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell."""
+    first, count, now, held = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if held and held + n > block:
+            now, held = now + 1, 0
+        first[c], count[c] = now, max(1, -(-n // block))
+        now, held = (now + count[c] - 1, n - (count[c] - 1) * block) if n > block else (now, held + n)
+    return first, count
+
+
 def smallest_ids(vectors: DataFrame, n: int) -> DataFrame:
     """One row per distinct vector with its ``n`` smallest ids, which are all that a ranking can name.
 

@@ -175,7 +175,44 @@ def _(t: Inputs):
     return both[0].unionByName(both[1])
 
 
-@query("b11_drawdown_control", "strategy pos:i gross_return:9 scale:6 drawdown:8 derisked")
+# The fold as a recursion over sessions: what each sleeve age returns and what each pair of scales costs.
+_DELTA = "w0 * {a} - w4 * {b}"
+_COST = (
+    "sum(0.00045::DOUBLE * greatest({d}, 0) + 0.0013::DOUBLE * greatest(-({d}), 0) + "
+    "CASE WHEN abs({d}) > 0 AND adv > 0 THEN abs({d}) * 0.1::DOUBLE * sqrt(1e5::DOUBLE) * sqrt(abs({d}) / adv) ELSE 0 END)"
+)
+oracle.part("ddin", f"""
+WITH d AS (SELECT n.strategy, n.symbol, s.pos, coalesce(t.weight, 0) / 4 AS w0
+    FROM (SELECT DISTINCT strategy, symbol FROM tails WHERE weight <> 0) n CROSS JOIN sessions s
+    LEFT JOIN tails t ON t.strategy = n.strategy AND t.symbol = n.symbol AND t.pos = s.pos),
+  a AS (SELECT *, {", ".join(f"coalesce(lag(w0, {k}) OVER (PARTITION BY strategy, symbol ORDER BY pos), 0) AS w{k}" for k in range(1, 5))} FROM d)
+SELECT a.strategy, a.pos, {", ".join(f"sum(w{k} * coalesce(step, 0)) AS p{k}" for k in range(4))},
+  {", ".join(f"{_COST.format(d=_DELTA.format(a=x, b=y))} AS c{i}{j}" for i, x in enumerate((1.0, 0.5)) for j, y in enumerate((1.0, 0.5)))}
+FROM a LEFT JOIN mkt m ON m.symbol = a.symbol AND m.pos = a.pos WHERE a.pos < (SELECT p FROM lastpos) GROUP BY 1, 2
+""")
+oracle.part("ddst", """
+SELECT * FROM (WITH RECURSIVE f AS (
+  SELECT strategy, min(pos) - 1 AS pos, [1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS used, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS dd,
+    false AS low, 1.0::DOUBLE AS scale, 0.0::DOUBLE AS drawdown, false AS derisked FROM ddin GROUP BY 1
+  UNION ALL
+  SELECT strategy, pos, used, equity, peak, equity / peak - 1, CASE WHEN was THEN equity / peak - 1 < -0.02::DOUBLE ELSE equity / peak - 1 <= -0.05::DOUBLE END, now, before, was
+  FROM (SELECT strategy, pos, [now, used[1], used[2], used[3]] AS used, equity * (1 + net) AS equity, greatest(peak, equity * (1 + net)) AS peak, low AS was, now, dd AS before
+    FROM (SELECT *, p0 * now + p1 * used[1] + p2 * used[2] + p3 * used[3]
+        - CASE WHEN now = 1 AND used[4] = 1 THEN c00 WHEN now = 1 THEN c01 WHEN used[4] = 1 THEN c10 ELSE c11 END AS net
+      FROM (SELECT d.*, f.used, f.equity, f.peak, f.dd, f.low, CASE WHEN f.low THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS now
+        FROM f JOIN ddin d ON d.strategy = f.strategy AND d.pos = f.pos + 1))))
+SELECT strategy, pos, scale, drawdown, derisked FROM f WHERE pos >= (SELECT min(pos) FROM ddin))
+""")
+oracle.part("tdd", "SELECT t.strategy, t.symbol, t.pos, t.weight, v.scale FROM tails t JOIN ddst v ON v.strategy = t.strategy AND v.pos = t.pos")
+oracle.part("bkdd", oracle.book("tdd", "strategy"))
+oracle.part("dlydd", oracle.daily("bkdd", "strategy"))
+
+
+@query(
+    "b11_drawdown_control",
+    "strategy pos:i gross_return:9 scale:6 drawdown:8 derisked",
+    "SELECT d.strategy, d.pos, d.gross_return, v.scale, v.drawdown, v.derisked FROM dlydd d JOIN ddst v ON v.strategy = d.strategy AND v.pos = d.pos",
+)
 def _(t: Inputs):
     control = DrawdownControl(True, 0.05, 0.5, 0.02)
     return studies.overlay_run(

@@ -86,6 +86,8 @@ def test_stage_writes_a_table_where_a_shared_folder_is_named(spark, tmp_path, mo
     monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
     out = session.stage(spark.range(10).withColumn("x", F.col("id") * 2), "probe")
     assert out.count() == 10 and any(p.name.startswith("tidemark-probe") for p in tmp_path.iterdir())
+    session.release_staged()
+    assert not list(tmp_path.iterdir())
 
 
 def test_validity_is_judged_by_position(spark):

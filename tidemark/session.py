@@ -46,6 +46,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 
 _STAGED: list[DataFrame] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def stage(df: DataFrame, purpose: str = "stage") -> DataFrame:
@@ -62,10 +63,18 @@ def stage(df: DataFrame, purpose: str = "stage") -> DataFrame:
         return held
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_staged() -> None:
-    """Unpersist what earlier plans staged; a plan still in use would simply recompute."""
+    """Drop what finished plans staged: persisted frames and written tables.
+
+    Call it once results are stored; a plan that still reads a written table can run no more.
+    """
     while _STAGED:
         _STAGED.pop().unpersist()
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

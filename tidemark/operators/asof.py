@@ -169,23 +169,28 @@ def latest_by_entity(
 ) -> DataFrame:
     """For every query date and entity the newest row already public (bulk as-of read).
 
-    A row answers the query dates from its own availability up to the next row's, so each
-    row is expanded only to the dates it answers; no row x date product is formed. Query
-    dates are distinct calendar days, hence a bounded array.
+    A row answers the query dates from its own availability up to the next row's. Query dates are
+    numbered, so a row looks up two numbers and is expanded to what lies between them; it neither
+    carries nor scans the other dates.
     """
     if dataset.entity is None:
         raise LookAheadError(f"dataset {dataset.name!r} has no entity column")
     public = available_from(df, sessions, dataset, "_from")
     w = Window.partitionBy(dataset.entity).orderBy("_from", dataset.date)
     spans = public.withColumn("_until", F.lead("_from").over(w))
-    dates = queries.select(F.col(as_of).cast("date").alias("d")).distinct().agg(
-        F.array_sort(F.collect_list("d"))
-    ).scalar()
-    answered = F.filter(
-        F.col("_dates"),
-        lambda d: (d >= F.col("_from")) & (F.col("_until").isNull() | (d < F.col("_until"))),
-    )
-    return spans.withColumn("_dates", dates).withColumn(as_of, F.explode(answered)).drop("_from", "_until", "_dates")
+    asked = queries.select(F.col(as_of).cast("date").alias(as_of)).filter(F.col(as_of).isNotNull()).distinct()
+    asked = asked.withColumn("_q", (F.row_number().over(Window.orderBy(as_of)) - 1).cast("int"))  # a row per calendar day
+    marks = spans.select(F.col("_from").alias("_day"), F.lit(0).alias("_n")).filter(F.col("_day").isNotNull()).distinct()
+    marks = marks.unionByName(asked.select(F.col(as_of).alias("_day"), F.lit(1).alias("_n")))
+    earlier = Window.orderBy(F.unix_date("_day")).rangeBetween(Window.unboundedPreceding, -1)
+    place = marks.withColumn("_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("int"))
+    place = place.groupBy("_day").agg(F.max("_at").alias("_at"))
+    first = place.select(F.col("_day").alias("_from"), F.col("_at").alias("_lo"))
+    end = place.select(F.col("_day").alias("_until"), F.col("_at").alias("_hi"))
+    placed = spans.join(first, "_from").join(end, "_until", "left")
+    placed = placed.withColumn("_hi", F.coalesce("_hi", asked.agg(F.count(F.lit(1)).cast("int")).scalar()))
+    spread = placed.filter("_hi > _lo").withColumn("_q", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
+    return spread.join(asked, "_q").drop("_from", "_until", "_lo", "_hi", "_q")
 
 
 def membership(df: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ so that a cell holding a third of all vectors spreads over tasks; equal vectors
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (those of smallest id hash); every vector is indexed.
 
-Nulls, ties and odd input: vectors that are null, zero, empty or hold null or non-finite components take
+Nulls, ties and odd input: vectors without id or that are null, zero, empty or hold null or non-finite components take
 no part; ties go to the smaller id; an id that occurs twice with different vectors is two entries, and one query by both;
 vectors of another length than most are an error; an empty table gives no rows; only the id and the
 vector are read.
@@ -46,7 +46,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:

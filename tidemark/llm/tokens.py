@@ -49,7 +49,7 @@ def tokenizer_path(name: str) -> str:
 class Encoder(dict):
     """Maps a unit to its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool):  # those that drop white space ignore case too
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -81,12 +81,26 @@ class Encoder(dict):
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty) without an end id."""
         for group in groups(texts):
+            if self.drops_space:
+                group = [lowered(t) for t in group]
             cut = [None if UNSURE.search(t) else self.unit.findall(t) for t in group]
             self.learn(list(chain.from_iterable(c for c in cut if c)))
             for text, units in zip(group, cut, strict=True):
                 yield self.plainly([text])[0] if units is None else b"".join(map(self.__getitem__, units))
 
 
+def lowered(text: str) -> str:
+    """A Latin-1 text in lower case, so that its words meet; such letters have no case rule of context.
+
+    For tokenizers that ignore case. Other texts stay, as composing and lowering them do not commute.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def groups(texts: list[str | None]) -> Iterator[list[str]]:
     """Runs of texts of about ``GROUP`` characters."""
     group, total = [], 0

@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -217,6 +218,30 @@ def test_license_suppression(spark):
     assert row["labels"] == "cc-by,cc-by-nc-4.0,gpl,gpl-3-or-later" and row["score"] == 1.0
 
 
+def base_columns(text):
+    """n_words, n_base, first_word, last_word, base_labels of a text, phrase by phrase."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    at = [(i, label) for phrase, label in licenses.BASE for p in [phrase.split()] for i in range(len(words)) if words[i : i + len(p)] == p]
+    starts = [i for i, _ in at]
+    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
+
+
+def test_license_base_columns_as_brute_force(spark):
+    texts = [
+        "__CC BY 4.0__", "_CC BY_", "img_cc_by_4", "a cc__by b", "ccc by", "écc by", "cc byé", "cc\u00a0by", "CC-BY cc/by cc by", "x_mit_license_y",
+        "GNU_General_Public_License", "gnu gnu general public license license", "apache mit license apache license", "file_cc0_1.0", "MPL_2.0", "simple_mpl", "", None,
+    ]
+    own = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    docs = own.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id > 20"))
+    got = licenses.labelled(licenses.scan(docs)).toPandas().astype(object)
+    got = got.where(got.notna(), None).set_index("doc_id")
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels"]
+    want = {r.doc_id: base_columns(r.text) for r in docs.collect()}
+    assert len(got) == len(want) and sum(w[1] for w in want.values()) > 20
+    assert {i: tuple(r) for i, r in got[columns].iterrows()} == want
+    assert got.labels[14].startswith("cc0") and got.labels[15] == "mpl-2.0" and got.labels[16] == "mpl"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

@@ -88,10 +88,13 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("proprietary", "unauthorized copying of this file"),
 )
 
+#: What stands between words, underscores included; ``\b`` would count those as letters.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+STARTS, ENDS = f"(?<![^{BETWEEN}])", f"(?![^{BETWEEN}])"
 #: Any text with a detection holds one of these words or starts of words.
 GATE = (
-    r"(?i)licen[cs]|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|gpl|gfdl|\bmpl\b|cddl|eupl|wtfpl|cecill|odbl|bsd|\bcc0|"
-    r"creative|permission|redistribut|warranty|contributors|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|rights|unauthorized"
+    f"(?i)licen[cs]|{STARTS}cc[{BETWEEN}]+by|gpl|gfdl|{STARTS}mpl{ENDS}|cddl|eupl|wtfpl|cecill|odbl|bsd|{STARTS}cc0|"
+    f"creative|permission|redistribut|warranty|contributors|public[{BETWEEN}]+domain|rights|unauthorized"
 )
 
 

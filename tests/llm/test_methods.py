@@ -162,6 +162,21 @@ def test_salvage_recovers_what_follows_the_damage(packed):
     assert [f.kind for f in cut] == ["record"] * 5 + ["gap"] and sum(f.length for f in cut) == len(raw) - 20
 
 
+def test_salvage_reads_all_records_of_a_member():
+    plain = [warc.record(i, "u", f"payload {i} ".encode() * 50, None, False) for i in range(6)]
+    ids = lambda found: [f.fields["warc-record-id"] for f in found if f.kind == "record"]
+    every = [f"<urn:page:{i}>" for i in range(6)]
+    assert ids(warc.salvage(gzip.compress(b"".join(plain)))) == every
+    assert ids(warc.salvage(gzip.compress(b"".join(plain[:4])) + gzip.compress(b"".join(plain[4:])))) == every
+    start = sum(map(len, plain[:2]))
+    whole = gzip.compress(damaged(b"".join(plain), start + len(plain[2]) // 2) + b"rest")
+    found = list(warc.salvage(whole))
+    assert ids(found) == [every[i] for i in (0, 1, 3, 4, 5)]
+    gaps = [f.reason for f in found if f.kind == "gap"]
+    assert len(gaps) == 2 and f"bytes {start} to {start + len(plain[2])} " in gaps[0]
+    assert {(f.offset, f.length) for f in found} == {(0, len(whole))}
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(2)
     first, second = rng.normal(size=9), rng.normal(size=9)

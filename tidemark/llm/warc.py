@@ -1,6 +1,7 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Every record is a gzip member of its own. The reader checks each member and record (gzip checksum,
+The writer makes every record a gzip member of its own; the reader takes any number of records a member.
+All records and gaps of a member have its offset and length. The reader checks each member and record (gzip checksum,
 version line, length, block and payload digest); where a check fails it searches for the next member,
 or version line in a file without compression, that passes, returns the records from there on and logs
 the bytes in between as a gap.
@@ -19,6 +20,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -181,35 +183,59 @@ def next_version(raw: bytes, start: int) -> int:
     return at
 
 
+def records_in(plain: bytes) -> Iterator[Found]:
+    """The records of plain bytes that pass their checks, in order, and the gaps between them."""
+    at, gap, why = 0, None, ""
+    while at < len(plain):
+        try:
+            # A record ends before the next version line at the latest; its own length says where.
+            fields, block, used = parse(plain, at)
+            found = Found(at, used, fields=fields, payload=payload_of(fields, block), stated=stated_length(block))
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            at = next_version(plain, at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if gap is not None:
+            yield Found(gap, at - gap, "gap", why)
+            gap = None
+        yield found
+        at += used
+    if gap is not None:
+        yield Found(gap, len(plain) - gap, "gap", why)
+
+
 def salvage(raw: bytes) -> Iterator[Found]:
     """All records that pass their checks, in order, and the gaps between them."""
-    view, at, gap, why = memoryview(raw), 0, None, ""
     packed = MAGIC in raw[: len(EMPTY)] or (VERSION not in raw[:16] and MAGIC in raw)
+    if not packed:
+        yield from records_in(raw)
+        return
+    view, at, gap, why = memoryview(raw), 0, None, ""
     while at < len(raw):
         try:
-            if packed:
-                if raw[at : at + 3] != MAGIC:
-                    raise ValueError("no member here")
-                plain, used = member(view, at)
-                found = None
-                if plain:
-                    fields, block, _ = parse(plain)
-                    found = Found(at, used, fields=fields, payload=payload_of(fields, block), stated=stated_length(block))
-            else:
-                # A record ends before the next version line at the latest; its own length says where.
-                fields, block, used = parse(raw, at)
-                found = Found(at, used, fields=fields, payload=payload_of(fields, block), stated=stated_length(block))
+            if raw[at : at + 3] != MAGIC:
+                raise ValueError("no member here")
+            plain, used = member(view, at)
+            inside = records_in(plain)
+            first = next(inside, None)
+            if first and first.kind == "gap" and first.length == len(plain):
+                raise ValueError(first.reason)  # no record at all
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = raw.find(MAGIC, at + 1) if packed else next_version(raw, at + 1)
+            at = raw.find(MAGIC, at + 1)
             at = len(raw) if at < 0 else at
             continue
         if gap is not None:
             yield Found(gap, at - gap, "gap", why)
             gap = None
-        if found:
-            yield found
+        for f in chain([first] if first else [], inside):
+            if f.kind == "gap":
+                f.reason = f"{f.reason} (bytes {f.offset} to {f.offset + f.length} of the member's {len(plain)})"
+            f.offset, f.length = at, used
+            yield f
         at += used
     if gap is not None:
         yield Found(gap, len(raw) - gap, "gap", why)

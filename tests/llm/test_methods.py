@@ -87,6 +87,25 @@ def test_simhash_links_as_brute_force(spark):
     assert {f: found.get(f, f) for f in signed} == {f: root(f) for f in signed}
 
 
+def test_rows_follow_their_own_component(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "some other words are here")
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(1, a), (1, b), (None, c)]))
+
+
+def test_rows_follow_their_own_perplexity(spark):
+    rnd = random.Random(8)
+    words = "the quiet river runs past old stone houses and the children play near water every summer".split()
+    clean = [" ".join(rnd.choice(words) for _ in range(150)) for _ in range(90)]
+    junk = ["".join(rnd.choice("zqxj#%&0123456789 ") for _ in range(600)) for _ in range(2)]
+    rows = [*enumerate(clean[:80], 1), *[(None, t) for t in clean[80:85]], (500, clean[85]), (None, junk[0]), (500, junk[1])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, True) for i in range(1, 81)], "doc_id bigint, trusted boolean")
+    kept = {r.text for r in kneser.keep(docs, labels).collect()}
+    assert set(clean[80:86]) <= kept and not kept & set(junk)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

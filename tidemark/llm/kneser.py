@@ -146,7 +146,7 @@ def log_probabilities(k: np.ndarray, keys: np.ndarray, logp: np.ndarray, back: n
 
 
 def score_block(docs: pa.Table, answers: pa.Table, labels: pa.Table | None) -> pa.Table:
-    """doc_id, lang, perplexity and whether a document is held out, for every row of a block."""
+    """doc_id, lang, text_hash, perplexity and whether a document is held out, for every row of a block."""
     ids, langs, texts = rows_of(docs)
     held = set() if labels is None else trusted_rows(ids, labels)[1]
     mean = np.full(len(ids), np.nan)
@@ -170,7 +170,7 @@ def score_block(docs: pa.Table, answers: pa.Table, labels: pa.Table | None) -> p
                 total += float(log_probabilities(g[s : s + CHUNK], keys, p, b, unseen).sum())
             mean[i] = total / len(g)
     return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()),
+        "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "text_hash": docs.column("text_hash"),
         "perplexity": pa.array(np.exp(-mean), from_pandas=True), "held": pa.array([i in held for i in ids], pa.bool_()),
     })
 
@@ -247,7 +247,7 @@ def deal(docs: DataFrame, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            number, rows = batch.column("block").to_numpy(), batch.select(["doc_id", "lang", "text"])
+            number, rows = batch.column("block").to_numpy(), batch.select(["doc_id", "lang", "text", "text_hash"])
             for block in np.unique(number):
                 out = pa.BufferOutputStream()
                 with pa.ipc.new_stream(out, rows.schema, options=options) as stream:
@@ -255,7 +255,8 @@ def deal(docs: DataFrame, blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
     text = docs.select(
-        block_of("doc_id", blocks), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+        block_of("doc_id", blocks), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
     return text.mapInArrow(run, "block int, docs binary")
 
@@ -267,11 +268,11 @@ def block_of(doc_id: str, blocks: int) -> Column:
 def opened(dealt: pa.Table) -> pa.Table:
     """The documents of a block."""
     tables = [pa.ipc.open_stream(d.as_buffer()).read_all() for d in dealt.column("docs")]
-    return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text": pa.array([], pa.string()), "text_hash": pa.array([], pa.int64())})
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, held of every document; ``trusted`` has doc_id and trusted."""
+    """doc_id, lang, text_hash, perplexity, held of every document; ``trusted`` has doc_id and trusted."""
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
     labels = trusted.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("trusted").alias("trusted"))
     labels = labels.where("trusted").select(block_of("doc_id", blocks), "doc_id", "trusted")
@@ -299,7 +300,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         label = pa.table({"doc_id": label.column("gram"), "trusted": label.column("mark")})
         return score_block(opened(left), right.filter(pa.array(~flag)), label)
 
-    return text.cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id bigint, lang string, perplexity double, held boolean")
+    return text.cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id bigint, lang string, text_hash bigint, perplexity double, held boolean")
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -317,19 +318,30 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, limit, kept of every document."""
+def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, text_hash, perplexity, limit, kept of every document."""
     scored = stage(perplexities(docs, trusted), "lm-scores")
     limit = limits(scored).select(F.col("lang").alias("_l"), "limit")
-    judged = scored.join(limit, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    rows = scored.join(limit, F.col("lang").eqNullSafe(F.col("_l")), "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
-    return judged.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"))
+    return rows.select("doc_id", "lang", "text_hash", "perplexity", "limit", kept.alias("kept"))
+
+
+def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, perplexity, limit, kept of every document."""
+    return judged(docs, trusted).drop("text_hash")
 
 
 def keep(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; a doc_id goes if any of its rows is rejected."""
-    gone = judge(docs, trusted).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that the classifier keeps.
+
+    Language and text alone decide, so a row goes if a rejected one equals it in doc_id, language and a
+    hash of the text; a doc_id that other rows share, or none, changes nothing.
+    """
+    gone = judged(docs, trusted).where("NOT kept")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("lang").alias("__lang"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & F.col("lang").cast("string").eqNullSafe(F.col("__lang"))
+    return docs.join(gone, same & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti")
 
 
 @query("op10_kneser_ney_quality")

@@ -54,15 +54,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every document."""
+    """doc_id, text_hash and fp (the fingerprint's bits as a signed long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(own)], names=["doc_id", "text_hash", "fp"])
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def ball(fp: Column) -> Column:
@@ -85,8 +85,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) of every row of ``docs``."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, c (the component's smallest fingerprint) and component_id of every row of ``docs``."""
     marked = stage(fingerprints(docs), "simhash")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     joined = components(links(distinct), "simhash-links")
@@ -94,20 +94,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     node = stage(node, "simhash-nodes")
     name = node.groupBy("c").agg(F.min("first").alias("component_id"))
-    return marked.join(node.join(name, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(node.join(name, "c").select("fp", "c", "component_id"), "fp").select("doc_id", "text_hash", "fp", "c", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) of every row of ``docs``."""
+    return grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest doc_id; of equal doc_ids one row.
+    """One row of each component: that of its smallest doc_id, of equal doc_ids one row.
 
-    Rows without doc_id stay: nothing can name them.
+    Rows are told apart by doc_id and a hash of the text, so that a repeated doc_id loses no text of
+    another component; rows without doc_id come last in their component.
     """
-    first = near_duplicates(docs).where("component_id IS NOT NULL").select(F.col("component_id").alias("__keep")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("__keep"), "left_semi")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    first = grouped(docs).groupBy("c").agg(F.min(key).alias("__k"))
+    first = first.select(F.col("__k.doc_id").alias("__keep"), F.col("__k.text_hash").alias("__hash"))
+    named = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    named = named.join(first, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__hash")), "left_semi")
     order = [c for c in docs.columns if c != "doc_id"]
-    one = Window.partitionBy("doc_id").orderBy(*order)
-    named = named.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    one = Window.partitionBy("doc_id", "__own").orderBy(*order)
+    return named.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
 
 
 @query("op6_simhash_groups")

@@ -87,6 +87,14 @@ def test_simhash_links_as_brute_force(spark):
     assert {f: found.get(f, f) for f in signed} == {f: root(f) for f in signed}
 
 
+def test_links_of_a_wider_radius(spark):
+    rnd = random.Random(6)
+    near = rnd.getrandbits(63)
+    fps = [near, near ^ 0b1111, near ^ 0b11111 << 20, rnd.getrandbits(63)]
+    made = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), radius=4)
+    assert {frozenset(r) for r in made.collect()} == {frozenset(fps[:2])}
+
+
 def test_rows_follow_their_own_component(spark):
     a, b, c = ("alpha beta gamma delta", "one two three four five", "some other words are here")
     rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a)]

@@ -1,7 +1,9 @@
 """Mixing sources to target weights.
 
-Every source is one stream of words, cut into blocks of ``block`` words. Each slot of each output
-shard draws a source by the target weights, so a shard's counts are multinomial. A slot's draws over all
+Every source is one stream of words, cut into blocks of ``block`` words, of which the last may be short.
+Each slot of each output shard draws a source by the blocks that its target takes (target over the mean
+words of its blocks), so a shard's counts are multinomial and a source whose last block is short gets
+slots for it. A slot's draws over all
 shards are spread evenly (one random start, rotated by shard), which keeps the totals near their targets.
 The n-th slot that a source receives, over all shards, takes block ``permutation(n mod blocks)`` of that source, and the
 blocks are joined by that index. Only DataFrame functions are used.
@@ -21,12 +23,12 @@ from tidemark.llm.registry import query, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Words of a block.
-BLOCK = 128
-#: Slots of an output shard; many small shards keep the drawn totals near their targets.
-SHARD_SLOTS = 32
+#: Words of a block. Short blocks keep the drawn totals near their targets.
+BLOCK = 32
+#: Slots of an output shard.
+SHARD_SLOTS = 128
 #: Shards whose slots are numbered together.
-SHARD_GROUP = 2048
+SHARD_GROUP = 512
 #: A source's stream is ordered by hash bucket first, so that a hot source spreads over tasks.
 BUCKETS = 4096
 ROUNDS = 12
@@ -107,17 +109,19 @@ def slots(spark: SparkSession, goals: DataFrame, block: int = BLOCK, shard_slots
     repeats leaves the surplus slots out.
     """
     goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    # The last block of a source may be short, so a slot is worth the mean of its source's blocks.
+    goals = goals.withColumn("need", F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")))
     up_to = Window.orderBy("place")
     bounds = goals.where("target > 0").select(
-        "place", "blocks", F.sum("target").over(up_to).alias("_hi"), F.sum("target").over(Window.partitionBy()).alias("_all")
+        "place", "blocks", F.sum("need").over(up_to).alias("_hi"), F.sum("need").over(Window.partitionBy()).alias("_all")
     )
     bounds = bounds.select(
         F.struct(F.ceil(F.col("_hi") / F.col("_all") * DRAW).cast("long").alias("hi"), "place", "blocks").alias("b"), "_all"
     )
-    # One row: the sources' cumulated weights as an array (its length is the number of sources).
+    # One row: the sources' cumulated slots as an array (its length is the number of sources).
     draws = F.array(*[draw(F.lit(i)) for i in range(shard_slots)])
     wheel = bounds.agg(F.array_sort(F.collect_list("b")).alias("wheel"), F.max("_all").alias("_all")).withColumn("draws", draws)
-    slots_all, last = F.ceil(F.col("_all") / block).cast("long"), F.ceil(F.col("_all") / (block * shard_slots)).cast("long")
+    slots_all, last = F.ceil("_all").cast("long"), F.ceil(F.col("_all") / shard_slots).cast("long")
     shards = wheel.where("_all > 0").select(
         "wheel", "draws", slots_all.alias("_slots"), last.alias("_shards"), F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("shard")
     )

@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Perplexities and fingerprints are not SQL; tests/llm hold the stages against brute force.
+#: Perplexities and fingerprints are not SQL; tests/llm check subsets and the bound of 1024 tokens.
 ORACLE_SQL: str | None = None
 
 

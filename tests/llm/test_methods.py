@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def test_simhash_links_as_brute_force(spark):
     assert {f: found.get(f, f) for f in signed} == {f: root(f) for f in signed}
 
 
+def test_simhash_query_as_brute_force(spark):
+    load_all()
+    ids, marks = [], []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(len(words) - 2, min(1, len(words))))]
+        ids.append(r.doc_id)
+        marks.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    name = list(ids)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if (marks[i] ^ marks[j]).bit_count() <= 2]
+    while any(name[i] != name[j] for i, j in pairs):
+        for i, j in pairs:
+            name[i] = name[j] = min(name[i], name[j])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op6_simhash_groups"](spark, SMALL).collect()}
+    assert pairs and got == {i: (f"{m:016x}", n) for i, m, n in zip(ids, marks, name, strict=True)}
+
+
 def test_links_of_a_wider_radius(spark):
     rnd = random.Random(6)
     near = rnd.getrandbits(63)

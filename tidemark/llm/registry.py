@@ -30,6 +30,7 @@ def load_all() -> None:
         ann,
         curve,
         dac,
+        importance,
         kneser,
         licenses,
         mixing,

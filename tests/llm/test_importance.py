@@ -58,12 +58,25 @@ def test_spans_of_many_blocks():
     assert importance.span_crcs(data, starts, ends).tolist() == [zlib.crc32(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
 
 
-def test_words_end_with_their_text():
-    texts = ["ab", "cd ef", "", None, "gh", "Äß_É x9", "-", "z"]
-    data, offsets = importance.text_bytes(pa.array(["skipped", *texts], pa.string()).slice(1))
-    starts, ends, own = importance.words(data, offsets)
-    got = [(int(t), data[a:b].tobytes().decode()) for a, b, t in zip(starts, ends, own, strict=True)]
-    assert got == [(i, w) for i, x in enumerate(texts) for w in word_list(x)]
+TEXTS = ["ab", "cd ef", "", None, "gh", "Äß_É x9", "-", "z", "a b c d e f g " + "long" * 20 + " h i", "jk", "l" * 40]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1 << 20])
+def test_windows_end_between_words(size, monkeypatch):
+    data, offsets = importance.text_bytes(pa.array(["skipped", *TEXTS], pa.string()).slice(1))
+    runs = list(importance.windows(data, offsets, size))
+    assert [a for a, _ in runs] == [0, *[b for _, b in runs][:-1]] and runs[-1][1] == len(data)
+    monkeypatch.setattr(importance, "windows", lambda d, o: iter(runs))
+    for least, most in ((1, 1), (1, 3), (3, 4)):
+        want, got, told = [], [], []
+        for i, x in enumerate(TEXTS):
+            w = word_list(x)
+            want += [(i, zlib.crc32(" ".join(w[k : k + n]).encode())) for n in range(least, most + 1) for k in range(len(w) - n + 1)]
+        for word, own, bucket in importance.features(data, offsets, least, most, (1 << 32) - 1):
+            told += word.tolist()
+            got += list(zip(own.tolist(), bucket.tolist(), strict=True))
+        assert sorted(got) == sorted(want)
+        assert told == [i for i, x in enumerate(TEXTS) for _ in word_list(x)]
 
 
 def docs_of(spark, rows):

@@ -10,8 +10,8 @@ table entry per byte, looked up by the byte and its distance from the span's end
 depends on the length alone. Whole Arrow batches are hashed at once: the entries of all spans lie in one
 array that ``bitwise_xor.reduceat`` folds span by span. Spans longer than ``WIDTH`` bytes are cut into
 blocks from their end; a block's value moves past the blocks behind it by tables for powers of two of
-``WIDTH`` zero bytes, and a second fold joins the blocks. Slices of ``SLICE`` blocks bound the memory,
-whatever the length of a text or a word.
+``WIDTH`` zero bytes, and a second fold joins the blocks. Texts are read in windows of ``WINDOW`` bytes that
+end between words, and blocks in slices of ``SLICE``; this bounds the memory, whatever the length of a text.
 
 What reaches the driver is one row per bucket, a number set by the caller. The draw sorts all scores over
 range partitions and numbers them by the partitions' counts.
@@ -45,6 +45,8 @@ LEAST_WORDS = 20
 WIDTH = 64
 #: Blocks that are looked up at once.
 SLICE = 1 << 14
+#: Bytes of texts whose words are found at once.
+WINDOW = 1 << 20
 FULL = np.uint32(0xFFFFFFFF)
 
 #: The register after one byte, by the byte; a CRC's start and end constants cancel out here.
@@ -140,44 +142,77 @@ IN_WORD = ((BYTES >= 48) & (BYTES <= 57)) | ((BYTES >= 97) & (BYTES <= 122)) | (
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(the lower-cased bytes of all texts in a row, offsets of the texts), read from the Arrow buffers."""
-    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    """(the bytes of all texts in a row, offsets of the texts), as they lie in the Arrow buffers."""
+    texts = column.cast(pa.large_string())
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
-    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and len(texts) else np.zeros(0, np.uint8)
-    return LOWER[data], offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of every word."""
+def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every word of lower-cased bytes; a word also ends at every place of ``cuts``."""
     inside = np.concatenate([[False], IN_WORD[data], [False]])
-    cut = offsets[1:-1]
-    # A word ends where its text ends: both sides of such a cut are edges.
     before, after = inside[:-1].copy(), inside[1:].copy()
-    before[cut], split = False, inside[cut + 1] & inside[cut]
+    whole = before[cuts]
+    before[cuts] = False
     starts = np.flatnonzero(after & ~before)
-    before[cut] = inside[cut]
-    after[cut[split]] = False
-    ends = np.flatnonzero(before & ~after)
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def features(data: np.ndarray, offsets: np.ndarray, least: int, most: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of all features, one run length at a time."""
-    starts, ends, text = words(data, offsets)
-    if most > 1:  # write the words anew, one space behind each
-        length = ends - starts
-        fresh = np.cumsum(length + 1) - (length + 1)
-        row = np.full(int((length + 1).sum()), 32, np.uint8)
-        shift = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        row[np.repeat(fresh, length) + shift] = data[np.repeat(starts, length) + shift]
-        data, starts, ends = row, fresh, fresh + length
-    for n in range(least, most + 1):
-        last = len(starts) - n + 1
-        if last <= 0:
-            return
-        whole = np.flatnonzero(text[:last] == text[n - 1 :])
-        yield text[whole], span_crcs(data, starts[whole], ends[whole + n - 1]) % np.uint32(buckets)
+    before[cuts] = whole
+    after[cuts] = False
+    return starts, np.flatnonzero(before & ~after)
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Runs [start, end) of about ``size`` bytes; no word goes over an end."""
+    at = 0
+    while at < len(data):
+        stop = min(at + size, len(data))
+        text_end = int(offsets[np.searchsorted(offsets, stop)])
+        while stop < text_end:  # up to the next byte outside words
+            free = np.flatnonzero(~IN_WORD[LOWER[data[stop : min(stop + size, text_end)]]])
+            if len(free):
+                stop += int(free[0])
+                break
+            stop = min(stop + size, text_end)
+        yield at, stop
+        at = stop
+
+
+def features(data: np.ndarray, offsets: np.ndarray, least: int, most: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text of every word, text of every feature, bucket of every feature), window by window."""
+    # The last words of the window before: their bytes with a space behind each, their lengths and texts.
+    held, held_length, held_text = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at, stop in windows(data, offsets):
+        low = np.searchsorted(offsets, at, side="right") - 1
+        own = offsets[low : np.searchsorted(offsets, stop)]
+        part = LOWER[data[at:stop]]
+        starts, ends = words(part, own[1:] - at)
+        text = low + np.searchsorted(own, starts + at, side="right") - 1
+        told = text
+        if most > 1:  # write the words anew, one space behind each, after those held
+            length = ends - starts
+            fresh = np.cumsum(length + 1) - (length + 1)
+            row = np.full(int((length + 1).sum()), 32, np.uint8)
+            shift = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            row[np.repeat(fresh, length) + shift] = part[np.repeat(starts, length) + shift]
+            part, length, text = np.concatenate([held, row]), np.concatenate([held_length, length]), np.concatenate([held_text, text])
+            starts = np.cumsum(length + 1) - (length + 1)
+            ends = starts + length
+        known = len(held_text)
+        yield told, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for n in range(least, most + 1):
+            # Runs that end before the first new word were given by the window before.
+            first, last = max(known - n + 1, 0), len(starts) - n + 1
+            if last > first:
+                whole = first + np.flatnonzero(text[first:last] == text[first + n - 1 :])
+                yield told[:0], text[whole], span_crcs(part, starts[whole], ends[whole + n - 1]) % np.uint32(buckets)
+        if most > 1:
+            keep = max(len(text) - most + 1, 0)
+            held_length, held_text = length[keep:], text[keep:]
+            held = part[starts[keep] :] if len(held_text) else part[:0]
 
 
 def bucket_counts(texts: DataFrame, text: str = "text", least: int = 1, most: int = 1, buckets: int = BUCKETS) -> DataFrame:
@@ -186,7 +221,7 @@ def bucket_counts(texts: DataFrame, text: str = "text", least: int = 1, most: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, found in features(*text_bytes(batch.column(0)), least, most, buckets):
+            for _, _, found in features(*text_bytes(batch.column(0)), least, most, buckets):
                 total += np.bincount(found, minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
@@ -213,8 +248,9 @@ def weights(docs: DataFrame, gain: np.ndarray, doc_id: str = "doc_id", text: str
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             n = batch.num_rows
-            length, count, weight = np.bincount(words(data, offsets)[2], minlength=n), np.zeros(n, np.int64), np.zeros(n)
-            for own, bucket in features(data, offsets, least, most, len(gain)):
+            length, count, weight = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+            for word, own, bucket in features(data, offsets, least, most, len(gain)):
+                length += np.bincount(word, minlength=n)
                 count += np.bincount(own, minlength=n)
                 weight += np.bincount(own, gain[bucket], n)
             columns = [batch.column(0), pa.array(length), pa.array(count), pa.array(weight.astype(np.int64))]

@@ -37,5 +37,7 @@ def load_all() -> None:
         packing,
         rules,
         simhash,
+        toxicity,
+        variants,
         warc,
     )

@@ -240,9 +240,9 @@ near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM skips x JOIN skips
 best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, min_by(other, (-other_n, other)) AS other FROM near GROUP BY word),
 found AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN other END AS form,
           CASE WHEN top >= 2 * n THEN top END::BIGINT AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
-led AS (SELECT word, word AS at, form AS next FROM found
+led AS (SELECT word, word AS reached, form AS next FROM found
         UNION ALL SELECT l.word, f.word, f.form FROM led l JOIN found f ON l.next = f.word)
-SELECT f.word, n, n_near, form, form_n, at AS root FROM found f JOIN led l ON f.word = l.word AND l.next IS NULL
+SELECT f.word, n, n_near, form, form_n, reached AS root FROM found f JOIN led l ON f.word = l.word AND l.next IS NULL
 """
 
 

@@ -4,6 +4,7 @@ import gzip
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -132,6 +133,30 @@ def test_rows_follow_their_own_perplexity(spark):
     assert set(clean[80:86]) <= kept and not kept & set(junk)
 
 
+def test_languages_without_held_out_documents_have_a_limit(spark):
+    rnd = random.Random(9)
+    words = "the quiet river runs past old stone houses and the children play near water every summer".split()
+    text = lambda: " ".join(rnd.choice(words) for _ in range(120))
+    held = [i for i in range(1, 400) if (i * 2654435761 % 4294967291) % kneser.HELD_OUT == 0]
+    small = [i for i in range(1, 400) if i not in held][:5]
+    rows = [(i, text(), "xx" if i in small else "en") for i in range(1, 120)]
+    junk = [(900 + k, "".join(rnd.choice("zqxj#%&0123456789 ") for _ in range(700)), lang) for k, lang in enumerate(("xx", "en", "xx"))]
+    docs = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, True) for i, _, _ in rows], "doc_id bigint, trusted boolean")
+    got = {r.doc_id: r for r in kneser.judge(docs, labels).collect()}
+    assert all(got[i].limit is not None for i in got) and got[900].limit == got[902].limit
+    assert not any(got[i].kept for i, _, _ in junk) and all(got[i].kept for i in small)
+
+
+def test_string_cuts_see_whole_strings(spark):
+    rows = [(f"common_crawl_{c}",) for c in "abcd" for _ in range(40)] + [(None,)] * 3 + [("z\U0001f600",)]
+    df = spark.createDataFrame(rows, "source string")
+    assert curve.string_cuts(df, "source", 2) == ["common_crawl_a", "common_crawl_b", "common_crawl_c"]
+    cells = {r.source: r["__curve"] for r in curve.curve_index(df, ("source",), 2).collect()}
+    assert len({cells[f"common_crawl_{c}"] for c in "abcd"}) == 4 and cells[None] == cells["common_crawl_a"]
+    assert curve.string_cuts(df.limit(0), "source", 2) == []
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -147,6 +172,9 @@ def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("x")).collect()
         assert sorted(r.x for r in rows) == list(range(n))
+        key = F.lit(99).cast("long")
+        back = mixing.permuted(mixing.permuted(F.col("id"), F.lit(n).cast("long"), key), F.lit(n).cast("long"), key, inverse=True)
+        assert all(r.x == r.id for r in spark.range(n).select("id", back.alias("x")).collect())
 
 
 def test_targets_reshare_the_excess(spark):
@@ -167,12 +195,39 @@ def test_targets_reshare_the_excess(spark):
     assert got == pytest.approx(want)
 
 
-def test_small_sources_of_a_mix_get_their_targets(spark):
-    rows = [(i, " ".join(["w"] * (40 if i < 600 else 130)), f"s{i:04}") for i in range(900)]
+def mixed_sources(spark, sources):
+    """Per source of ``sources`` (name: (documents, words)): target, taken, size."""
+    rows = [(k, " ".join(["w"] * words), name) for k, (name, words) in enumerate((n, w) for n, (c, w) in sources.items() for _ in range(c))]
     got = mixing.taken(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).toPandas()
-    # Draws that pass three repeats are left out, so sources near that limit are not compared.
-    for _, own in got[got.target < 1.5 * got["size"]].groupby("size"):
-        assert own.taken.sum() == pytest.approx(own.target.sum(), rel=0.1)
+    assert (got.taken <= 3 * got["size"]).all() and len(got) == len(rows)
+    return got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
+
+
+def test_capped_and_small_sources_get_their_targets(spark):
+    capped = mixed_sources(spark, {"big": (400, 300)} | {f"s{i:02}": (1, 33) for i in range(60)})
+    tail = capped.drop("big")
+    assert (tail.target == 99).all() and (tail.taken == 99).all()
+    spread = mixed_sources(spark, {f"s{i:04}": (1 + i % 3, [5, 40, 130, 700][i % 4]) for i in range(300)})
+    for own in (capped, spread):
+        near = (own.taken - own.target).abs() <= 0.05 * own.target + 1
+        assert near.all(), own[~near]
+    assert spread.taken.sum() == pytest.approx(spread["size"].sum(), rel=0.01)
+
+
+def test_urn_gives_every_slot_once(spark):
+    goals = spark.createDataFrame([("a", 0, 9_000, 27_000.0), ("b", 1, 40, 100.0), (None, 2, 0, 0.0), ("z", 3, 50_000, 31_940.0)], "source string, place bigint, source_size bigint, target double")
+    cut = mixing.cut(goals)
+    plan = {r.place: r for r in cut.collect()}
+    got = mixing.slots(cut, shard_slots=100).toPandas()
+    n = sum(r.slots for r in plan.values())
+    assert sorted(got.shard * 100 + got.slot) == list(range(n)) and plan[2].slots == 0
+    for place, own in got.groupby("place"):
+        r = plan[place]
+        assert len(own) == r.slots and not own.duplicated(["epoch", "index"]).any() and own["index"].between(0, r.blocks - 1).all()
+        assert own.groupby("epoch").size().tolist()[:-1] == [r.blocks] * (own.epoch.nunique() - 1)
+    # Shards draw sources in proportion, as from one urn.
+    shares = got[got.place == 0].groupby("shard").size() / 100
+    assert abs(shares.mean() - plan[0].slots / n) < 0.02 and 0.02 < shares.std() < 0.08
 
 
 @settings(max_examples=50, deadline=None)
@@ -230,6 +285,60 @@ def test_salvage_reads_all_records_of_a_member():
     assert {(f.offset, f.length) for f in found} == {(0, len(whole))}
 
 
+def ids_of(found):
+    return [f.fields["warc-record-id"] for f in found if f.kind == "record"]
+
+
+def covered(found, size):
+    """Whether the places of records and gaps lie side by side over the whole file."""
+    places = sorted({(f.offset, f.length) for f in found})
+    return [a for a, _ in places] == [0, *itertools.accumulate(n for _, n in places)][:-1] and sum(n for _, n in places) == size
+
+
+def noisy(i):
+    return warc.record(i, "u", random.Random(i).randbytes(3_000).hex().encode(), None, False)
+
+
+@pytest.mark.parametrize("flush", [False, True])
+def test_salvage_inside_one_damaged_member(flush):
+    plain = [noisy(i) for i in range(8)]
+    deflate = zlib.compressobj(wbits=31)
+    parts = []
+    for p in plain:
+        parts.append(deflate.compress(p) + (deflate.flush(zlib.Z_FULL_FLUSH) if flush else b""))
+    whole = b"".join([*parts, deflate.flush()])
+    every = [f"<urn:page:{i}>" for i in range(8)]
+    cut = list(warc.salvage(whole[:-2_000]))
+    assert ids_of(cut) == every[:7] and covered(cut, len(whole) - 2_000) and any("cut short" in (f.reason or "") for f in cut)
+    bad = damaged(whole, len(whole) // 2 + 900)
+    found = list(warc.salvage(bad))
+    assert ids_of(found)[:4] == every[:4] and covered(found, len(whole)) and any(f.kind == "gap" for f in found)
+    if flush:
+        assert sorted(ids_of(found)) == every[:4] + every[5:]
+    # The next member follows whether or not the one before it ended.
+    after = gzip.compress(noisy(9))
+    for first in (bad, whole[:-2_000]):
+        found = list(warc.salvage(first + after))
+        assert ids_of(found)[-1] == "<urn:page:9>" and sorted(ids_of(found))[:4] == every[:4] and covered(found, len(first + after))
+
+
+def test_salvage_of_mixed_files():
+    page = b"x" * 300
+    packed = warc.record(3, "u", gzip.compress(page) + b" and " + gzip.compress(page), None, False)
+    plain = [warc.record(i, "u", page, None, False) for i in range(3)] + [packed, *[warc.record(i, "u", page, None, False) for i in (4, 5)]]
+    raw = b"W\x00RC" + b"".join(plain)[4:]
+    found = list(warc.salvage(raw))
+    assert ids_of(found) == [f"<urn:page:{i}>" for i in range(1, 6)] and covered(found, len(raw))
+    at = sum(map(len, plain[:3])) + len(packed) // 2
+    twice = damaged(damaged(b"".join(plain), len(plain[0]) - 100), at)
+    found = list(warc.salvage(twice))
+    assert ids_of(found) == [f"<urn:page:{i}>" for i in (1, 2, 4, 5)] and covered(found, len(twice))
+    both = b"".join(plain[:2]) + gzip.compress(plain[2]) + plain[4] + gzip.compress(plain[5])
+    found = list(warc.salvage(both))
+    assert ids_of(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 4, 5)] and covered(found, len(both)) and all(f.kind == "record" for f in found)
+    assert [f.kind for f in warc.salvage(b"no archive")] == ["gap"] and not list(warc.salvage(b""))
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(2)
     first, second = rng.normal(size=9), rng.normal(size=9)

@@ -31,10 +31,31 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/llm-{purpose}-{uuid.uuid4().hex}"
 
 
+#: The tables that ``stage`` has written and nobody has released.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def staged() -> int:
+    """A mark to release up to."""
+    return len(_WRITTEN)
+
+
+def release(mark: int = 0, keep: int = 0) -> None:
+    """Delete what was staged since ``mark`` but for the last ``keep`` tables.
+
+    For when results are stored: a frame that still reads one of the tables can run no more.
+    """
+    until = max(len(_WRITTEN) - keep, mark)
+    for spark, path in _WRITTEN[mark:until]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _WRITTEN[mark:until]
+
+
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back; this cuts its lineage.
 
-    Nothing reads the shuffles below once the table is there, so their files go when the write ends.
+    ``release`` deletes such tables. Nothing reads the shuffles below once the table is there, so their files go when the write ends.
     """
     spark = df.sparkSession
     path = scratch(spark, purpose)
@@ -44,6 +65,7 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,16 +1,20 @@
 """Mixing sources to target weights.
 
-Every source is one stream of words, cut into blocks of ``block`` words, of which the last may be short.
-Each slot of each output shard draws a source by the blocks that its target takes (target over the mean
-words of its blocks), so a shard's counts are multinomial and a source whose last block is short gets
-slots for it. A slot's draws over all
-shards are spread evenly (one random start, rotated by shard), which keeps the totals near their targets.
-The n-th slot that a source receives, over all shards, takes block ``permutation(n mod blocks)`` of that source, and the
-blocks are joined by that index. Only DataFrame functions are used.
+Every source is one stream of words, cut into blocks of a fixed length, of which the last may be short:
+``block`` words, or for a source below ``block * FINE`` words a ``FINE``-th of it, so that a block is a small
+part of any source. A source has as many slots of the mix as blocks that fill its target, exactly.
+
+The slots of all sources lie in an urn, and output shards draw them in turn without replacement: a keyed
+permutation of the urn says which shard and slot each one becomes. So the counts of sources in a shard are
+multinomial draws given the totals, and the totals meet the targets. The n-th slot of a source takes block
+``permutation(n mod blocks)`` of pass ``n / blocks``, another permutation for every pass, and blocks are joined
+by that index; at a target of ``repeats`` times its size a source is taken in whole passes. Each slot follows
+from its number alone, so any task can draw any part of the urn. Only DataFrame functions are used.
 
 Nulls, ties and odd input: a null text has size 0 and is taken 0 times; null sources form one source
 that sorts last; equal rows are places of their own in the stream; a table without words yields rows
-with ``taken`` 0 and target 0; extra columns are ignored, so that their names cannot clash.
+with ``taken`` 0 and target 0; texts may have any length, as what follows sees sizes and places of words only;
+extra columns are ignored, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,37 +27,35 @@ from tidemark.llm.registry import query, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Words of a block. Short blocks keep the drawn totals near their targets.
+#: Words of a block.
 BLOCK = 32
+#: Blocks of a small source: what rounding to whole blocks can miss of a target is below half of such a part.
+FINE = 64
 #: Slots of an output shard.
 SHARD_SLOTS = 128
-#: Shards whose slots are numbered together.
-SHARD_GROUP = 512
+#: Slots of one source that a row stands for until they are spread over tasks.
+RUN = 4096
 #: A source's stream is ordered by hash bucket first, so that a hot source spreads over tasks.
 BUCKETS = 4096
 ROUNDS = 12
-#: Precision of a draw.
-DRAW = 1 << 32
-
+#: The key of the urn's permutation.
+URN_KEY = 5
 
-def draw(*parts: Column) -> Column:
-    """A number in [0, 2^32) from the first eight hex digits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
-
-def permuted(index: Column, n: Column, key: Column) -> Column:
+def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Column:
     """Swap-or-not shuffle: a bijection of [0, n) chosen by ``key``, for any n and without a table.
 
-    Each round reflects the index at a keyed point or leaves it, by a bit that both partners share.
+    Each round reflects the index at a keyed point or leaves it, by a bit that both partners share; so a
+    round undoes itself, and the rounds in reverse give the inverse.
     """
     def turn(x: Column, r: Column) -> Column:
         pivot = (key * (F.lit(7919) + r * 2) + (r + 1) * 104729) % n
         partner = (pivot - x + n) % n
         top = F.greatest(x, partner)
-        mixed = ((top % 2147483647) * F.lit(2654435761) + key * (r + 97) + r * 40503) % F.lit(4294967291)
-        return F.when(F.shiftright(mixed, 13) % 2 == 1, partner).otherwise(x)
+        return F.when(F.xxhash64(top, key, r) % 2 == 0, x).otherwise(partner)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), index, turn)
+    rounds = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
+    return F.aggregate(F.array(*[F.lit(r).cast("long") for r in rounds]), index, turn)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> Da
 
 def stream(sized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The words' places: ``start`` of every document in its source's stream."""
-    rows = sized.withColumn("__h", draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("_b", F.col("__h") % buckets)
+    rows = sized.withColumn("__h", F.xxhash64("doc_id", "text_hash")).withColumn("_b", F.pmod("__h", F.lit(buckets)))
     per = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("source").alias("_s"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
@@ -102,68 +104,52 @@ def stream(sized: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return joined.select("doc_id", "source", "size", "text_hash", (F.col("_base") + F.col("_in")).alias("start"))
 
 
-def slots(spark: SparkSession, goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, slot, place, index: the block that each slot of the mix takes.
+def cut(goals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``goals`` with ``length`` (words of a block), ``blocks``, ``slots`` and ``base`` (slots of the sources before)."""
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / FINE))).cast("long")
+    rows = goals.withColumn("length", length)
+    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
+    # The last block may be short, so a slot is worth the mean of its source's blocks.
+    rows = rows.withColumn("slots", F.round(F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))).cast("long"))
+    earlier = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("base", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+
 
-    ``goals`` is the small table of targets. A source that draws more slots than its blocks allow
-    repeats leaves the surplus slots out.
+def slots(goals: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """shard, slot, place, epoch, index: the block that each slot of the mix takes.
+
+    ``goals`` is the table of ``cut``, one row per source.
     """
-    goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    # The last block of a source may be short, so a slot is worth the mean of its source's blocks.
-    goals = goals.withColumn("need", F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")))
-    up_to = Window.orderBy("place")
-    bounds = goals.where("target > 0").select(
-        "place", "blocks", F.sum("need").over(up_to).alias("_hi"), F.sum("need").over(Window.partitionBy()).alias("_all")
-    )
-    bounds = bounds.select(
-        F.struct(F.ceil(F.col("_hi") / F.col("_all") * DRAW).cast("long").alias("hi"), "place", "blocks").alias("b"), "_all"
-    )
-    # One row: the sources' cumulated slots as an array (its length is the number of sources).
-    draws = F.array(*[draw(F.lit(i)) for i in range(shard_slots)])
-    wheel = bounds.agg(F.array_sort(F.collect_list("b")).alias("wheel"), F.max("_all").alias("_all")).withColumn("draws", draws)
-    slots_all, last = F.ceil("_all").cast("long"), F.ceil(F.col("_all") / shard_slots).cast("long")
-    shards = wheel.where("_all > 0").select(
-        "wheel", "draws", slots_all.alias("_slots"), last.alias("_shards"), F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("shard")
-    )
-    turn = permuted(F.col("shard"), F.col("_shards"), F.lit(5).cast("long")) * F.lit(DRAW)
-
-    def pick(u: Column) -> Column:
-        return F.element_at(F.filter("wheel", lambda b: u < b["hi"]), 1)
-
-    # The wheel stays in the row of a shard; the rows of its slots hold what they picked only.
-    picked = (
-        shards.repartition(tasks(spark), "shard")
-        .withColumn("_turn", F.floor(turn / F.col("_shards")).cast("long"))
-        .select("shard", "_slots", F.transform("draws", lambda d: bind((d + F.col("_turn")) % DRAW, pick)).alias("_picks"))
-        .select("shard", "_slots", F.posexplode("_picks").alias("slot", "_pick"))
-        .where(F.col("shard") * shard_slots + F.col("slot") < F.col("_slots"))
-        .select("shard", "slot", F.col("_pick.place").alias("place"), F.col("_pick.blocks").alias("blocks"))
+    urn = goals.withColumn("_all", F.sum("slots").over(Window.partitionBy())).where("slots > 0")
+    long = lambda c: F.lit(c).cast("long")
+    runs = urn.withColumn("_run", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / RUN).cast("long"))))
+    # A source of many slots leaves its row in runs that go to tasks by themselves.
+    runs = runs.select("place", "blocks", "slots", "base", "_all", "_run").repartition(tasks(goals.sparkSession), "place", "_run")
+    last = F.least((F.col("_run") + 1) * RUN, F.col("slots")) - 1
+    each = runs.withColumn("_n", F.explode(F.sequence(F.col("_run") * RUN, last)))
+    turn = permuted(F.col("base") + F.col("_n"), F.col("_all"), long(URN_KEY), inverse=True)
+    epoch = F.floor(F.col("_n") / F.col("blocks"))
+    index = permuted(F.col("_n") % F.col("blocks"), F.col("blocks"), F.col("_epoch") * 1009 + F.col("place") % 999983 + 1)
+    each = each.withColumns({"_turn": turn, "_epoch": epoch})
+    return each.select(
+        F.floor(F.col("_turn") / shard_slots).alias("shard"), (F.col("_turn") % shard_slots).alias("slot"),
+        "place", F.col("_epoch").alias("epoch"), index.alias("index"),
     )
-    drawn = stage(picked.withColumn("_g", F.floor(F.col("shard") / SHARD_GROUP)), "mix-slots")
-    counts = drawn.groupBy("place", "_g").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("place").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("place", "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("place", "_g").orderBy("shard", "slot")
-    numbered = drawn.withColumn("_k", F.row_number().over(inside) - 1).join(base, ["place", "_g"])
-    numbered = numbered.withColumn("_n", F.col("_base") + F.col("_k")).withColumn("epoch", F.floor(F.col("_n") / F.col("blocks")))
-    numbered = numbered.where(F.col("epoch") < MAX_REPEATS)
-    index = permuted(F.col("_n") % F.col("blocks"), F.col("blocks"), F.col("epoch") * 1009 + F.col("place") % 999983 + 1)
-    return numbered.select("shard", "slot", "place", "epoch", index.alias("index"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with place and start, targets, slots) of the mix of all ``docs``."""
     sized = stage(sizes(docs), "mix-sizes")
-    goals = stage(targets(sized), "mix-targets")
-    return stream(sized), goals, slots(docs.sparkSession, goals, block, shard_slots)
+    goals = stage(cut(targets(sized), block), "mix-targets")
+    return stream(sized), goals, slots(goals, shard_slots)
 
 
 def spread(docs: DataFrame, block: int, shard_slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their targets, a row per document and block that meet, slots)."""
     placed, goals, drawn = mix(docs, block, shard_slots)
-    goal = goals.select(F.col("source").alias("_s"), "place", "source_size", "target")
+    goal = goals.select(F.col("source").alias("_s"), "place", "source_size", "target", "length")
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    first, last = F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length"))
     met = placed.where("size > 0").select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("index"))
     return placed, met, drawn
 
@@ -171,7 +157,8 @@ def spread(docs: DataFrame, block: int, shard_slots: int) -> tuple[DataFrame, Da
 def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words of each document in the mix."""
     placed, met, drawn = spread(docs, block, shard_slots)
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("start"), F.col("index") * block)
+    length = F.col("length")
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.greatest(F.col("start"), F.col("index") * length)
     times = drawn.groupBy("place", "index").agg(F.count("*").alias("_times"))
     words = (
         met.join(times, ["place", "index"])
@@ -188,16 +175,16 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     """The mix as rows with the columns of ``docs``: what each pass over a source takes of a document.
 
     Neighbouring blocks of one pass stay together, so a pass over a whole source gives whole documents
-    and a partial one runs of ``block`` words; ``n_chars``, if there, counts the run. White space between
+    and a partial one runs of whole blocks; ``n_chars``, if there, counts the run. White space between
     words is kept. Documents without words give no row.
     """
     _, met, drawn = spread(docs, block, shard_slots)
     passes = met.join(drawn.select("place", "index", "epoch"), ["place", "index"])
     doc = ["place", "start", "epoch"]
     run = F.col("index") - F.row_number().over(Window.partitionBy(*doc).orderBy("index"))
-    runs = passes.withColumn("_run", run).groupBy(*doc, "_run", "doc_id", "text_hash", "size").agg(F.min("index").alias("_i"), F.max("index").alias("_j"))
-    begin = F.greatest(F.col("_i") * block - F.col("start"), F.lit(0))
-    end = F.least((F.col("_j") + 1) * block - F.col("start"), F.col("size"))
+    runs = passes.withColumn("_run", run).groupBy(*doc, "_run", "doc_id", "text_hash", "size", "length").agg(F.min("index").alias("_i"), F.max("index").alias("_j"))
+    begin = F.greatest(F.col("_i") * F.col("length") - F.col("start"), F.lit(0))
+    end = F.least((F.col("_j") + 1) * F.col("length") - F.col("start"), F.col("size"))
     # Equal rows differ by their place in the stream; their n-th takes the n-th row's runs.
     twin = F.dense_rank().over(Window.partitionBy("doc_id", "text_hash").orderBy("place", "start"))
     parts = runs.select("doc_id", "text_hash", F.struct(twin.alias("twin"), begin.cast("int").alias("a"), end.cast("int").alias("b")).alias("__part"))

@@ -2,14 +2,18 @@
 
 The writer makes every record a gzip member of its own; the reader takes any number of records a member.
 All records and gaps of a member have its offset and length. The reader checks each member and record (gzip checksum,
-version line, length, block and payload digest); where a check fails it searches for the next member,
-or version line in a file without compression, that passes, returns the records from there on and logs
-the bytes in between as a gap.
+version line, length, block and payload digest); where a check fails it searches for the next member
+or version line that passes, whichever comes first (what a place holds is decided there, not per file), returns the
+records from there on and logs the bytes in between as a gap. Of a member that is damaged or cut it returns
+the records that inflate and pass their own checks, and, by their ids, those that lie between two points at
+which the compressor had flushed; behind a fault that ends a stream without such points nothing can be inflated. The
+offsets and lengths of records and gaps cover a file without holes.
 
 Nulls, ties and odd input: a null html is an empty payload; a null url an empty target; a null page_id
 takes part in a group but never names it; rows that repeat the naming page_id are responses too; an
 empty table writes no file and reads back no rows; line ends in a url are percent-encoded; only page_id,
-url and html are read.
+url and html are read. Payloads may have any length; one record and one file of about ``FILE_BYTES`` are in
+memory at once, a longer record makes a longer file.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ FILE_BYTES = 8 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: What a compressor writes where it flushes: an empty stored block, on a byte boundary.
+FLUSHED = b"\x00\x00\xff\xff"
 #: Spark's writer ends every row with a separator; an empty member keeps the file a valid gzip file.
 EMPTY = gzip.compress(b"", mtime=0)
 READ = (
@@ -159,20 +165,34 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes | None:
     return payload
 
 
-def member(raw: memoryview, at: int) -> tuple[bytes, int]:
-    """(plain bytes, compressed length) of the gzip member at ``at``."""
-    inflate = zlib.decompressobj(wbits=31)
-    plain, pos, step = [], at, 1 << 16
+def inflated(inflate, view: memoryview, at: int, stop: int) -> tuple[bytes, int, str | None]:
+    """(plain bytes, where reading ended, the fault or None) of compressed data from ``at`` on."""
+    plain, step = [], 1 << 16
     while not inflate.eof:
-        part = raw[pos : pos + step]
+        part = view[at : min(at + step, stop)]
         if not len(part):
-            raise ValueError("member cut short")
+            return b"".join(plain), at, "cut short"
+        before = inflate.copy()
         try:
             plain.append(inflate.decompress(part))
+            at += len(part)
         except zlib.error as e:
-            raise ValueError(f"member broken: {e}") from None
-        pos += len(part)
-    return b"".join(plain), pos - at - len(inflate.unused_data)
+            if step == 1:
+                return b"".join(plain), at, f"broken: {e}"
+            inflate, step = before, 1  # up to the very byte
+    return b"".join(plain), at - len(inflate.unused_data), None
+
+
+def resumed(view: memoryview, raw: bytes, at: int, stop: int) -> Iterator[Found]:
+    """Records that lie between two flush points of a member, inflated from the first of the two alone."""
+    at = raw.find(FLUSHED, at, stop)
+    while at >= 0:
+        following = raw.find(FLUSHED, at + len(FLUSHED), stop)
+        # What lies further back than the flush point is unknown; records that refer to it fail their checks.
+        fresh = zlib.decompressobj(wbits=-15, zdict=bytes(1 << 15))
+        plain, _, _ = inflated(fresh, view, at + len(FLUSHED), stop if following < 0 else following + len(FLUSHED))
+        yield from (f for f in records_in(plain) if f.kind == "record")
+        at = following
 
 
 def next_version(raw: bytes, start: int) -> int:
@@ -206,36 +226,65 @@ def records_in(plain: bytes) -> Iterator[Found]:
         yield Found(gap, len(plain) - gap, "gap", why)
 
 
+def next_start(raw: bytes, at: int) -> int:
+    """The next place from ``at`` on that may begin a member or a record."""
+    found = [x for x in (raw.find(MAGIC, at), next_version(raw, at)) if x >= 0]
+    return min(found, default=len(raw))
+
+
+def read_member(raw: bytes, view: memoryview, at: int) -> tuple[list[Found] | Iterator[Found], int]:
+    """(records and gaps, length) of the gzip member at ``at``; ValueError if it holds no record."""
+    plain, end, fault = inflated(zlib.decompressobj(wbits=31), view, at, len(raw))
+    if fault is None:
+        inside = records_in(plain)
+        first = next(inside, None)
+        if first and first.kind == "gap" and first.length == len(plain):
+            raise ValueError(first.reason)  # no record at all
+        return _told(chain([first] if first else [], inside), at, end - at, len(plain)), end - at
+    # A sound member that begins before the fault showed ends this one.
+    stop, begin = len(raw), raw.find(MAGIC, at + 1)
+    while begin >= 0:
+        if inflated(zlib.decompressobj(wbits=31), view, begin, len(raw))[2] is None:
+            stop = begin
+            break
+        begin = raw.find(MAGIC, begin + 1)
+    before = list(records_in(plain))
+    known = {f.fields.get("warc-record-id") for f in before if f.kind == "record"}
+    after = [f for f in resumed(view, raw, at, stop) if f.fields.get("warc-record-id", None) not in known | {None}]
+    if not after and all(f.kind == "gap" for f in before):
+        raise ValueError(f"member {fault}")
+    lost = Found(0, 0, "gap", f"member {fault} at byte {min(end, stop) - at}")
+    return [*_told(before, at, stop - at, len(plain)), *_told([lost, *after], at, stop - at, None)], stop - at
+
+
+def _told(found, at: int, used: int, size: int | None) -> Iterator[Found]:
+    """What a member holds, with the member's place; gaps say where in it they are."""
+    for f in found:
+        if f.kind == "gap" and size is not None:
+            f.reason = f"{f.reason} (bytes {f.offset} to {f.offset + f.length} of the member's {size})"
+        f.offset, f.length = at, used
+        yield f
+
+
 def salvage(raw: bytes) -> Iterator[Found]:
     """All records that pass their checks, in order, and the gaps between them."""
-    packed = MAGIC in raw[: len(EMPTY)] or (VERSION not in raw[:16] and MAGIC in raw)
-    if not packed:
-        yield from records_in(raw)
-        return
     view, at, gap, why = memoryview(raw), 0, None, ""
     while at < len(raw):
         try:
-            if raw[at : at + 3] != MAGIC:
-                raise ValueError("no member here")
-            plain, used = member(view, at)
-            inside = records_in(plain)
-            first = next(inside, None)
-            if first and first.kind == "gap" and first.length == len(plain):
-                raise ValueError(first.reason)  # no record at all
+            if raw.startswith(MAGIC, at):
+                found, used = read_member(raw, view, at)
+            else:
+                fields, block, used = parse(raw, at)
+                found = [Found(at, used, fields=fields, payload=payload_of(fields, block), stated=stated_length(block))]
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = raw.find(MAGIC, at + 1)
-            at = len(raw) if at < 0 else at
+            at = next_start(raw, at + 1)
             continue
         if gap is not None:
             yield Found(gap, at - gap, "gap", why)
             gap = None
-        for f in chain([first] if first else [], inside):
-            if f.kind == "gap":
-                f.reason = f"{f.reason} (bytes {f.offset} to {f.offset + f.length} of the member's {len(plain)})"
-            f.offset, f.length = at, used
-            yield f
+        yield from found
         at += used
     if gap is not None:
         yield Found(gap, len(raw) - gap, "gap", why)

@@ -8,7 +8,9 @@ their block, where every document's perplexity is summed. What is gathered grows
 table of the model is ever held whole.
 
 A document is kept if its perplexity is at most the limit of its language: a quantile over trusted
-documents that were held out of training, times a margin. Quantiles come from a histogram of log
+documents that were held out of training, times a margin. A language with trusted text none of which was
+held out takes the quantile over the held-out documents of all languages; if there are none at all, every
+document is kept. Quantiles come from a histogram of log
 perplexity in steps of 1/1000.
 
 Trusted are labelled documents of quality 1 that are not toxic. Nulls, ties and odd input: a null text is
@@ -304,13 +306,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """lang and limit, from the held-out documents; a histogram bounds the rows per language."""
+    """all, lang and limit, from the held-out documents: one row per language that has any, and one over ``all``
+    of them; a histogram bounds the rows per language."""
     held = scored.where("held AND perplexity IS NOT NULL")
-    bins = held.groupBy("lang", F.ceil(F.log("perplexity") * STEP).alias("bin")).agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("lang"))
+    # Every document counts once for its language and once for all of them, which languages without own ones use.
+    of = F.explode(F.array(F.struct(F.lit(False).alias("all"), "lang"), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang"))))
+    held = held.select("perplexity", of.alias("_of")).select("perplexity", "_of.*")
+    bins = held.groupBy("all", "lang", F.ceil(F.log("perplexity") * STEP).alias("bin")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("all", "lang").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("all", "lang"))
     reached = bins.withColumn("_s", so_far / total).where(F.col("_s") >= quantile)
-    return reached.groupBy("lang").agg((F.exp(F.min("bin") / STEP) * margin).alias("limit"))
+    return reached.groupBy("all", "lang").agg((F.exp(F.min("bin") / STEP) * margin).alias("limit"))
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -321,8 +327,12 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, text_hash, perplexity, limit, kept of every document."""
     scored = stage(perplexities(docs, trusted), "lm-scores")
-    limit = limits(scored).select(F.col("lang").alias("_l"), "limit")
-    rows = scored.join(limit, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    limit = stage(limits(scored), "lm-limits")
+    pooled = limit.where("all").first()
+    own = limit.where("NOT all").select(F.col("lang").alias("_l"), F.col("limit").alias("_own"))
+    rows = scored.join(own, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    fallback = F.when(F.col("perplexity").isNotNull(), F.lit(pooled["limit"] if pooled else None).cast("double"))
+    rows = rows.withColumn("limit", F.coalesce("_own", fallback))
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return rows.select("doc_id", "lang", "text_hash", "perplexity", "limit", kept.alias("kept"))
 

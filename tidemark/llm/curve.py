@@ -8,7 +8,7 @@ most files by their minima and maxima.
 Order: curve, text hash, document hash, doc_id. Equal texts of one cell are adjacent; a group of copies
 larger than a shard is cut by the later keys. Identical rows are interchangeable.
 
-Nulls and odd input: a null dimension falls in the lowest cell, a null text counts as empty (16 bytes of
+Nulls and odd input: strings count whole; texts may have any length (rows are sorted by their hashes); a null dimension falls in the lowest cell, a null text counts as empty (16 bytes of
 size, CRC 0), an empty table gives no rows, other columns pass
 through untouched, the added ones replace those of the same names, and names that begin with two
 underscores are reserved.
@@ -16,7 +16,7 @@ underscores are reserved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,20 +58,41 @@ def hilbert(point: tuple[int, ...], bits: int) -> int:
     return index
 
 
-def measure(df: DataFrame, name: str) -> Column:
-    """An order-preserving number of a dimension: itself, or a string's first six bytes; null is lowest."""
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+def is_string(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
 
 
-def cuts(df: DataFrame, dims: tuple[str, ...], bits: int) -> list[list[float]]:
-    """The distinct equi-depth cut points of each dimension, at most 2^bits - 1 numbers."""
+def measure(df: DataFrame, name: str) -> Column:
+    """A dimension in its order, null lowest: strings by their UTF-8 bytes, anything else as a number."""
+    if is_string(df, name):
+        return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+
+
+def string_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
+    """The values at which the sorted whole strings pass each 2^bits-th of all rows.
+
+    Distinct values are counted with partial aggregation and sorted over range partitions, so that any
+    number of them may exist; only the cut points reach the driver.
+    """
+    counts = df.groupBy(measure(df, name).alias("value")).agg(F.count("*").alias("n"))
+    runs = ranged(counts, ["value"], "curve-values")
+    before = F.broadcast(part_offsets(runs, **{"__before": F.sum("n")}))  # one row per range partition
+    inside = Window.partitionBy("__part").orderBy("__pos")
+    upto = F.col("__before") + F.sum("n").over(inside)
+    placed = runs.join(before, "__part").withColumn("__upto", upto)
+    share = lambda c: F.floor(c * (1 << bits) / F.col("__before_all"))
+    passed = share(F.col("__upto")) > share(F.col("__upto") - F.col("n"))
+    return sorted((r["value"] for r in placed.where(passed & (F.col("__upto") < F.col("__before_all"))).select("value").collect()), key=str.encode)
+
+
+def cuts(df: DataFrame, dims: tuple[str, ...], bits: int) -> list[list]:
+    """The distinct equi-depth cut points of each dimension, at most 2^bits - 1 values."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(measure(df, d), shares, SKETCH).alias(f"c{i}") for i, d in enumerate(dims)]).first()
-    return [sorted(set(row[f"c{i}"] or [])) for i in range(len(dims))]
+    numeric = [d for d in dims if not is_string(df, d)]
+    row = df.agg(F.lit(0), *[F.percentile_approx(measure(df, d), shares, SKETCH).alias(f"c{i}") for i, d in enumerate(numeric)]).first()
+    found = {d: sorted(set(row[f"c{i}"] or [])) for i, d in enumerate(numeric)}
+    return [found[d] if d in found else string_cuts(df, d, bits) for d in dims]
 
 
 def curve_index(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+Every stage takes what its operator's module states for nulls, empty and very long texts, ties, repeated
+rows, empty tables and other columns; all but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import kneser, mixing, packing, rules, simhash
-from tidemark.llm.common import stage
+from tidemark.llm.common import release, stage, staged
 from tidemark.llm.registry import table
 from tidemark.llm.tokens import tokenizer_path
 
@@ -54,7 +58,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), staged()
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(mark, keep=1)  # nothing reads what led to a stage once it is written
     return docs

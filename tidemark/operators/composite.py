@@ -79,10 +79,11 @@ def regime_gates(
     cfg: CompositeConfig,
     regime: RegimeConfig,
     min_obs: int = 20,
+    tested_only: bool = True,
 ) -> DataFrame:
     """``(date, factor, regime_column, bucket, t_stat, n_obs, on)`` for every mapped factor.
 
-    A factor is ON when its realised ICs on sessions sharing today's bucket have a robust t
+    With ``tested_only`` factors without any IC in a defined bucket pass ungated. A factor is ON when its realised ICs on sessions sharing today's bucket have a robust t
     above the gate. Undefined buckets and thin samples are OFF.
     """
     mapped = expand_map(ic.select("factor").distinct(), regime.factor_map).select("factor", "regime_column")
@@ -96,9 +97,11 @@ def regime_gates(
         .join(bucket, ["regime_column", "pos"], "left")
         .join(placed, ["factor", "pos"], "left")
     )
-    testable = rows.filter(F.col("bucket").isNotNull() & F.col("ic").isNotNull()).select("factor").distinct()
+    if tested_only:
+        testable = rows.filter(F.col("bucket").isNotNull() & F.col("ic").isNotNull()).select("factor").distinct()
+        rows = rows.join(testable, "factor", "left_semi")
     frame = _realised(["factor", "regime_column", "bucket"], cfg)
-    sampled = rows.join(testable, "factor", "left_semi").select(
+    sampled = rows.select(
         "factor",
         "regime_column",
         "pos",
@@ -132,5 +135,11 @@ def gated_panel(panel: DataFrame, gates: DataFrame, n_factors: int | None = None
     )
 
 
+def gated_ic(ic: DataFrame, gates: DataFrame) -> DataFrame:
+    """``ic`` without the sessions on which a factor was OFF: a flat cross-section has no IC."""
+    off = gates.filter(~F.col("on")).select("factor", "date")
+    return ic.join(off, ["factor", "date"], "left_anti")
+
+
 def on_fraction(gates: DataFrame) -> DataFrame:
     return gates.groupBy("factor").agg(F.avg(F.col("on").cast("double")).alias("on_fraction"))

@@ -7,9 +7,10 @@ number of candidates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +154,87 @@ def balance_legs(projected: DataFrame, cfg: ConstructionConfig) -> DataFrame:
     ).drop("_long", "_short")
 
 
+#: What the fold of a name's weights tells of a decision date.
+CARRIED = "symbol string, k int, prev_weight double, weight double, candidate boolean, banded boolean"
+OPENING = -1
+
+
+def _fold_weights(band: float):
+    """A pass over rows sorted by (symbol, k) that lets every name's weight follow from its last one.
+
+    A row is a date on which the name is a candidate. A held name that is none on the next date is sold
+    on it. Only the current name is in memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, last, end = None, 0.0, OPENING, OPENING
+        out: list[tuple] = []
+
+        def leave() -> None:
+            if abs(held) > HELD and last < end:
+                out.append((name, last + 1, held, 0.0, False, False))
+
+        def handed() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["symbol", "k", "prev_weight", "weight", "candidate", "banded"])
+
+        for batch in batches:
+            for symbol, k, target, end_k in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if symbol != name:
+                    leave()
+                    name, held, last = symbol, 0.0, OPENING
+                end = end_k
+                if k == OPENING:
+                    held = target
+                    continue
+                if k > last + 1:
+                    leave()
+                    held = 0.0
+                prev = held if abs(held) > HELD else 0.0
+                calm = abs((target or 0.0) - prev) < band
+                held, last = prev if calm else target or 0.0, k
+                if target is not None or prev != 0.0:
+                    out.append((symbol, k, prev, held, True, calm))
+            yield handed()
+        leave()
+        yield handed()
+
+    return run
+
+
+def carry_weights(target: DataFrame, live: DataFrame, band: float, opening: DataFrame | None = None) -> DataFrame:
+    """``(date, symbol, prev_weight, weight, candidate, banded)`` of all decision dates in order.
+
+    Every date's book starts from the one that the date before left: ``target`` (date, symbol, weight) is
+    what each date wants, ``live`` (date, symbol) its candidates, ``opening`` (symbol, weight) the book in
+    force before the first. A name moves only if it would move by ``band`` or more, and one that is no
+    longer a candidate is sold. Names do not depend on each other, so one sort by (symbol, date) serves
+    all of them and no date waits for another.
+    """
+    dates = target.select("date").distinct()
+    count = F.count(F.lit(1)).over(Window.partitionBy())  # calendar days only
+    days = stage(dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("int").alias("k"), (count - 1).cast("int").alias("_end")), "days")
+    wanted = target.select("date", "symbol", F.col("weight").cast("double").alias("_target"))
+    ever = target.select("symbol") if opening is None else target.select("symbol").unionByName(opening.select("symbol"))
+    rows = (
+        live.select("date", "symbol")
+        .join(ever.distinct(), "symbol", "left_semi")
+        .join(wanted, ["date", "symbol"], "left")
+        .join(broadcast_if_bounded(days, MAX_SESSIONS), "date")
+        .select("symbol", "k", "_target", "_end")
+    )
+    if opening is not None:
+        end = days.select("_end").limit(1)
+        first = opening.select("symbol", F.lit(OPENING).alias("k"), F.col("weight").cast("double").alias("_target"))
+        rows = rows.unionByName(first.withColumn("_end", F.coalesce(F.lit(end.scalar()), F.lit(OPENING))))
+    sorted_ = rows.repartition("symbol").sortWithinPartitions("symbol", "k")
+    folded = sorted_.mapInArrow(_fold_weights(band), CARRIED)
+    return folded.join(broadcast_if_bounded(days.select("date", "k"), MAX_SESSIONS), "k").drop("k")
+
+
 @dataclass
 class Book:
     """Frames of a construction run, keyed by decision date."""
@@ -171,11 +253,14 @@ def build_book(
     costs: CostConfig,
     *,
     prior: DataFrame | None = None,
+    carry: bool = False,
+    opening: DataFrame | None = None,
     tie_code: Column | None = None,
 ) -> Book:
     """Portfolio, trades and constraint checks for every date of ``signal``.
 
-    ``prior`` holds ``(date, symbol, prev_weight)``: the book in force before each decision.
+    ``prior`` holds ``(date, symbol, prev_weight)``: the book in force before each decision. With ``carry``
+    each date starts from the book of the date before, the first from ``opening`` (symbol, weight).
     """
     live = stage(signal.select("date", "symbol", "value").filter(F.col("value").isNotNull()), "signal")
     capped = name_caps(select_names(live, cfg, tie_code=tie_code), adv, cfg)
@@ -186,39 +271,12 @@ def build_book(
         ),
         "target",
     )
-    if prior is None:
-        positions = target.withColumns({"prev_weight": F.lit(0.0), "candidate": F.lit(True)})
+    if carry:
+        moved = carry_weights(target, live, cfg.band, opening)
+        positions = _described(target.drop("weight").join(moved, ["date", "symbol"], "right"), mapping, adv)
     else:
-        still = live.select("date", "symbol", F.lit(True).alias("candidate"))
-        before = (
-            prior.select("date", "symbol", "prev_weight")
-            .filter(F.abs("prev_weight") > HELD)
-            .join(still, ["date", "symbol"], "left")
-            .withColumn("candidate", F.coalesce("candidate", F.lit(False)))
-        )
-        merged = target.join(before, ["date", "symbol"], "full_outer")
-        positions = (
-            merged.withColumn("candidate", F.coalesce("candidate", F.lit(True)))
-            .join(mapping.select("symbol", F.col("sector").alias("_sector")), "symbol", "left")
-            .join(adv.select("date", "symbol", F.col("adv").alias("_adv")), ["date", "symbol"], "left")
-            .withColumns(
-                {
-                    "sector": F.coalesce("sector", "_sector", F.lit("NA")),
-                    "adv": F.coalesce("adv", "_adv"),
-                    "prev_weight": F.coalesce("prev_weight", F.lit(0.0)),
-                    "weight": F.coalesce("weight", F.lit(0.0)),
-                }
-            )
-            .drop("_sector", "_adv")
-            # a book is only decided on dates that carry a signal
-            .join(target.select("date").distinct(), "date", "left_semi")
-        )
-    calm = F.col("candidate") & (F.abs(F.col("weight") - F.col("prev_weight")) < F.lit(cfg.band))
-    final = F.when(calm, F.col("prev_weight")).otherwise(F.col("weight"))
-    book = stage(
-        positions.withColumns({"banded": calm, "weight": F.when(F.col("candidate"), final).otherwise(F.lit(0.0))}),
-        "book",
-    )
+        positions = _banded(_with_prior(target, live, mapping, adv, prior), cfg.band)
+    book = stage(positions, "book")
     holdings = book.filter(F.abs("weight") > HELD).select("date", "symbol", "weight", "sector", "adv")
     sector_count = (
         live.join(mapping.select("symbol", "sector"), "symbol", "left")
@@ -228,6 +286,40 @@ def build_book(
     return Book(book, holdings, trade_list(book, cfg, costs), check_book(book, sector_count, cfg))
 
 
+def _described(positions: DataFrame, mapping: DataFrame, adv: DataFrame) -> DataFrame:
+    """Sector and traded value of names that are held but were not selected."""
+    return (
+        positions.join(mapping.select("symbol", F.col("sector").alias("_sector")), "symbol", "left")
+        .join(adv.select("date", "symbol", F.col("adv").alias("_adv")), ["date", "symbol"], "left")
+        .withColumns({"sector": F.coalesce("sector", "_sector", F.lit("NA")), "adv": F.coalesce("adv", "_adv")})
+        .drop("_sector", "_adv")
+    )
+
+
+def _with_prior(target: DataFrame, live: DataFrame, mapping: DataFrame, adv: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """The targets next to the book before each decision, exits included."""
+    if prior is None:
+        return target.withColumns({"prev_weight": F.lit(0.0), "candidate": F.lit(True)})
+    still = live.select("date", "symbol", F.lit(True).alias("candidate"))
+    before = (
+        prior.select("date", "symbol", "prev_weight")
+        .filter(F.abs("prev_weight") > HELD)
+        .join(still, ["date", "symbol"], "left")
+        .withColumn("candidate", F.coalesce("candidate", F.lit(False)))
+    )
+    merged = target.join(before, ["date", "symbol"], "full_outer").withColumn("candidate", F.coalesce("candidate", F.lit(True)))
+    filled = {c: F.coalesce(c, F.lit(0.0)) for c in ("prev_weight", "weight")}
+    # a book is only decided on dates that carry a signal
+    return _described(merged, mapping, adv).withColumns(filled).join(target.select("date").distinct(), "date", "left_semi")
+
+
+def _banded(positions: DataFrame, band: float) -> DataFrame:
+    """Names that would move by less than ``band`` stay; those that are no candidates any more are sold."""
+    calm = F.col("candidate") & (F.abs(F.col("weight") - F.col("prev_weight")) < F.lit(band))
+    final = F.when(calm, F.col("prev_weight")).otherwise(F.col("weight"))
+    return positions.withColumns({"banded": calm, "weight": F.when(F.col("candidate"), final).otherwise(F.lit(0.0))})
+
+
 def trade_list(book: DataFrame, cfg: ConstructionConfig, costs: CostConfig) -> DataFrame:
     """Trades from the prior to the final book, exits of vanished names included."""
     delta = F.col("weight") - F.col("prev_weight")

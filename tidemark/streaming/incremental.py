@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.asof import _exists
-from ..operators.portfolio import load_holdings, save_holdings
+from ..operators.calendar import with_position
 from ..operators.quality import missing_sessions
+from ..session import stage
+from .desk import DailyDesk
 from ..sources.sinks import read_keyed, upsert
 
 
@@ -58,35 +60,47 @@ def accumulate_latest(
     return read_keyed(spark, root, source.schema)
 
 
-def daily_decisions(
-    spark: SparkSession,
-    arrivals: DataFrame,
-    decide: Callable[[str, DataFrame | None], DataFrame],
-    root: str,
-    checkpoint: str,
-) -> DataFrame:
-    """For each arriving session: decide against the persisted book and persist the new one.
+def _before(spark: SparkSession, path: str, batch_id: int, schema: StructType | str) -> DataFrame:
+    """What the batches before ``batch_id`` stored; a batch that runs again does not read its own output."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
 
-    ``arrivals`` streams ``(date)``; ``decide(date, prior)`` returns ``(date, symbol,
-    weight)`` for that session, or no row to hold the prior book unchanged. Decision dates of
-    one batch are a bounded set of calendar days and must run in order, since each reads the
-    book the previous one left.
-    """
 
-    def step(batch: DataFrame, _: int) -> None:
-        days = [r[0] for r in batch.select("date").distinct().orderBy("date").collect()]
-        for day in days:
-            prior = load_holdings(spark, root, str(day)) if _exists(spark, root) else None
-            book = decide(str(day), prior)
-            book = book.persist()  # decided once, then looked at and written
-            if not book.isEmpty():
-                save_holdings(book, root)
-            elif prior is not None:
-                save_holdings(prior.select("symbol", "weight", F.lit(day).cast("date").alias("date")), root)
-            book.unpersist()
+def daily_decisions(spark: SparkSession, arrivals: DataFrame, desk: DailyDesk, root: str, checkpoint: str) -> DataFrame:
+    """Run the desk over arriving sessions; returns the positions of all of them.
+
+    ``arrivals`` streams ``(date)``. A micro-batch of any number of sessions is decided at once: it
+    continues from what earlier batches left below ``root``, which is the ICs that had been realised
+    (``ic``), the gate decisions (``gates``), the sessions decided (``decided``) and the last book
+    (``state``). Each batch writes its own ``batch=<id>`` folders, so one that fails runs again to the same
+    files. Sessions at or before the last decided one are not decided again.
+    """
+    kinds = {
+        "ic": "factor string, pos int, ic double, batch int",
+        "gates": "date date, pos int, factor string, on boolean, batch int",
+        "decided": "date date, pos int, batch int",
+        "state": "symbol string, weight double, batch int",
+    }
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        past = {name: _before(spark, f"{root}/{name}", batch_id, schema) for name, schema in kinds.items()}
+        done = past["decided"].agg(F.max("pos")).first()[0]
+        done = -1 if done is None else done
+        fresh = with_position(batch.select("date").distinct(), desk.sessions).filter(F.col("pos") > done)
+        span = fresh.agg(F.min("pos").alias("first"), F.max("pos").alias("last")).first()
+        if span["first"] is None:
+            return
+        newest = past["state"].agg(F.max("batch")).first()[0]
+        opening = past["state"].filter(F.col("batch") == (-1 if newest is None else newest)).select("symbol", "weight")
+        made = desk.decide(stage(fresh, "fresh"), done, span["first"], span["last"], past["ic"], past["gates"], opening)
+        made["decided"] = fresh
+        for name, frame in made.items():
+            frame.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
     run_available(arrivals, step, checkpoint)
-    return spark.read.schema("symbol string, weight double, as_of date").parquet(root)
+    positions = "date date, symbol string, prev_weight double, weight double, candidate boolean, banded boolean, adv double, cost_bps double, decided boolean"
+    return spark.read.schema(positions).parquet(f"{root}/positions")
 
 
 def resume_ingest(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import TRADING_DAYS
 from ..functions.numeric import expected_max_normal, nondegenerate, normal_cdf, ratio
+from ..functions.paths import PathMetric
+from ..session import stage
 
 
 def sharpe_from(mean: Column, sd: Column, top: Column, n: Column) -> Column:
@@ -133,25 +135,23 @@ def balanced_splits(spark, n_partitions: int, n_blocks: Column | None = None) ->
     return every.filter(fits & (F.bit_count("mask") * 2 == F.col("n_blocks")))
 
 
+def _blocked(returns: DataFrame, n_partitions: int) -> DataFrame:
+    """Add ``n_blocks`` and ``block``; fewer blocks are used when one would hold under two periods."""
+    blocks = F.least(F.lit(n_partitions), F.lit(2) * F.floor(F.col("n_periods") / 4)).cast("int")
+    # first block whose upper edge floor((b+1) n / S) lies beyond the period
+    block = (F.ceil((F.col("period") + 1) * F.col("n_blocks") / F.col("n_periods")) - 1).cast("int")
+    return returns.withColumn("n_blocks", blocks).withColumn("block", block)
+
+
 def block_statistics(returns: DataFrame, config: str, n_partitions: int) -> DataFrame:
     """Count, centred sums and largest magnitude per (configuration, block).
 
     These are sufficient for the Sharpe of any union of blocks, so no split ever touches
-    the return rows again. Fewer blocks are used when a block would hold under two periods.
+    the return rows again.
     """
-    blocks = F.least(F.lit(n_partitions), F.lit(2) * F.floor(F.col("n_periods") / 4)).cast("int")
     centre = returns.groupBy(config).agg(F.avg("ret").alias("centre"))
-    placed = (
-        returns.join(centre, config)
-        .withColumn("n_blocks", blocks)
-        .withColumn(
-            "block",
-            # first block whose upper edge floor((b+1) n / S) lies beyond the period
-            (F.ceil((F.col("period") + 1) * F.col("n_blocks") / F.col("n_periods")) - 1).cast("int"),
-        )
-    )
     gap = F.col("ret") - F.col("centre")
-    return placed.groupBy(config, "block", "n_blocks", "centre").agg(
+    return _blocked(returns.join(centre, config), n_partitions).groupBy(config, "block", "n_blocks", "centre").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(gap).alias("s1"),
         F.sum(gap * gap).alias("s2"),
@@ -159,22 +159,14 @@ def block_statistics(returns: DataFrame, config: str, n_partitions: int) -> Data
     )
 
 
-def split_logits(
-    returns: DataFrame,
-    *,
-    config: str = "strategy",
-    n_partitions: int = 16,
-    score: Callable[[Column, Column, Column, Column], Column] = sharpe_from,
-) -> DataFrame:
-    """Per split: in-sample winner, its relative out-of-sample rank and the logit.
+def block_summaries(returns: DataFrame, config: str, n_partitions: int, metric: PathMetric) -> DataFrame:
+    """``(config, block, n_blocks, summary)``: what a metric needs of each block, folded in time order."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("period", "ret"))), lambda x: x["ret"])
+    grouped = _blocked(returns, n_partitions).groupBy(config, "block", "n_blocks").agg(in_order.alias("_returns"))
+    return grouped.select(config, "block", "n_blocks", metric.of_returns(F.col("_returns")).alias("summary"))
 
-    ``score`` makes the ranked metric of (mean, deviation, largest magnitude, count).
-    """
-    stats = block_statistics(returns, config, n_partitions)
-    by_size = balanced_splits(returns.sparkSession, n_partitions, stats.agg(F.max("n_blocks")).scalar())
-    members = by_size.select(
-        "mask", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
-    ).withColumn("inside", F.expr("(shiftright(mask, block) & 1) = 1"))
+
+def _moment_scores(members: DataFrame, stats: DataFrame, config: str, score: Callable[..., Column]) -> DataFrame:
     sums = (
         members.join(stats, ["n_blocks", "block"])
         .groupBy("mask", config, "inside")
@@ -189,7 +181,37 @@ def split_logits(
     n = F.col("n").cast("double")
     mean = F.col("centre") + F.col("s1") / n
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / F.when(n > 1, n - 1)))
-    scored = sums.withColumn("score", score(mean, sd, F.col("top"), F.col("n")))
+    return sums.withColumn("score", score(mean, sd, F.col("top"), F.col("n")))
+
+
+def _path_scores(members: DataFrame, stats: DataFrame, config: str, metric: PathMetric) -> DataFrame:
+    """The metric of every side of every split: at most ``n_partitions`` summaries are joined in order."""
+    sides = members.join(stats, ["n_blocks", "block"]).groupBy("mask", config, "inside")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "summary"))), lambda x: x["summary"])
+    joined = sides.agg(in_order.alias("_parts")).withColumn("_whole", metric.of_summaries(F.col("_parts")))
+    return joined.withColumn("score", metric.finish(F.col("_whole")))
+
+
+def split_logits(
+    returns: DataFrame,
+    *,
+    config: str = "strategy",
+    n_partitions: int = 16,
+    score: Callable[[Column, Column, Column, Column], Column] = sharpe_from,
+    metric: PathMetric | None = None,
+) -> DataFrame:
+    """Per split: in-sample winner, its relative out-of-sample rank and the logit.
+
+    ``score`` makes the ranked metric of (mean, deviation, largest magnitude, count). A ``metric`` ranks by
+    any other property of the returns of a side, in time order; of both, higher is better.
+    """
+    stats = block_statistics(returns, config, n_partitions) if metric is None else block_summaries(returns, config, n_partitions, metric)
+    stats = stage(stats, "blocks")
+    by_size = balanced_splits(returns.sparkSession, n_partitions, stats.agg(F.max("n_blocks")).scalar())
+    members = by_size.select(
+        "mask", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
+    ).withColumn("inside", F.expr("(shiftright(mask, block) & 1) = 1"))
+    scored = _moment_scores(members, stats, config, score) if metric is None else _path_scores(members, stats, config, metric)
     sides = scored.groupBy("mask", config).agg(
         F.max(F.when(F.col("inside"), F.col("score"))).alias("is_score"),
         F.max(F.when(~F.col("inside"), F.col("score"))).alias("oos_score"),

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .numeric import broadcast_if_bounded
 
 #: Buckets per factor of e in magnitude: neighbours differ by about 0.05 percent, so that even a
@@ -28,6 +29,37 @@ RESOLUTION = 2048
 _LN_FLOOR = 746
 
 
+#: Rows of a group that one task may order by itself; larger groups go by value buckets.
+GROUP_LIMIT = 200_000
+
+
+def by_size(df: DataFrame, by: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` parted into groups of at most ``limit`` rows, and the larger ones if there are any.
+
+    Only counts per group are looked at, which partial aggregation makes before the shuffle; call it on a
+    staged frame. A group without a key value counts as one.
+    """
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).drop("_rows")
+    large = stage(large, "large-groups")
+    if large.isEmpty():
+        return df, None
+    keys = large.select([F.col(c).alias(f"_k{i}") for i, c in enumerate(by)])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+
+
+def average_rank_over(by: Sequence[str], value: str) -> Column:
+    """The average rank as a window over ``by``, for groups that one task may hold.
+
+    The ties are counted over (by, value), which the same partitioning and order serve.
+    """
+    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+    return first + (ties - 1) / F.lit(2.0)
+
+
 def value_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
     """Order-preserving BIGINT code of a finite double (log-spaced, signed)."""
     size = (F.floor(F.ln(F.abs(value)) * resolution) + _LN_FLOOR * resolution).cast("long")

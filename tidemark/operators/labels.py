@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MAX_SESSIONS, broadcast_if_bounded, ratio
-from ..functions.ranking import average_rank_table
+from ..functions.ranking import GROUP_LIMIT, average_rank_over, average_rank_table, by_size
 from ..session import stage
 from .calendar import with_position
 from .windows import ahead
@@ -42,9 +42,12 @@ def rank_ic(
     series: Sequence[str] = (),
     min_names: int = 10,
     value: str = "value",
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Spearman correlation per date: Pearson correlation of average ranks.
 
+    Cross-sections of up to ``group_limit`` names are ranked by one task each, larger ones by value buckets.
+
     ``panel`` carries ``date, symbol, value`` plus the ``series`` columns found on it;
     ``labels`` carries ``date, symbol, ret`` and possibly ``horizon``. Dates with fewer than
     ``min_names`` joint observations are dropped; a constant cross-section gives a NULL
@@ -59,12 +62,17 @@ def rank_ic(
         .filter(F.col("_y").isNotNull())
     )
     by = [*own, *shared, "date"]
-    joint = joint.select(*by, "_x", "_y")
-    joint = stage(joint, "ic")
-    ranked = joint.join(average_rank_table(joint, by, "_x", "_rx"), [*by, "_x"]).join(
-        average_rank_table(joint, by, "_y", "_ry"), [*by, "_y"]
+    joint = stage(joint.select(*by, "_x", "_y"), "ic")
+    light, heavy = by_size(joint, by, group_limit)
+    # One shuffle: both ranks and the sums below share the partitioning by group.
+    ranked = light.withColumns({"_rx": average_rank_over(by, "_x"), "_ry": average_rank_over(by, "_y")})
+    ic = _rank_correlation(ranked, by, min_names)
+    if heavy is None:
+        return ic
+    spread = heavy.join(average_rank_table(heavy, by, "_x", "_rx"), [*by, "_x"]).join(
+        average_rank_table(heavy, by, "_y", "_ry"), [*by, "_y"]
     )
-    return _rank_correlation(ranked, by, min_names)
+    return ic.unionByName(_rank_correlation(spread, by, min_names))
 
 
 def _rank_correlation(ranked: DataFrame, by: Sequence[str], min_names: int) -> DataFrame:

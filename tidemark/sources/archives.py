@@ -50,9 +50,17 @@ PLACEHOLDER_PREFIX = "DUMMY"
 PAGE_TAGS = ("!doctype", "html", "head", "body", "meta", "title", "script")
 
 
+#: What may stand before a page's first tag: white space, byte-order marks, declarations and comments.
+PAGE_LEAD = r"(?s)^(?:[\s\x{FEFF}]+|<\?[^>]*>|<!--.*?-->)*"
+#: Characters, after white space, in which a bare ``<head>`` marks a page whatever stands before it.
+HEAD_REACH = 400
+
+
 def is_html(text: Column) -> Column:
-    """An HTML page served in place of data: its first tag, if it starts with one, says so."""
-    return F.lower(F.regexp_extract(text, r"^[\s\uFEFF]*<\s*(!?[A-Za-z]+)", 1)).isin(*PAGE_TAGS)
+    """An HTML page served in place of data: its first tag says so, or a ``<head>`` near its start."""
+    first = F.lower(F.regexp_extract(text, PAGE_LEAD + r"<\s*(!?[A-Za-z]+)", 1))
+    start = F.lower(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, HEAD_REACH))
+    return first.isin(*PAGE_TAGS) | start.contains("<head>")
 
 
 def number(text: Column, blanks: Sequence[str] = ("", "-")) -> Column:

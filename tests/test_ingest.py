@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark import session
@@ -105,3 +107,59 @@ def test_validity_is_judged_by_position(spark):
     ).orderBy("i").collect()
     for row, (_, ok, text) in zip(rows, cases):
         assert row.ok == ok and (text is None or row.text == text)
+
+
+@pytest.mark.parametrize(
+    ("text", "page"),
+    [
+        ("<?xml version='1.0'?><html><head>", True), ("<!-- x --><html>", True), ("oops <head>", True), ("﻿ <!DOCTYPE html>", True),
+        ("<!-- a\n --> <!-- b -->\n<BODY>", True), ("x" * 400 + "<head>", False), (" " * 900 + "x <HEAD>", True), ("date,symbol\n<html>", False),
+        ("<tag>1</tag>", False), ("<!-- open <html>", False), ("", False), (None, None),
+    ],
+)
+def test_pages_are_told_from_data(spark, text, page):
+    import duckdb
+
+    from tidemark.plans.q_ingest import HTML_SQL
+
+    row = spark.createDataFrame([(text,)], "t string").select(archives.is_html(F.col("t"))).first()
+    assert row[0] == page
+    assert duckdb.connect().execute(f"SELECT {HTML_SQL} FROM (SELECT ?::VARCHAR AS t)", [text]).fetchone()[0] == (page if text is not None else None)
+
+
+def keyed(spark, *rows):
+    return spark.createDataFrame(list(rows), "k int, ts int, v string")
+
+
+def test_keyed_table_does_not_grow_with_merges(spark, tmp_path):
+    root, want = str(tmp_path / "t"), {}
+    for i in range(12):
+        sinks.upsert(spark, keyed(spark, (i % 7, i, f"v{i}"), (100 + i % 3, 50 - i, "w")), root, ["k"], ["ts"], buckets=4)
+        want[i % 7] = f"v{i}"
+    table = sinks.read_keyed(spark, root, "k int, ts int, v string")
+    assert {r.k: r.v for r in table.collect() if r.k < 100} == want and table.filter("k = 100").first().ts == 50
+    parts = [p for p in tmp_path.rglob("*.parquet")]
+    assert len(parts) <= 4 * sinks.KEPT_MANIFESTS and len(list((tmp_path / "t/_log").glob("0*.json"))) == sinks.KEPT_MANIFESTS
+
+
+def test_readers_see_whole_merges_and_writers_meet_with_an_error(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    sinks.upsert(spark, keyed(spark, (1, 1, "a"), (2, 1, "a")), root, ["k"], ["ts"])
+    before = sinks.read_keyed(spark, root, "k int, ts int, v string")
+    original, met = sinks._Files.write_new, []
+
+    def late(self, name, text):
+        # Written but not committed: a reader still has the old table; then another merge commits first.
+        assert sorted(r.v for r in sinks.read_keyed(spark, root, "k int, ts int, v string").collect()) == ["a", "a"]
+        if not met:
+            met.append(name)
+            sinks.upsert(spark, keyed(spark, (2, 9, "other")), root, ["k"], ["ts"])
+        return original(self, name, text)
+
+    monkeypatch.setattr(sinks._Files, "write_new", late)
+    with pytest.raises(sinks.ConcurrentMerge):
+        sinks.upsert(spark, keyed(spark, (1, 5, "b"), (2, 5, "b")), root, ["k"], ["ts"])
+    monkeypatch.setattr(sinks._Files, "write_new", original)
+    assert sorted(r.v for r in sinks.read_keyed(spark, root, "k int, ts int, v string").collect()) == ["a", "other"]
+    assert sorted(r.v for r in before.collect()) == ["a", "a"]
+    assert sorted(r.v for r in sinks.upsert(spark, keyed(spark, (1, 5, "b"), (2, 5, "b")), root, ["k"], ["ts"]).collect()) == ["b", "other"]

@@ -121,7 +121,7 @@ oracle.part("ddn", oracle.drawdowns("dlyn", "strategy", "net_return"))
 
 @query("r16_equity_curve", "strategy pos:i equity:4", "ddn")
 def _(t: Inputs):
-    return t.daily.withColumn("equity", windows.equity("net_return", ["strategy"]))
+    return windows.with_drawdown(t.daily, ["strategy"], "net_return")
 
 
 @query("r17_max_drawdown", "strategy max_drawdown:9", "SELECT strategy, min(drawdown) AS max_drawdown FROM ddn GROUP BY 1")

@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from ..functions.numeric import expected_max_normal, normal_cdf
+from ..functions.paths import MAX_DRAWDOWN, SORTINO
 from ..operators import inference, labels, regimes, sharpe, splits
 from ..operators.factors import Reversal
 from ..session import stage
@@ -216,15 +217,25 @@ def _(t: Inputs):
     return sharpe.sharpe(t.daily, ["strategy"], "net_return")
 
 
+EULER = 0.5772156649015329
+
+
+def _emax(k: int) -> float:
+    q, g = NormalDist().inv_cdf, EULER
+    return (1 - g) * q(1 - 1 / k) + g * q(1 - 1 / (k * math.e))
+
+
 def _emax_sql(column: str) -> str:
     """SQL has no inverse normal: the expected maximum of k draws as one CASE branch per k."""
-    q, g = NormalDist().inv_cdf, 0.5772156649015329
-    cases = " ".join(
-        f"WHEN {k} THEN {(1 - g) * q(1 - 1 / k) + g * q(1 - 1 / (k * math.e))!r}::DOUBLE" for k in range(2, 80)
-    )
+    cases = " ".join(f"WHEN {k} THEN {_emax(k)!r}::DOUBLE" for k in range(2, 80))
     return f"(CASE {column} WHEN 1 THEN 0.0::DOUBLE {cases} END)"
 
 
+def probit_sql(p: str) -> str:
+    """The inverse normal above one half, by bisection on ``phi``: 60 halvings of [0, 8]."""
+    return f"list_reduce(list_prepend(4.0::DOUBLE, range(1, 60)), lambda x, k: x + CASE WHEN {phi('x')} < {p} THEN 1 ELSE -1 END * 4.0::DOUBLE / pow(2, k))"
+
+
 @query(
     "v4_expected_max_sharpe",
     "symbol n_trials:i expected_max:8",
@@ -251,13 +262,20 @@ def _(t: Inputs):
 
 oracle.part("dsr", f"""
 SELECT *, {phi('z')} AS dsr FROM (SELECT *, {PSR_Z.format(sr='sharpe_period', bench='expected_max')} AS z FROM
-  (SELECT *, 8 AS n_trials, {_emax_sql('8')} * sqrt(1.0::DOUBLE / (n_obs - 1)) AS expected_max FROM shp))
+  (SELECT *, emax * sqrt(1.0::DOUBLE / (n_obs - 1)) AS expected_max FROM shp CROSS JOIN
+    (SELECT n_trials, {1 - EULER} * {probit_sql('p1')} + {EULER} * {probit_sql('p2')} AS emax FROM
+      (SELECT count(*) AS n_trials, 1 - 1.0::DOUBLE / count(*) AS p1, 1 - 1.0::DOUBLE / (count(*) * exp(1)) AS p2 FROM events))))
 """)
 
 
+def trial_count(t: Inputs):
+    """The trials of the log, as the deflation of every result needs them."""
+    return sharpe.trial_totals(t.table("events").select(F.col("user_id").alias("name"))).select("n_trials").scalar()
+
+
 @query("v6_deflated_sharpe", "strategy n_trials:i skew:7 kurtosis:7 expected_max:9 z:6 dsr:8", "dsr")
 def _(t: Inputs):
-    return sharpe.deflated_sharpe(t.daily, ["strategy"], "net_return", len(t.library))
+    return sharpe.deflated_sharpe(t.daily, ["strategy"], "net_return", trial_count(t))
 
 
 @query(
@@ -285,7 +303,7 @@ def _(t: Inputs):
 
 SPLITS = 16
 oracle.part("pblk", f"""
-SELECT strategy, ret, (SELECT max(k.range) FROM range({SPLITS}) k WHERE k.range * n // {SPLITS} <= period) AS block
+SELECT strategy, ret, period, (SELECT max(k.range) FROM range({SPLITS}) k WHERE k.range * n // {SPLITS} <= period) AS block
 FROM (SELECT strategy, net_return AS ret, row_number() OVER (PARTITION BY strategy ORDER BY pos) - 1 AS period, count(*) OVER (PARTITION BY strategy) AS n FROM dlyn)
 """)
 oracle.part("pmask", f"SELECT m.range AS mask FROM range({2 ** SPLITS}) m WHERE bit_count(m.range) = {SPLITS // 2}")
@@ -317,3 +335,34 @@ def _(t: Inputs):
 def _(t: Inputs):
     aligned = stage(sharpe.right_align(t.daily, "strategy", "net_return"), "aligned")
     return sharpe.overfitting_probability(sharpe.split_logits(aligned, n_partitions=SPLITS))
+
+
+# The same splits ranked by metrics that Sharpe's moments do not give.
+oracle.part("psort", """
+SELECT mask, strategy, ((mask >> block) & 1) = 1 AS inside, avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) AS score
+FROM pmask CROSS JOIN pblk GROUP BY 1, 2, 3
+""")
+oracle.part("pordered", """
+SELECT mask, strategy, inside, pos, product(1 + ret) OVER (PARTITION BY mask, strategy, inside ORDER BY pos) AS eq
+FROM (SELECT mask, strategy, ((mask >> block) & 1) = 1 AS inside, period AS pos, ret FROM pmask CROSS JOIN pblk)
+""")
+oracle.part("pfall", """
+SELECT mask, strategy, inside, min(fall) AS score FROM (
+SELECT *, eq / max(eq) OVER (PARTITION BY mask, strategy, inside ORDER BY pos) - 1 AS fall FROM pordered) GROUP BY 1, 2, 3
+""")
+for _name, _scores in (("sortino", "psort"), ("drawdown", "pfall")):
+    oracle.part(f"plog_{_name}", oracle.PARTS["plog"].replace("pside", _scores))
+
+
+@query(
+    "v8_path_metrics",
+    "metric mask:i best n_configs:i omega:9",
+    "SELECT 'sortino' AS metric, mask, best, n_configs, omega FROM plog_sortino UNION ALL SELECT 'drawdown', mask, best, n_configs, omega FROM plog_drawdown",
+)
+def _(t: Inputs):
+    aligned = stage(sharpe.right_align(t.daily, "strategy", "net_return"), "aligned")
+    out = None
+    for name, metric in (("sortino", SORTINO), ("drawdown", MAX_DRAWDOWN)):
+        part = sharpe.split_logits(aligned, n_partitions=SPLITS, metric=metric).withColumn("metric", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asof, panel, quality
-from ..operators.calendar import rebalance_dates
 from ..operators.factors import shares_usable
 from ..session import scratch_dir, stage
 from ..sources import archives, sinks, tables
@@ -42,7 +41,7 @@ def _(t: Inputs):
 @query(
     "io2_csv_dimension",
     "kind symbol text",
-    "SELECT 'sector' AS kind, symbol, sector AS text FROM sectors UNION ALL SELECT 'shares', symbol, shares::DECIMAL(18, 2)::VARCHAR FROM shares",
+    "SELECT 'sector' AS kind, symbol, sector AS text FROM sectors UNION ALL SELECT 'shares', symbol, shares::DECIMAL(18, 2)::VARCHAR FROM shares UNION ALL SELECT 'session', NULL, date::VARCHAR FROM sessions",
 )
 def _(t: Inputs):
     root = scratch_dir(t.spark, "dimensions")
@@ -52,7 +51,11 @@ def _(t: Inputs):
     counts = archives.share_csv(t.spark, f"{root}/n").select(
         F.lit("shares").alias("kind"), "symbol", F.col("shares").cast("decimal(18,2)").cast("string").alias("text")
     )
-    return sectors.unionByName(counts)
+    sinks.write_result(t.sessions.select(F.date_format("date", "yyyy-MM-dd").alias("Date")), f"{root}/d", "csv")
+    days = archives.session_csv(t.spark, f"{root}/d").select(
+        F.lit("session").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.col("date").cast("string").alias("text")
+    )
+    return sectors.unionByName(counts).unionByName(days)
 
 
 @query("io3_shares_usable", "usable", "SELECT count(DISTINCT shares) > 1 AS usable FROM shares")
@@ -138,15 +141,15 @@ def _(t: Inputs):
     return t.flows.select("date").distinct().withColumn("parsed", archives.title_date(line))
 
 
-HTML_SQL = r"""(starts_with(h, '<!doctype html') OR starts_with(h, '<html') OR contains(h, '<head>'))"""
+HTML_SQL = f"""(coalesce(lower(regexp_extract(t, '{archives.PAGE_LEAD}<\\s*(!?[A-Za-z]+)', 1)) IN {archives.PAGE_TAGS}, false)
+  OR contains(lower(substr(regexp_replace(t, '^\\s+', ''), 1, 400)), '<head>'))"""
 
 
 @query(
     "io8_html_rejection",
     "kind n_html:i n:i",
     f"""SELECT kind, count(*) FILTER ({HTML_SQL}) AS n_html, count(*) AS n FROM (
-         SELECT 'pages' AS kind, lower(substr(regexp_replace(html, '^\\s+', ''), 1, 400)) AS h FROM pages
-         UNION ALL SELECT 'documents', lower(substr(regexp_replace(text, '^\\s+', ''), 1, 400)) FROM documents) GROUP BY 1""",
+         SELECT 'pages' AS kind, html AS t FROM pages UNION ALL SELECT 'documents', text FROM documents) GROUP BY 1""",
 )
 def _(t: Inputs):
     texts = t.table("pages").select(F.lit("pages").alias("kind"), F.col("html").alias("text")).unionByName(
@@ -273,6 +276,23 @@ def _(t: Inputs):
     return sinks.read_panel(t.spark, path)
 
 
+@query(
+    "io14_flow_sinks",
+    "kind date name value:2",
+    """SELECT 'flows' AS kind, date, participant AS name, net_futures AS value FROM flows
+       UNION ALL SELECT 'features', date, 'fii_flow', fii_flow FROM feat UNION ALL SELECT 'features', date, 'dii_flow', dii_flow FROM feat""",
+)
+def _(t: Inputs):
+    """Participant flows and the features made of them, through monthly panels of their own."""
+    root = scratch_dir(t.spark, "flows")
+    sinks.write_panel(t.flows, f"{root}/flows", name="participant")
+    sinks.write_panel(t.features, f"{root}/features", name="date", files=1)
+    flows = sinks.read_panel(t.spark, f"{root}/flows").select(F.lit("flows").alias("kind"), "date", F.col("participant").alias("name"), F.col("net_futures").alias("value"))
+    wide = sinks.read_panel(t.spark, f"{root}/features").select("date", "fii_flow", "dii_flow")
+    features = wide.unpivot("date", ["fii_flow", "dii_flow"], "name", "value").withColumn("kind", F.lit("features"))
+    return flows.unionByName(features)
+
+
 LATEST = """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1"""
 
@@ -345,31 +365,6 @@ def _(t: Inputs):
     )
 
 
-oracle.part("mom", "SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS rn FROM px")
-
-
-@query(
-    "st2_daily_decisions",
-    "as_of:d symbol weight:6",
-    """SELECT d AS as_of, symbol, 0.2 AS weight FROM mom JOIN (SELECT d, CASE WHEN month(d) % 2 = 1 THEN d ELSE lag(d) OVER (ORDER BY d) END AS src
-         FROM (SELECT max(date) AS d FROM sessions GROUP BY date_trunc('quarter', date))) ON date = src WHERE rn <= 5""",
-)
-def _(t: Inputs):
-    """Quarter ends arrive as a stream; even months have no signal, so the book is held."""
-    root = scratch_dir(t.spark, "daily")
-    ends = rebalance_dates(t.sessions).withColumnRenamed("rebalance_date", "date")
-    ends.coalesce(1).write.parquet(f"{root}/in")
-    prices = stage(t.px, "prices")
-
-    def decide(day: str, prior: DataFrame | None) -> DataFrame:
-        today = prices.filter((F.col("date") == F.to_date(F.lit(day))) & (F.month("date") % 2 == 1))
-        top = today.orderBy(F.col("volume").desc(), "symbol").limit(5)
-        return top.select("date", "symbol", F.lit(0.2).alias("weight"))
-
-    arrivals = incremental.file_stream(t.spark, f"{root}/in", "date date")
-    return incremental.daily_decisions(t.spark, arrivals, decide, f"{root}/book", f"{root}/state")
-
-
 @query(
     "st3_resumed_ingest",
     "kind date n:i",

@@ -422,7 +422,7 @@ TSRANK = """SELECT symbol, pos, {v} AS x, list({v}) OVER (PARTITION BY symbol OR
         FROM ({TSRANK.format(v='adj_close', w=9, src='grid')}) WHERE x IS NOT NULL AND pos >= 9 AND len(list_filter(h, lambda y: y IS NOT NULL)) > 1""",
 )
 def _(t: Inputs):
-    ranked = _grid(t).select("symbol", "pos", windows.trailing_rank("adj_close", 10).alias("rank"))
+    ranked = windows.with_trailing_rank(_grid(t), "adj_close", 10, "rank").select("symbol", "pos", "rank")
     return ranked.filter(F.col("rank").isNotNull())
 
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import backtest as B
 from ..operators import composite as S
 from ..operators import panel, portfolio, quality, regimes, windows
+from ..operators.factors import default_library
 from ..session import scratch_dir, stage
 from ..sources import tables
+from ..streaming import incremental
+from ..streaming.desk import DailyDesk
 from . import oracle, studies
 from .catalog import BOOK, COMPOSITE, CONSTRUCTION, COSTS, FACTORS, MIN_NAMES, REGIME, Inputs, query
+from .q_inference import trial_count
 
 # -- weights and composite ---------------------------------------------------------------
 
@@ -70,14 +74,16 @@ def _(t: Inputs):
     return _composite(t)
 
 
+_FACTOR_NAMES = [f.name for f in default_library(FACTORS)]
+
+
 @query(
     "t7_weight_history",
-    "date reversal_4d:8 low_volatility:8 volume_trend:8",
-    """SELECT date, coalesce(max(weight) FILTER (factor = 'reversal_4d'), 0) AS reversal_4d, coalesce(max(weight) FILTER (factor = 'low_volatility'), 0) AS low_volatility,
-         coalesce(max(weight) FILTER (factor = 'volume_trend'), 0) AS volume_trend FROM wts GROUP BY 1""",
+    "date " + " ".join(f"{f}:8" for f in _FACTOR_NAMES),
+    "SELECT date, " + ", ".join(f"coalesce(max(weight) FILTER (factor = '{f}'), 0) AS {f}" for f in _FACTOR_NAMES) + " FROM wts GROUP BY 1",
 )
 def _(t: Inputs):
-    return panel.weight_history(_weights_frame(t), ["reversal_4d", "low_volatility", "volume_trend"])
+    return panel.weight_history(_weights_frame(t), [f.name for f in t.library])
 
 
 # -- gates -------------------------------------------------------------------------------
@@ -129,9 +135,19 @@ def _(t: Inputs):
 
 
 # -- portfolio ---------------------------------------------------------------------------
-# Decisions on every session from the reversal factor; yesterday's unbanded book is the prior.
-
-oracle.part("sig", "SELECT date, pos, symbol, value FROM panel WHERE factor = 'reversal_12d' AND value IS NOT NULL")
+# Decisions on every session from the composite of gated factors; each starts from the book before it.
+
+oracle.part("gic", 'SELECT i.* FROM ic4 i LEFT JOIN gates g ON g.factor = i.factor AND g.date = i.date WHERE coalesce(g."on", true)')
+oracle.part("gwspine", "SELECT s.factor, s.pos, s.date, i.ic FROM wspine s LEFT JOIN gic i ON i.factor = s.factor AND i.date = s.date")
+oracle.part("gwscore", oracle.PARTS["wscore"].replace("wspine", "gwspine"))
+oracle.part("gwts", _weights("ir", "ir > 0").replace("wscore", "gwscore"))
+oracle.part("gpanel", """
+SELECT p.date, symbol, p.factor, CASE WHEN g."on" = false THEN 0 ELSE value END AS value FROM panel p
+LEFT JOIN gates g ON g.date = p.date AND g.factor = p.factor
+""")
+oracle.part("gmix", oracle.PARTS["mix"].replace("panel", "gpanel").replace("wts", "gwts"))
+oracle.part("gcomp", oracle.PARTS["comp"].replace("FROM mix", "FROM gmix"))
+oracle.part("sig", "SELECT date, pos, symbol, value FROM gcomp JOIN sessions USING (date) WHERE value IS NOT NULL")
 oracle.part("sel", """
 SELECT date, pos, symbol, CASE WHEN rn > n - k THEN 0.5 / k ELSE -0.5 / k END AS base, k, n AS n_candidates FROM (
 SELECT *, least(10, n // 2)::DOUBLE AS k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value, symbol) AS rn,
@@ -173,24 +189,29 @@ SELECT * REPLACE (CASE WHEN uneven AND CASE WHEN weight > 0 THEN l ELSE s END >
 FROM (SELECT *, abs(l - s) > 1e-12 AND least(l, s) > 0 AS uneven FROM (SELECT *, sum(greatest(weight, 0)) OVER (PARTITION BY date) AS l,
   sum(greatest(-weight, 0)) OVER (PARTITION BY date) AS s FROM legs))
 """)
-oracle.part("prior", "SELECT s.date, b.symbol, b.weight AS prev_weight FROM bal b JOIN sessions s ON s.pos = b.pos + 1 WHERE abs(b.weight) > 1e-12")
+oracle.part("ev", """
+SELECT d.k, d.date, x.symbol, coalesce(b.weight, 0) AS w, b.symbol IS NOT NULL AS selected, g.symbol IS NOT NULL AS candidate, b.feasible, b.balanced, b.leg, b.adv_bound
+FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM bal)) d CROSS JOIN (SELECT DISTINCT symbol FROM bal) x
+LEFT JOIN bal b ON b.date = d.date AND b.symbol = x.symbol LEFT JOIN sig g ON g.date = d.date AND g.symbol = x.symbol
+""")
+oracle.part("fold", """
+WITH RECURSIVE r AS (
+SELECT DISTINCT symbol, -1::BIGINT AS k, 0.0::DOUBLE AS prev_weight, 0.0::DOUBLE AS weight, false AS banded FROM ev
+UNION ALL SELECT symbol, k, p, CASE WHEN NOT candidate THEN 0 WHEN abs(w - p) < 0.01::DOUBLE THEN p ELSE w END, candidate AND abs(w - p) < 0.01::DOUBLE
+FROM (SELECT e.*, CASE WHEN abs(r.weight) > 1e-12 THEN r.weight ELSE 0 END AS p FROM r JOIN ev e ON e.symbol = r.symbol AND e.k = r.k + 1))
+SELECT * FROM r
+""")
 oracle.part("fin", """
-SELECT *, CASE WHEN NOT candidate THEN 0 WHEN banded THEN prev_weight ELSE w END AS weight FROM (
-SELECT *, candidate AND abs(w - prev_weight) < 0.01::DOUBLE AS banded FROM (
-SELECT coalesce(b.date, p.date) AS date, coalesce(b.symbol, p.symbol) AS symbol, coalesce(b.weight, 0) AS w, coalesce(p.prev_weight, 0) AS prev_weight,
-  b.symbol IS NOT NULL OR EXISTS (SELECT 1 FROM sig g WHERE g.date = p.date AND g.symbol = p.symbol) AS candidate,
-  coalesce((SELECT sector FROM sectors c WHERE c.symbol = coalesce(b.symbol, p.symbol)), 'NA') AS sector,
-  (SELECT adv FROM advd a WHERE a.symbol = coalesce(b.symbol, p.symbol) AND a.date = coalesce(b.date, p.date)) AS adv,
-  b.feasible, b.balanced, b.leg, b.adv_bound
-FROM bal b FULL JOIN prior p ON p.date = b.date AND p.symbol = b.symbol)) WHERE date IN (SELECT date FROM bal)
+SELECT e.date, e.symbol, f.prev_weight, f.weight, e.candidate, f.banded, coalesce(c.sector, 'NA') AS sector, a.adv, e.feasible, e.balanced, e.leg, e.adv_bound
+FROM fold f JOIN ev e ON e.symbol = f.symbol AND e.k = f.k LEFT JOIN sectors c ON c.symbol = e.symbol LEFT JOIN advd a ON a.symbol = e.symbol AND a.date = e.date
+WHERE e.selected OR f.prev_weight <> 0
 """)
 
 
 def _signal(t: Inputs):
-    study = studies.prepare(
-        t.px, t.sessions, [f for f in t.library if f.name == "reversal_12d"], FACTORS, [1]
-    )
-    return study.panel.select("date", "symbol", "value")
+    gates = stage(_gates(t), "gates")
+    weights = S.trailing_weights(S.gated_ic(t.ic4, gates), t.sessions, COMPOSITE)
+    return S.composite(S.gated_panel(t.study.panel, gates, len(t.library)), weights, COMPOSITE, len(t.library))
 
 
 def _adv(t: Inputs):
@@ -210,16 +231,8 @@ def _balanced(t: Inputs):
 
 
 def _book(t: Inputs) -> portfolio.Book:
-    signal = stage(_signal(t), "signal")
-    capped = portfolio.name_caps(
-        portfolio.select_names(signal, CONSTRUCTION, tie_code=tables.symbol_code()), _adv(t), CONSTRUCTION
-    )
-    fresh = portfolio.balance_legs(portfolio.project_legs(capped, t.sectors, CONSTRUCTION), CONSTRUCTION)
-    next_day = t.sessions.select((F.col("pos") - 1).alias("pos"), F.col("date").alias("_next"))
-    days = t.sessions.join(next_day, "pos").select("date", "_next")
-    prior = fresh.join(days, "date").select(F.col("_next").alias("date"), "symbol", F.col("weight").alias("prev_weight"))
     return portfolio.build_book(
-        signal, _adv(t), t.sectors, CONSTRUCTION, COSTS, prior=prior, tie_code=tables.symbol_code()
+        _signal(t), _adv(t), t.sectors, CONSTRUCTION, COSTS, carry=True, tie_code=tables.symbol_code()
     )
 
 
@@ -319,26 +332,48 @@ def _(t: Inputs):
 @query(
     "s15_holdings_state",
     "as_of:d symbol weight:9",
-    "SELECT (SELECT max(date) FROM bal WHERE date < DATE '2001-01-01') AS as_of, symbol, weight FROM bal WHERE abs(weight) > 1e-12 AND date = (SELECT max(date) FROM bal WHERE date < DATE '2001-01-01')",
+    "SELECT date AS as_of, symbol, weight FROM fin WHERE abs(weight) > 1e-12 AND date = (SELECT max(date) FROM fin WHERE date < DATE '1998-01-01' AND abs(weight) > 1e-12)",
 )
 def _(t: Inputs):
     root = scratch_dir(t.spark, "holdings")
-    portfolio.save_holdings(_balanced(t).filter(F.abs("weight") > 1e-12), root)
-    return portfolio.load_holdings(t.spark, root, "2001-01-01")
+    portfolio.save_holdings(_book(t).holdings, root)
+    return portfolio.load_holdings(t.spark, root, "1998-01-01")
 
 
 @query(
     "s15_hold_unchanged",
     "date as_of:d n_names:i",
-    """SELECT s.date, a.as_of, (SELECT count(*) FROM bal b WHERE b.date = a.as_of AND abs(b.weight) > 1e-12) AS n_names FROM sessions s
-       ASOF JOIN (SELECT DISTINCT date AS as_of FROM bal WHERE month(date) = 3 AND abs(weight) > 1e-12) a ON s.date >= a.as_of""",
+    """SELECT s.date, a.as_of, (SELECT count(*) FROM fin b WHERE b.date = a.as_of AND abs(b.weight) > 1e-12) AS n_names FROM sessions s
+       ASOF JOIN (SELECT DISTINCT date AS as_of FROM fin WHERE abs(weight) > 1e-12) a ON s.date >= a.as_of""",
 )
 def _(t: Inputs):
-    march = _balanced(t).filter((F.month("date") == 3) & (F.abs("weight") > 1e-12))
-    kept = portfolio.carry_forward(stage(march.select("date", "symbol", "weight"), "march"), t.sessions)
+    """The book in force on every session, those without a signal included."""
+    kept = portfolio.carry_forward(_book(t).holdings.select("date", "symbol", "weight"), t.sessions)
     return kept.groupBy("date", "as_of").agg(F.count(F.lit(1)).alias("n_names"))
 
 
+@query(
+    "st2_daily_decisions",
+    "date symbol prev_weight:6 weight:6 banded cost_bps:4 decided",
+    """SELECT f.date, f.symbol, f.prev_weight, f.weight, f.banded, t.cost_bps, true AS decided FROM fin f LEFT JOIN trd t ON t.date = f.date AND t.symbol = f.symbol
+       UNION ALL SELECT s.date, symbol, weight, weight, false, NULL, false FROM (SELECT s.date, max(f.date) AS as_of FROM sessions s JOIN fin f ON f.date <= s.date GROUP BY 1) s
+         JOIN fin f ON f.date = s.as_of AND s.date > s.as_of WHERE abs(weight) > 1e-12""",
+)
+def _(t: Inputs):
+    """All sessions arrive as a stream in order, several to a batch."""
+    root = scratch_dir(t.spark, "daily")
+    third = t.sessions.count() // 3 + 1
+    for k in range(3):  # files arrive in the order of their sessions
+        part = t.sessions.filter(F.floor(F.col("pos") / third) == k).select("date")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    desk = DailyDesk(
+        t.sessions, t.study.prices, t.study.panel, stage(t.labels, "labels"), stage(windows.average_daily_value(t.px, COSTS.adv_window), "adv"),
+        stage(t.sectors, "sectors"), COMPOSITE, REGIME, CONSTRUCTION, COSTS, MIN_NAMES, tables.symbol_code(),
+    )
+    arrivals = incremental.file_stream(t.spark, f"{root}/in", "date date", files_per_batch=1)
+    return incremental.daily_decisions(t.spark, arrivals, desk, f"{root}/out", f"{root}/state")
+
+
 @query(
     "s16_factor_cards",
     "factor horizon:i mean_ic:8 ic_ir:7 t_stat:6 hit_rate:8 n_dates:i gross_sharpe:7 net_sharpe:7 annual_turnover:7 total_cost_bps:6 n_trials:i dsr:7",
@@ -347,7 +382,7 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     summary = B.summarize_backtest(t.daily, ["strategy"])
-    return studies.factor_cards(studies.ic_table(t.study, MIN_NAMES), summary, t.daily, 4, len(t.library))
+    return studies.factor_cards(studies.ic_table(t.study, MIN_NAMES), summary, t.daily, 4, trial_count(t))
 
 
 # -- quality -----------------------------------------------------------------------------
@@ -372,7 +407,7 @@ SELECT symbol, max(pos) - min(pos) + 1 AS span_sessions, count(*) AS n_rows,
 """)
 oracle.part("rowret", "SELECT * FROM (SELECT date, symbol, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM px) WHERE ret IS NOT NULL")
 oracle.part("card", """
-SELECT d AS rebalance_date, least(500, (SELECT count(*) FROM (SELECT symbol FROM px WHERE date <= d GROUP BY 1 HAVING count(*) >= 26))) AS n_members
+SELECT d AS rebalance_date, (SELECT count(*) FROM (SELECT symbol FROM px WHERE date <= d GROUP BY 1 HAVING count(*) >= 26)) AS n_members
 FROM (SELECT max(date) AS d FROM sessions GROUP BY date_trunc('quarter', date))
 """)
 Q5 = """SELECT 'universe_cardinality' AS "check", CASE WHEN md NOT BETWEEN 80 AND 120 THEN 'FAIL' WHEN f < 80 OR l > 120 THEN 'WARN' ELSE 'PASS' END AS status,

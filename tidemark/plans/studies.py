@@ -81,7 +81,7 @@ def evaluate_factors(
 
 
 def factor_cards(
-    ic: DataFrame, summary: DataFrame, daily: DataFrame, horizon: int, n_trials: int
+    ic: DataFrame, summary: DataFrame, daily: DataFrame, horizon: int, n_trials: Column | int
 ) -> DataFrame:
     """IC at one horizon next to Sharpe, costs, trial count and deflated probability."""
     entry = ic.filter(F.col("horizon") == horizon)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import ranking as R
 
 
+#: Rows that one task may order: all groups, none but the small ones, none.
+LIMITS = (1_000_000, 1_500, 1)
+
+
 @pytest.fixture(scope="module", params=["many buckets", "one bucket"])
 def values(spark, request):
     rng = np.random.default_rng(3)
@@ -33,10 +37,11 @@ def test_average_rank(values):
     assert (got == want).all()
 
 
-def test_ordinal_rank_breaks_ties_by_symbol(values):
+@pytest.mark.parametrize("limit", LIMITS)
+def test_ordinal_rank_breaks_ties_by_symbol(values, limit):
     pdf, df = values
     ranked = R.ordinal_rank(
-        df, ["g"], "value", "symbol", "r", n_out="n", tie_code=F.substring("symbol", 1, 4)
+        df, ["g"], "value", "symbol", "r", n_out="n", tie_code=F.substring("symbol", 1, 4), limit=limit
     )
     got = ranked.toPandas().set_index("symbol").sort_index()
     ordered = pdf.sort_values(["g", "value", "symbol"])
@@ -45,17 +50,19 @@ def test_ordinal_rank_breaks_ties_by_symbol(values):
     assert (got.n == got.groupby("g").r.transform("max")).all()
 
 
-def test_group_quantiles_match_linear_interpolation(values):
+@pytest.mark.parametrize("limit", LIMITS)
+def test_group_quantiles_match_linear_interpolation(values, limit):
     pdf, df = values
-    got = R.group_quantiles(df, ["g"], "value", {"lo": 0.01, "mid": 0.5, "hi": 0.99}).toPandas().set_index("g").sort_index()
+    got = R.group_quantiles(df, ["g"], "value", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, limit=limit).toPandas().set_index("g").sort_index()
     want = pdf.groupby("g").value.quantile([0.01, 0.5, 0.99]).unstack().sort_index()
     np.testing.assert_allclose(got[["lo", "mid", "hi"]].values, want.values, rtol=1e-12)
 
 
-def test_tails_agree_with_full_sort(values):
+@pytest.mark.parametrize("limit", LIMITS)
+def test_tails_agree_with_full_sort(values, limit):
     pdf, df = values
     size = F.floor(F.col("group_n") / 5)
-    got = R.select_tails(df, ["g"], "value", "symbol", size, tie_code=F.substring("symbol", 1, 4)).toPandas()
+    got = R.select_tails(df, ["g"], "value", "symbol", size, tie_code=F.substring("symbol", 1, 4), limit=limit).toPandas()
     want = set()
     for _, part in pdf.sort_values(["value", "symbol"]).groupby("g"):
         k = len(part) // 5
@@ -68,3 +75,12 @@ def test_bucket_code_preserves_order(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
     codes = [r.c for r in rows.select("i", R.value_bucket(F.col("x")).alias("c")).orderBy("i").collect()]
     assert codes == sorted(codes)
+
+
+@pytest.mark.parametrize("limit", [1_000, 3])
+def test_one_sided_tails_may_hold_the_whole_group(spark, limit):
+    df = spark.createDataFrame([("g", f"s{i}", float(i % 4)) for i in range(9)], "g string, symbol string, value double")
+    for n in (3, 9):
+        got = R.select_tails(df, ["g"], "value", "symbol", F.least(F.lit(n), F.col("group_n")), sides=(1,), limit=limit).collect()
+        want = sorted(((float(i % 4), f"s{i}") for i in range(9)), reverse=True)[:n]
+        assert {(r.value, r.symbol) for r in got} == set(want) and {r.side for r in got} == {1} and {r.tail_n for r in got} == {n}

@@ -135,15 +135,26 @@ def ordinal_rank(
     *,
     n_out: str | None = None,
     tie_code: Column | None = None,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Add the 1-based position ordered by ``(value, tie)``; NULL values are dropped.
 
-    ``tie_code`` is an order-preserving coarse code of ``tie`` (for instance a fixed-length
+    Groups of up to ``limit`` rows are ordered by one task each, larger ones by buckets, where ``tie_code`` is an order-preserving coarse code of ``tie`` (for instance a fixed-length
     prefix). It spreads one heavily repeated value over several tasks.
     """
-    present = df.filter(F.col(value).isNotNull()).withColumn(
-        "_tc", tie_code if tie_code is not None else F.lit(0)
-    )
+    light, heavy = by_size(df.filter(F.col(value).isNotNull()), by, limit)
+    ranked = light.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)).cast("long"))
+    if n_out:
+        ranked = ranked.withColumn(n_out, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    if heavy is None:
+        return ranked
+    return ranked.unionByName(_ordinal_by_buckets(heavy, by, value, tie, out, n_out, tie_code))
+
+
+def _ordinal_by_buckets(
+    df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, n_out: str | None, tie_code: Column | None
+) -> DataFrame:
+    present = df.withColumn("_tc", tie_code if tie_code is not None else F.lit(0))
     places = distinct_positions(present, by, value)
     keyed = [*by, value]
     blocks = present.groupBy(*keyed, "_tc").agg(F.count(F.lit(1)).alias("_block"))
@@ -170,14 +181,36 @@ def group_quantiles(
     probs: dict[str, float],
     *,
     max_groups: int | None = None,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group.
 
-    Counts value buckets, locates the few buckets holding the wanted order statistics, and
+    Groups of up to ``limit`` rows are ordered by one task each, in one shuffle. For larger ones it counts value buckets, locates the few buckets holding the wanted order statistics, and
     orders only the rows of those buckets; the rest never leaves its partition. A missing
     group key forms its own group.
     """
-    present = df.filter(F.col(value).isNotNull())
+    light, heavy = by_size(df.filter(F.col(value).isNotNull()).select(*by, value), by, limit)
+    whole = Window.partitionBy(*by)
+    placed = light.withColumns({"_at": F.row_number().over(whole.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(whole)})
+    wanted = [(n, p, end, f(F.lit(p) * (F.col("_n") - 1))) for n, p in probs.items() for end, f in (("lo", F.floor), ("hi", F.ceil))]
+    picked = placed.groupBy(*by).agg(
+        F.first("_n").alias("_n"), *[F.max(F.when(F.col("_at") == at, F.col(value))).alias(f"_{n}_{end}") for n, _, end, at in wanted]
+    )
+    if heavy is not None:
+        picked = picked.unionByName(_order_statistics(heavy, by, value, probs, max_groups))
+
+    def interpolate(name: str, p: float) -> Column:
+        at = F.lit(p) * (F.col("_n") - 1)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
+
+    return picked.select(*by, *[interpolate(n, p) for n, p in probs.items()])
+
+
+def _order_statistics(
+    present: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], max_groups: int | None
+) -> DataFrame:
+    """The values on both sides of each quantile, from the buckets that hold them."""
     targets = F.array(
         *[
             F.struct(F.lit(f"{name}_{end}").alias("name"), pos.cast("long").alias("pos"))
@@ -214,7 +247,7 @@ def group_quantiles(
     found = ordered.select(*by, value, "_n", "_from", "_ties", F.explode("_targets").alias("_t")).filter(
         (F.col("_t.pos") >= F.col("_from")) & (F.col("_t.pos") < F.col("_from") + F.col("_ties"))
     )
-    picked = found.groupBy(*by).agg(
+    return found.groupBy(*by).agg(
         F.first("_n").alias("_n"),
         *[
             F.max(F.when(F.col("_t.name") == f"{name}_{end}", F.col(value))).alias(f"_{name}_{end}")
@@ -223,13 +256,6 @@ def group_quantiles(
         ],
     )
 
-    def interpolate(name: str, p: float) -> Column:
-        at = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
-
-    return picked.select(*by, *[interpolate(n, p) for n, p in probs.items()])
-
 
 def select_tails(
     df: DataFrame,
@@ -240,14 +266,33 @@ def select_tails(
     *,
     tie_code: Column | None = None,
     max_groups: int | None = None,
+    sides: Sequence[int] = (-1, 1),
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Rows among the ``size`` lowest (``side`` = -1) or highest (``side`` = +1) of a group.
 
-    ``size`` is an expression over ``group_n`` (the group's non-NULL count). Rows of buckets
+    ``size`` is an expression over ``group_n`` (the group's non-NULL count); with both ``sides`` it should not
+    pass half of it, as a row is given once. Groups of up to ``limit`` rows are ordered by one task each.
+    Of larger ones, rows of buckets
     wholly inside a tail are accepted without being moved; only the two buckets straddling
     a cut-off are ranked exactly.
     """
-    present = df.filter(F.col(value).isNotNull())
+    light, heavy = by_size(df.filter(F.col(value).isNotNull()), by, limit)
+    whole = Window.partitionBy(*by)
+    placed = light.withColumns({"_place": F.row_number().over(whole.orderBy(value, tie)), "group_n": F.count(F.lit(1)).over(whole)})
+    placed = placed.withColumn("tail_n", size.cast("long"))
+    low, high = F.col("_place") <= F.col("tail_n"), F.col("_place") > F.col("group_n") - F.col("tail_n")
+    side = F.when(low & F.lit(-1 in sides), -1).when(high & F.lit(1 in sides), 1)
+    tails = placed.withColumn("side", side).filter(F.col("side").isNotNull()).drop("_place")
+    if heavy is None:
+        return tails
+    return tails.unionByName(_tails_by_buckets(heavy, by, value, tie, size, tie_code, max_groups, sides))
+
+
+def _tails_by_buckets(
+    present: DataFrame, by: Sequence[str], value: str, tie: str, size: Column, tie_code: Column | None,
+    max_groups: int | None, sides: Sequence[int],
+) -> DataFrame:
     table = bucket_table(present, by, value).withColumn("group_n", F.col("_n"))
     table = table.withColumn("_k", size.cast("long"))
     after = F.col("_before") + F.col("_size")
@@ -265,12 +310,13 @@ def select_tails(
     tagged = present.withColumn("_vb", value_bucket(F.col(value))).join(
         broadcast_if_bounded(cuts, max_groups), [*by]
     )
-    below, above = F.col("_vb") < F.col("_low_vb"), F.col("_vb") > F.col("_high_vb")
+    below = (F.col("_vb") < F.col("_low_vb")) & F.lit(-1 in sides)
+    above = (F.col("_vb") > F.col("_high_vb")) & F.lit(1 in sides)
     edge = (F.col("_vb") == F.col("_low_vb")) | (F.col("_vb") == F.col("_high_vb"))
     sure = tagged.filter(~edge & (below | above)).withColumn("side", F.when(below, -1).otherwise(1))
-    ranked = ordinal_rank(tagged.filter(edge), [*by, "_vb"], value, tie, "_place", tie_code=tie_code)
-    in_low = below | ((F.col("_vb") == F.col("_low_vb")) & (F.col("_place") <= F.col("_low_need")))
-    in_high = above | ((F.col("_vb") == F.col("_high_vb")) & (F.col("_place") > F.col("_high_skip")))
+    ranked = _ordinal_by_buckets(tagged.filter(edge), [*by, "_vb"], value, tie, "_place", None, tie_code)
+    in_low = below | ((F.col("_vb") == F.col("_low_vb")) & (F.col("_place") <= F.col("_low_need")) & F.lit(-1 in sides))
+    in_high = above | ((F.col("_vb") == F.col("_high_vb")) & (F.col("_place") > F.col("_high_skip")) & F.lit(1 in sides))
     close = ranked.withColumn(
         "side", F.when(in_low, -1).when(in_high, 1)
     ).filter(F.col("side").isNotNull())

@@ -66,7 +66,7 @@ def regime_labels(features: DataFrame, columns: tuple[str, ...] = REGIME_COLUMNS
     present = [c for c in columns if c in features.columns]
     missing = sorted(set(columns) - set(present))
     if missing and columns != REGIME_COLUMNS:
-        raise ValueError(f"unknown regime columns {missing}")
+        raise ValueError(f"the features hold no regime named {missing}")
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("regime_column"), F.col(c).cast("string").alias("regime"))

@@ -72,10 +72,8 @@ def select_names(
     limit = F.col("group_n") if cfg.long_only else F.floor(F.col("group_n") / 2)
     picked = select_tails(
         signal, ["date"], "value", "symbol", F.least(F.lit(cfg.top_n), limit),
-        tie_code=tie_code, max_groups=MAX_SESSIONS,
+        tie_code=tie_code, max_groups=MAX_SESSIONS, sides=(1,) if cfg.long_only else (-1, 1),
     )
-    if cfg.long_only:
-        picked = picked.filter("side = 1")
     unit = F.lit(1.0 if cfg.long_only else 0.5)
     return picked.select(
         "date",

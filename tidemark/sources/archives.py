@@ -158,15 +158,16 @@ def participant_archive(
         day = F.coalesce(*[F.try_to_timestamp(s, F.lit(date_format)).cast("date") for s in (stamp, parent)])
     else:
         day = title_date(first)
-    missing = [~F.coalesce(F.array_contains("_header", F.lit(PARTICIPANT_HEADERS[c])), F.lit(False)) for c in FUTURES]
+    required = F.array(F.lit("client type"), *[F.lit(PARTICIPANT_HEADERS[c]) for c in FUTURES])
+    absent = F.array_except(required, F.coalesce("_header", F.array().cast("array<string>")))
+    faults = F.array(
+        F.when(F.col("date").isNull(), "no session date"),
+        F.when(is_html(F.col("text")), "HTML page"),
+        F.when(F.size("_lines") <= F.col("_head_at"), F.when(F.size("_lines") > 0, "title without data").otherwise("empty file")),
+        F.when(F.size(absent) > 0, F.when(F.get(absent, F.lit(0)) == "client type", "no client type column").otherwise("futures column missing")),
+    )
     judged = lined.withColumns({"date": day, "_header": header, "_head_at": head_at}).withColumn(
-        "reason",
-        F.when(F.col("date").isNull(), "no session date")
-        .when(is_html(F.col("text")), "HTML page")
-        .when(F.size("_lines") == 0, "empty file")
-        .when(F.size("_lines") <= F.col("_head_at"), "title without data")
-        .when(~F.coalesce(F.array_contains("_header", F.lit("client type")), F.lit(False)), "no client type column")
-        .when(missing[0] | missing[1] | missing[2] | missing[3], "futures column missing"),
+        "reason", F.get(F.array_compact(faults), F.lit(0))
     )
     usable = judged.filter(F.col("reason").isNull()).select("path", "date", "_lines", "_head_at")
     exploded = table_rows(usable, F.col("_head_at"))

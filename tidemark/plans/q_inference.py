@@ -12,8 +12,9 @@ from ..functions.paths import MAX_DRAWDOWN, SORTINO
 from ..operators import inference, labels, regimes, sharpe, splits
 from ..operators.factors import Reversal
 from ..session import stage
+from ..sources import tables
 from . import oracle, studies
-from .catalog import COMPOSITE, FACTORS, HORIZONS, MIN_NAMES, REGIME, Inputs, query
+from .catalog import BOOK, COMPOSITE, FACTORS, HORIZONS, MIN_NAMES, REGIME, Inputs, query
 from .oracle import phi
 
 
@@ -109,6 +110,13 @@ def _(t: Inputs):
     return _experiments(t)
 
 
+oracle.part("verd", """
+SELECT factor, regime_column, power_at_reference, CASE WHEN supported THEN 'SUPPORTED' WHEN t_stat IS NULL THEN 'INCONCLUSIVE (insufficient data)'
+  WHEN difference < 0 AND abs(t_stat) >= 1.5 THEN 'REFUTED' WHEN power_at_reference < 0.8 THEN 'INCONCLUSIVE (underpowered)'
+  ELSE 'NOT SUPPORTED' END AS verdict FROM exppw
+""")
+
+
 def _results(t: Inputs):
     return regimes.run_experiments(t.ic4, t.labels, _experiments(t), REGIME)
 
@@ -134,9 +142,7 @@ def _(t: Inputs):
 @query(
     "i14_verdict",
     "factor regime_column verdict",
-    """SELECT factor, regime_column, CASE WHEN supported THEN 'SUPPORTED' WHEN t_stat IS NULL THEN 'INCONCLUSIVE (insufficient data)'
-         WHEN difference < 0 AND abs(t_stat) >= 1.5 THEN 'REFUTED' WHEN power_at_reference < 0.8 THEN 'INCONCLUSIVE (underpowered)'
-         ELSE 'NOT SUPPORTED' END AS verdict FROM exppw""",
+    "SELECT factor, regime_column, verdict FROM verd",
 )
 def _(t: Inputs):
     return regimes.with_verdict(regimes.with_power(_results(t), REGIME), REGIME)
@@ -161,6 +167,31 @@ def _(t: Inputs):
     return regimes.regime_exposure(t.labels, "fii_regime", ["high"])
 
 
+oracle.part("cpan", """
+SELECT f.factor || '|' || f.regime_column AS factor, p.date, p.pos, p.symbol, CASE WHEN l.date IS NOT NULL THEN value ELSE 0 END AS value
+FROM fmap f JOIN panel p ON p.factor = f.factor LEFT JOIN lbl l ON l.date = p.date AND l.regime_column = f.regime_column AND l.regime = f.favourable
+""")
+oracle.part("ctails", f"SELECT *, 1.0::DOUBLE AS scale FROM ({oracle.PARTS['tails'].replace('FROM panel', 'FROM cpan')})")
+oracle.part("cbk", oracle.book("ctails", "strategy"))
+oracle.part("cdly", oracle.daily("cbk", "strategy"))
+oracle.part("cboth", " UNION ALL ".join(oracle.sized(source, size) for source in ("cdly", "dly") for size in ("1e5", "1.0")))
+oracle.part("csum", oracle.summary("cboth", "strategy, notional"))
+
+
+@query(
+    "i12_conditional_study",
+    "factor regime_column verdict power_at_reference:8 exposure:9 net_conditional:7 net_unconditional:7 beats_net fixed_conditional:7 fixed_unconditional:7 beats_fixed",
+    """SELECT v.factor, v.regime_column, v.verdict, v.power_at_reference, x.exposure, a.net_sharpe AS net_conditional, b.net_sharpe AS net_unconditional,
+         coalesce(a.net_sharpe > b.net_sharpe, false) AS beats_net, c.net_sharpe AS fixed_conditional, d.net_sharpe AS fixed_unconditional, coalesce(c.net_sharpe > d.net_sharpe, false) AS beats_fixed
+       FROM verd v JOIN (SELECT f.factor, f.regime_column, avg((l.regime = f.favourable)::INT::DOUBLE) AS exposure FROM fmap f JOIN lbl l USING (regime_column) GROUP BY 1, 2) x USING (factor, regime_column)
+       LEFT JOIN csum a ON a.strategy = v.factor || '|' || v.regime_column AND a.notional = 1e5 LEFT JOIN csum b ON b.strategy = v.factor AND b.notional = 1e5
+       LEFT JOIN csum c ON c.strategy = v.factor || '|' || v.regime_column AND c.notional = 1.0 LEFT JOIN csum d ON d.strategy = v.factor AND d.notional = 1.0""",
+)
+def _(t: Inputs):
+    verdicts = regimes.with_verdict(regimes.with_power(_results(t), REGIME), REGIME)
+    return studies.conditional_study(t.study, t.labels, _experiments(t), verdicts, BOOK, tie_code=tables.symbol_code())
+
+
 # -- splits ------------------------------------------------------------------------------
 
 oracle.part("nses", "SELECT count(*) AS n FROM sessions")

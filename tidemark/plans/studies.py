@@ -108,6 +108,46 @@ def factor_cards(
     )
 
 
+def conditional_study(
+    study: Study,
+    labels: DataFrame,
+    experiments: DataFrame,
+    verdicts: DataFrame,
+    cfg: BookConfig,
+    *,
+    fixed_scale: float = 1.0,
+    tie_code: Column | None = None,
+) -> DataFrame:
+    """One row per declared experiment: its verdict and power, and what trading on it would have earned.
+
+    The conditional strategy holds the factor's signal in the favourable regime and is flat elsewhere; it is
+    set against the unconditional factor at the book's size and at ``fixed_scale``, where impact vanishes.
+    All strategies share one backtest. ``experiments`` are declared, so a handful; ``verdicts`` hold
+    ``factor, regime_column, verdict, power_at_reference``.
+    """
+    named = stage(experiments.select("factor", "regime_column", "favourable", F.concat_ws("|", "factor", "regime_column").alias("strategy")), "experiments")
+    days = labels.join(F.broadcast(named), "regime_column")
+    inside = days.filter(F.col("regime") == F.col("favourable")).select("strategy", "date", F.lit(True).alias("_on"))
+    own = study.panel.join(F.broadcast(named.select("factor", "strategy")), "factor")
+    value = F.when(F.col("_on"), F.col("value")).otherwise(F.lit(0.0))
+    conditional = own.join(inside, ["strategy", "date"], "left").select("strategy", "date", "symbol", value.alias("value"))
+    plain = study.panel.join(F.broadcast(named.select("factor").distinct()), "factor", "left_semi")
+    both = conditional.unionByName(plain.select(F.col("factor").alias("strategy"), "date", "symbol", "value"))
+    targets = B.target_weights(both, study.sessions, cfg, n_series=None, tie_code=tie_code)
+    daily = stage(B.at_notional(B.run_backtest(targets, study.prices, study.sessions, cfg), [cfg.notional, fixed_scale]), "daily")
+    sharpe = stage(B.summarize_backtest(daily, ["strategy", "notional"]).select("strategy", "notional", "net_sharpe"), "sharpe")
+    out = named.join(verdicts.select("factor", "regime_column", "verdict", "power_at_reference"), ["factor", "regime_column"])
+    exposure = days.groupBy("strategy").agg(F.avg((F.col("regime") == F.col("favourable")).cast("double")).alias("exposure"))
+    out = out.join(exposure, "strategy", "left")
+    for scale, kind in ((cfg.notional, "net"), (fixed_scale, "fixed")):
+        at = sharpe.filter(F.col("notional") == scale)
+        out = out.join(at.select("strategy", F.col("net_sharpe").alias(f"{kind}_conditional")), "strategy", "left")
+        out = out.join(at.select(F.col("strategy").alias("factor"), F.col("net_sharpe").alias(f"{kind}_unconditional")), "factor", "left")
+        beats = F.coalesce(F.col(f"{kind}_conditional") > F.col(f"{kind}_unconditional"), F.lit(False))
+        out = out.withColumn(f"beats_{kind}", beats)
+    return out.drop("strategy", "favourable")
+
+
 def scaled_targets(targets: DataFrame, scales: DataFrame, max_rows: int | None) -> DataFrame:
     """Targets with the overlay's exposure multiple (and its variant key, if any)."""
     return targets.join(broadcast_if_bounded(scales, max_rows), ["strategy", "pos"])

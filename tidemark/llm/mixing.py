@@ -38,6 +38,8 @@ RUN = 4096
 #: A source's stream is ordered by hash bucket first, so that a hot source spreads over tasks.
 BUCKETS = 4096
 ROUNDS = 12
+#: Slots are made from one row per source, so Spark takes their table for a small one and would broadcast it.
+MERGED = "shuffle_merge"
 #: The key of the urn's permutation.
 URN_KEY = 5
 
@@ -161,7 +163,7 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     overlap = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.greatest(F.col("start"), F.col("index") * length)
     times = drawn.groupBy("place", "index").agg(F.count("*").alias("_times"))
     words = (
-        met.join(times, ["place", "index"])
+        met.join(times.hint(MERGED), ["place", "index"])
         .groupBy("place", "start")
         .agg(F.sum(overlap * F.col("_times")).alias("taken"))
         .select(F.col("place").alias("_p"), F.col("start").alias("_st"), "taken")
@@ -179,7 +181,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -
     words is kept. Documents without words give no row.
     """
     _, met, drawn = spread(docs, block, shard_slots)
-    passes = met.join(drawn.select("place", "index", "epoch"), ["place", "index"])
+    passes = met.join(drawn.select("place", "index", "epoch").hint(MERGED), ["place", "index"])
     doc = ["place", "start", "epoch"]
     run = F.col("index") - F.row_number().over(Window.partitionBy(*doc).orderBy("index"))
     runs = passes.withColumn("_run", run).groupBy(*doc, "_run", "doc_id", "text_hash", "size", "length").agg(F.min("index").alias("_i"), F.max("index").alias("_j"))

@@ -163,3 +163,15 @@ def test_readers_see_whole_merges_and_writers_meet_with_an_error(spark, tmp_path
     assert sorted(r.v for r in sinks.read_keyed(spark, root, "k int, ts int, v string").collect()) == ["a", "other"]
     assert sorted(r.v for r in before.collect()) == ["a", "a"]
     assert sorted(r.v for r in sinks.upsert(spark, keyed(spark, (1, 5, "b"), (2, 5, "b")), root, ["k"], ["ts"]).collect()) == ["b", "other"]
+
+
+def test_reads_of_a_span_list_its_months_only(spark, tmp_path):
+    for d in ("31122025", "01012026", "15012026", "28022026", "01032026", "nodate00"):
+        (tmp_path / f"fao_participant_vol_{d}.csv").write_text(TITLE + HEAD + BODY)
+    span = (dt.date(2026, 1, 10), dt.date(2026, 2, 28))
+    files = archives.read_files(spark, str(tmp_path), between=span)
+    assert sorted(p.rsplit("_", 1)[1] for p in spark.read.option("pathGlobFilter", archives.month_glob(*span)).text(str(tmp_path)).inputFiles()) == ["01012026.csv", "15012026.csv", "28022026.csv"]
+    assert sorted(r.path.rsplit("_", 1)[1] for r in files.collect()) == ["15012026.csv", "28022026.csv"]
+    rows, _ = archives.participant_archive(files)
+    assert {r.date for r in rows.collect()} == {dt.date(2026, 1, 15), dt.date(2026, 2, 28)}
+    assert archives.month_glob(dt.date(2025, 12, 31), dt.date(2026, 1, 1)) == "{*[0-3][0-9]122025*,*[0-3][0-9]012026*}"

@@ -7,6 +7,7 @@ failure table with a reason instead of disappearing.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,12 +84,30 @@ def title_date(line: Column) -> Column:
     return any_date(F.initcap(F.regexp_replace(F.regexp_replace(day, r"\s*,\s*", ", "), r"\s+", " ")), TITLE_DATE_FORMATS)
 
 
-def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """``(path, text)`` of every file below a directory."""
+def month_glob(first: dt.date, last: dt.date) -> str:
+    """A pattern for names that carry a day of the months from ``first`` to ``last`` as ddMMyyyy."""
+    months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+    return "{" + ",".join(f"*[0-3][0-9]{m % 12 + 1:02d}{m // 12:04d}*" for m in months) + "}"
+
+
+def read_files(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, *, between: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
+    """``(path, text)`` of every file below a directory.
+
+    With ``between``, of files whose names carry a day in that span as ddMMyyyy: other months are left out
+    when files are listed, other days when they are read.
+    """
     reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
+    if between:
+        reader = reader.option("pathGlobFilter", month_glob(*between))
+    elif glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("_name"))
+    if between:
+        day = F.try_to_timestamp(F.regexp_extract("_name", r"(\d{8})", 1), F.lit("ddMMyyyy")).cast("date")
+        files = files.filter(day.between(*[F.lit(d) for d in between]))
+    return files.drop("_name")
 
 
 def _cells(line: Column) -> Column:

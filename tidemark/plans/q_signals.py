@@ -106,7 +106,9 @@ oracle.part("gnw", oracle.newey_west("gsamp2", "k", "ic", "pos", "3"))
 oracle.part("gates", """
 SELECT *, coalesce(t_stat >= 1.5, false) AS "on" FROM (
 SELECT g.date, g.factor, g.regime_column, g.bucket, CASE WHEN w.n >= 20 AND w.se > 0 THEN w.mean / w.se END AS t_stat, coalesce(w.n, 0) AS n_obs
-FROM (SELECT DISTINCT date, factor, regime_column, bucket, today FROM gsample) g LEFT JOIN gnw w ON w.k = g.factor || '|' || g.today)
+FROM (SELECT DISTINCT date, factor, regime_column, bucket, today FROM gsample) g LEFT JOIN gnw w ON w.k = g.factor || '|' || g.today
+WHERE g.factor IN (SELECT i.factor FROM ic4 i JOIN fmap m ON m.factor = i.factor JOIN lbl b ON b.date = i.date AND b.regime_column = m.regime_column
+                   WHERE i.ic IS NOT NULL AND b.regime IS NOT NULL))
 """)
 
 

@@ -137,3 +137,19 @@ def test_overfitting_detects_a_dominant_configuration(spark):
     df = spark.createDataFrame(rows, "strategy string, pos int, ret double")
     out = sharpe.overfitting_probability(sharpe.split_logits(sharpe.right_align(df, "strategy", "ret"), n_partitions=8)).first()
     assert out.n_splits == 70 and out.pbo < 0.1
+
+
+def test_variants_share_the_names_of_one_pass(market, spark):
+    px, ses, targets, w, close, adv = market
+    control = DrawdownControl(True, 0.03, 0.5, 0.01)
+    variants = {"none": (VolTarget(), DrawdownControl()), "drawdown": (VolTarget(), control)}
+    got = {r.variant: r for r in studies.overlay_grid(targets, px, ses, BOOK, variants, 1).collect()}
+    for name, on in (("none", None), ("drawdown", control)):
+        want = loop(w, close, adv, on)
+        assert got[name].net_annual_return == pytest.approx(want[:, 1].mean() * 252, abs=1e-9)
+    # Nothing is moved by name once variants part from each other.
+    weights, names = studies._weights(targets, px, ses, BOOK)
+    scales = names.select("strategy", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("pos"), F.lit(0.5).alias("scale"))
+    both = scales.withColumn("variant", F.lit("a")).unionByName(scales.withColumn("variant", F.lit("b")))
+    sized = B.scaled_weights(weights, both, BOOK.holding, max_rows=1000)
+    assert sized.filter("variant = 'b'").count() == weights.count() and "symbol" not in sized.columns

@@ -15,7 +15,6 @@ from ..functions.numeric import nondegenerate
 from . import windows as W
 from .backtest import session_spine
 from .costs import priced
-from .panel import fill_sessions, last_position
 
 
 def _trailing_sd(window: int, keys: Sequence[str]) -> Column:
@@ -57,8 +56,7 @@ def volatility_scale(daily: DataFrame, cfg: VolTarget, keys: Sequence[str] = ("s
 
 
 def feedback_inputs(
-    targets: DataFrame,
-    market: DataFrame,
+    weights: DataFrame,
     sessions: DataFrame,
     cfg: BookConfig,
     control: DrawdownControl,
@@ -71,13 +69,8 @@ def feedback_inputs(
     All per-name work happens here, distributed. What is left for the sequential fold is
     ``holding + 4`` numbers per session and strategy.
     """
-    own, h = [*keys, "symbol"], cfg.holding
-    scale = F.col("scale") if "scale" in targets.columns else F.lit(1.0)
-    sized = targets.select(*own, "pos", (F.col("weight") / F.lit(h) * scale).alias("_w"))
-    spread = fill_sessions(sized, sessions, own, reach=h).filter(F.col("pos") < last_position(sessions))
-    aged = spread.select(
-        *own, "pos", *[F.coalesce(W.shifted("_w", k, own), F.lit(0.0)).alias(f"w{k}") for k in range(h + 1)]
-    ).join(market, ["symbol", "pos"], "left")
+    h = cfg.holding
+    aged = weights.withColumns({f"w{k}": F.coalesce(F.col(f"w{k}") * F.col(f"s{k}"), F.lit(0.0)) for k in range(h + 1)})
     step = F.coalesce("step", F.lit(0.0))
     c = cfg.costs
 

@@ -178,3 +178,22 @@ def test_short_trailing_ranks_multiply_no_row(spark):
     assert "Generate" not in lags._jdf.queryExecution().optimizedPlan().toString()
     merged = windows.with_trailing_rank(df, "v", 7, "rank", limit=0).select(*lags.columns)
     assert sorted(map(str, lags.collect())) == sorted(map(str, merged.collect()))
+
+
+def test_undefined_scores_rank_as_in_the_sql(spark):
+    # "a" wins every split it is measured in; without a loss its Sortino ratio is undefined on the other side.
+    returns = {"a": [0.9, -0.001, 0.5, 0.4] * 2 + [0.5] * 8, "b": [0.1, -0.2] * 8, "c": [0.2, -0.3] * 8, "d": [0.3] * 8 + [0.2, -0.1] * 4}
+    rows = [(c, i, r) for c, own in returns.items() for i, r in enumerate(own)]
+    aligned = sharpe.right_align(spark.createDataFrame(rows, "strategy string, pos int, ret double"), "strategy", "ret")
+    got = {r.mask: r for r in sharpe.split_logits(aligned, n_partitions=4, metric=paths.SORTINO).collect()}
+    seen = set()
+    for mask, r in got.items():
+        def score(c, inside):
+            xs = [x for i, x in enumerate(returns[c]) if ((mask >> (i // 4)) & 1 == 1) == inside]
+            down = (sum(min(x, 0.0) ** 2 for x in xs) / len(xs)) ** 0.5
+            return sum(xs) / len(xs) / down if down else None
+        own, others = score(r.best, False), [score(c, False) for c in returns]
+        below, equal = (sum(o is not None and own is not None and f(o, own) for o in others) for f in (lambda o, w: o < w, lambda o, w: o == w))
+        assert r.omega == pytest.approx((below + (equal + 1) / 2) / 5)
+        seen |= {own is None, any(o is None for o in others) and own is not None}
+    assert len(got) == 6 and seen == {True, False}

@@ -153,3 +153,11 @@ def test_variants_share_the_names_of_one_pass(market, spark):
     both = scales.withColumn("variant", F.lit("a")).unionByName(scales.withColumn("variant", F.lit("b")))
     sized = B.scaled_weights(weights, both, BOOK.holding, max_rows=1000)
     assert sized.filter("variant = 'b'").count() == weights.count() and "symbol" not in sized.columns
+
+
+def test_a_backtest_selects_its_targets_once(market, monkeypatch):
+    px, ses, targets, *_ = market
+    held = []
+    monkeypatch.setattr(B, "stage", lambda df, purpose="stage": held.append(purpose) or df)
+    B.run_backtest(targets, px, ses, BOOK)
+    assert held == ["targets"]

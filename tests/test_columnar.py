@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import FactorConfig
-from tidemark.operators import columnar, factors, labels
+from tidemark.operators import columnar, factors, formula, labels
 from tidemark.operators.crosssection import treat
 from tidemark.plans import studies
 from tidemark.plans.catalog import Inputs
@@ -72,3 +72,47 @@ def test_wide_labels_are_the_forward_returns(spark):
     wide = factors.factor_wide(t.px, t.sessions, factors.default_library(cfg), [1, 4])
     got, want = (labels.horizon_long(x, [1, 4]) for x in (wide, labels.forward_returns(t.px, t.sessions, [1, 4])))
     assert want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_formulas_in_turns_equal_those_in_long_form(spark, limit):
+    """Cross-sections inside and outside windows, ties, gaps and a name alone on its date; sums of quarters are exact."""
+    rng = np.random.default_rng(9)
+    rows = [
+        (f"S{i:03d}", p, *[None if rng.random() < 0.1 else float(np.round(4 * rng.normal()) / 4) for _ in range(4)], 1.0, -0.5, 0.0, 2.0, 1.0)
+        for i in range(60) for p in range(12) if (p != 11 or i == 0) and (i < 40 or p > 4)
+    ]
+    names = formula.PRICE_TERMINALS + formula.FLOW_TERMINALS
+    base = spark.createDataFrame(rows, "symbol string, pos int, " + ", ".join(f"{n} double" for n in names))
+    batch = [("close", "rank"), ("volume", "rank", "mean5"), ("close", "mean5", "zscore", "rank", "returns", "mul"), ("close",), ("returns", "neg")]
+    pdf = base.toPandas().sort_values(["symbol", "pos"])
+
+    def rank(x):
+        ordered = pdf.assign(x=x).dropna(subset="x").sort_values(["pos", "x", "symbol"])
+        place, n = ordered.groupby("pos").cumcount(), ordered.groupby("pos").x.transform("size")
+        return (place / (n - 1).where(n > 1) - 0.5).reindex(pdf.index)
+
+    def mean5(x):
+        grid = pdf.assign(x=x).pivot(index="pos", columns="symbol", values="x").rolling(5, min_periods=3).mean()
+        at = pd.MultiIndex.from_frame(pdf[["pos", "symbol"]])
+        return pd.Series(grid.stack().reindex(at).to_numpy(), pdf.index).where(pdf.pos >= 4)
+
+    smooth = mean5(pdf.close)
+    by = smooth.groupby(pdf.pos)
+    z = (smooth - by.transform("mean")) / by.transform("std", ddof=0).where(by.transform("std", ddof=0) > 1e-12)
+    want = [rank(pdf.close), mean5(rank(pdf.volume)), rank(z) * pdf.returns, pdf.close, -pdf.returns]
+    got = formula.evaluate(base, batch, limit=limit).toPandas()
+    for i, w in enumerate(want):
+        mine = got[got.candidate == i].set_index(["symbol", "pos"]).value
+        w = w.set_axis(pd.MultiIndex.from_frame(pdf[["symbol", "pos"]])).dropna()
+        assert len(mine) == len(w)
+        np.testing.assert_allclose(mine.reindex(w.index), w, atol=1e-12)
+
+
+def test_formulas_shuffle_only_what_later_turns_read(spark):
+    """One shuffle by date per turn, no row per sub-expression."""
+    base = spark.createDataFrame([("A", 0, *[1.0] * 9)], "symbol string, pos int, " + ", ".join(f"{n} double" for n in formula.PRICE_TERMINALS + formula.FLOW_TERMINALS))
+    parts = formula.evaluate_columns(base, [("close", "rank"), ("volume", "zscore"), ("returns", "neg")])
+    assert [sorted(c) for _, c in parts] == [[2], [0, 1]]
+    plan = parts[-1][0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "turnover" not in plan.split("InMemoryRelation")[0]

@@ -104,7 +104,7 @@ def _(t: Inputs):
 
 def _base(t: Inputs) -> DataFrame:
     grid = factors.factor_grid(t.px, t.sessions)
-    return stage(formula.terminals(grid, t.features), "terminals")
+    return formula.terminals(grid, t.features)
 
 
 oracle.part("tm", """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import factors, formula, regimes
-from ..operators.crosssection import treat
-from ..operators.labels import rank_ic
+from ..operators.columnar import rank_ic_columns, treat_columns, treated_long
+from ..operators.labels import forward_return
 from ..operators.panel import with_dates
 from ..operators.sharpe import trial_summary
 from ..session import stage
@@ -102,9 +104,12 @@ def _(t: Inputs):
 # -- evaluation --------------------------------------------------------------------------
 
 
-def _base(t: Inputs) -> DataFrame:
+def _base(t: Inputs, horizon: int | None = None) -> DataFrame:
+    """The terminals; with ``horizon``, the label next to them as ``_label``."""
     grid = factors.factor_grid(t.px, t.sessions)
-    return formula.terminals(grid, t.features)
+    if horizon is None:
+        return formula.terminals(grid, t.features)
+    return formula.terminals(grid.withColumn("_label", forward_return(horizon)), t.features, keep=("_label",))
 
 
 oracle.part("tm", """
@@ -175,17 +180,21 @@ def _(t: Inputs):
 oracle.part("fmt", oracle.treated("fml", "candidate, date"))
 
 
-def _treated(t: Inputs) -> DataFrame:
-    dated = with_dates(_signals(t), t.sessions)
-    return treat(
-        dated, winsor=FACTORS.winsor, by=("candidate", "date"),
-        max_groups=len(FORMULAS) * 40_000,
-    )
+def _treated(t: Inputs, horizon: int | None = None) -> list[tuple[DataFrame, dict[int, tuple[str, str]]]]:
+    """Wide frames with each candidate's raw and treated column, and the label if a horizon is given."""
+    keep = () if horizon is None else ("_label",)
+    parts = formula.evaluate_columns(_base(t, horizon), FORMULAS, tie_code=tables.symbol_code(), keep=keep)
+    out = []
+    for at, (df, columns) in enumerate(parts, 1):
+        held = df if at < len(parts) else stage(df, "signals")
+        wide, names = treat_columns(with_dates(held, t.sessions), list(columns.values()), winsor=FACTORS.winsor)
+        out.append((wide, {i: (c, names[c]) for i, c in columns.items()}))
+    return out
 
 
 @query("m5_standardised_signals", "candidate:i date symbol value:6", "fmt")
 def _(t: Inputs):
-    return _treated(t)
+    return reduce(DataFrame.unionByName, [treated_long(df, c, "candidate", ["date", "symbol"]) for df, c in _treated(t)])
 
 
 oracle.part("lab4", "SELECT date, symbol, ret FROM labl WHERE horizon = 4")
@@ -200,10 +209,11 @@ GROUP BY 1, 2 HAVING count(*) >= 20) GROUP BY 1
 
 
 def _candidate_ic(t: Inputs) -> DataFrame:
-    labels = t.study_labels.filter("horizon = 4")
-    return stage(
-        rank_ic(_treated(t), labels.drop("horizon"), series=("candidate",), min_names=MIN_NAMES), "ic"
-    )
+    found = [
+        rank_ic_columns(df, {i: c for i, (_, c) in names.items()}, {4: "_label"}, series=("candidate", "horizon"), min_names=MIN_NAMES)
+        for df, names in _treated(t, 4)
+    ]
+    return stage(reduce(DataFrame.unionByName, found).drop("horizon"), "ic")
 
 
 def _rewards(t: Inputs, ic: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import FactorConfig
 from tidemark.operators import columnar, factors, formula, labels
 from tidemark.operators.crosssection import treat
-from tidemark.plans import studies
+from tidemark.plans import q_signals, studies
 from tidemark.plans.catalog import Inputs
 from tidemark.session import stage
 
@@ -116,3 +116,11 @@ def test_formulas_shuffle_only_what_later_turns_read(spark):
     assert [sorted(c) for _, c in parts] == [[2], [0, 1]]
     plan = parts[-1][0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "turnover" not in plan.split("InMemoryRelation")[0]
+
+
+def test_selection_reads_a_staged_signal(spark, monkeypatch):
+    """Counts per date and the selection itself read the signal; it is composed once."""
+    purposes = []
+    monkeypatch.setattr(q_signals, "stage", lambda df, purpose="stage": purposes.append(purpose) or stage(df, purpose))
+    assert q_signals._selected(Inputs(spark, "/root/testdata/sf0.001")).count() > 0
+    assert "signal" in purposes

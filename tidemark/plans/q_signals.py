@@ -221,7 +221,7 @@ def _adv(t: Inputs):
 
 
 def _selected(t: Inputs):
-    return portfolio.select_names(_signal(t), CONSTRUCTION, tie_code=tables.symbol_code())
+    return portfolio.select_names(stage(_signal(t), "signal"), CONSTRUCTION, tie_code=tables.symbol_code())
 
 
 def _capped(t: Inputs):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FactorConfig
 from tidemark.operators import columnar, factors, formula, labels
-from tidemark.operators.crosssection import treat
+from tidemark.operators.crosssection import tail_weights, treat
 from tidemark.plans import q_signals, studies
-from tidemark.plans.catalog import Inputs
+from tidemark.plans.catalog import BOOK, Inputs
 from tidemark.session import stage
 
 #: Rows of a date that one task may hold: all dates, only the small one, none.
@@ -66,6 +66,40 @@ def test_study_moves_one_row_per_name_and_session(spark):
     pd.testing.assert_frame_equal(_rows(studies.ic_series(study, 5), columns), _rows(long, columns), check_dtype=False)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+@pytest.mark.parametrize("long_only", (False, True))
+def test_tails_of_columns_equal_the_long_ones(wide, limit, long_only):
+    """Ties, a constant column, gaps, and a date with fewer names than quantiles."""
+    placed = stage(wide.withColumn("pos", F.datediff("date", F.lit("2024-01-01")).cast("int")))
+    columns = {"a": "a", "b": "b", "none": "fwd_9"}
+    long = columnar.long_view(placed, columns, "strategy", ["date", "pos", "symbol"])
+    want = tail_weights(long, by=["strategy", "date", "pos"], n_quantiles=4, leverage=0.3, long_only=long_only)
+    got = columnar.tail_columns(placed, columns, n_quantiles=4, leverage=0.3, long_only=long_only, limit=limit)
+    columns = ["strategy", "symbol", "date", "weight"]
+    assert want.count() > 50
+    got, want = (_rows(x.withColumnRenamed("date", "_day").withColumnRenamed("pos", "date"), columns) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_conditional_targets_move_one_row_per_name_and_session(spark, monkeypatch):
+    """Strategies of a conditional study are columns up to their tails, with the rows the long selection gives."""
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    days = [r.date for r in t.study.wide.select("date").distinct().orderBy("date").collect()]
+    pairs = [(f, f"{f}|x", d) for f in t.study.names[:2] for d in days[::3]]
+    inside = spark.createDataFrame([p[1:] for p in pairs], "strategy string, date date").withColumn("_on", F.lit(True))
+    named = spark.createDataFrame(sorted({p[:2] for p in pairs}), "factor string, strategy string")
+    got = studies._conditional_targets(t.study, named, inside, BOOK, None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # By date go the names, once, and the short table of dates inside.
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan and "hashpartitioning(strategy" not in plan
+    monkeypatch.setattr(t.study, "wide", None)
+    want = studies._conditional_targets(t.study, named, inside, BOOK, None)
+    columns = ["strategy", "symbol", "date", "weight"]
+    assert want.select("strategy").distinct().count() == 4
+    got, want = (_rows(x.withColumnRenamed("pos", "date"), columns) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_wide_labels_are_the_forward_returns(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
     cfg = FactorConfig(10, 2, (3, 5), 8, 5, 5, 5)

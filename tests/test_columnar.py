@@ -55,6 +55,12 @@ def test_rank_ic_of_columns_equals_the_long_one(wide, limit):
     pd.testing.assert_frame_equal(_rows(got, columns), _rows(want, columns), check_dtype=False)
 
 
+def test_study_stages_only_the_prices_it_reads(spark):
+    """What factors, labels and backtests do not read is neither aggregated from the lines nor written."""
+    study = Inputs(spark, "/root/testdata/sf0.001").study
+    assert set(study.prices.columns) == {"date", "symbol", "adj_close", "close", "volume", "turnover", "delivery_pct"}
+
+
 def test_study_moves_one_row_per_name_and_session(spark):
     """Neither factors nor horizons multiply the rows that the ICs of a study shuffle."""
     t = Inputs(spark, "/root/testdata/sf0.001")
